@@ -99,17 +99,21 @@ def sensitive_bit(df: DataFrame, seed: int, name: str = "sensitive") -> DataFram
     return hashed.withColumn(name, F.col("__h").bitwiseAND(F.lit(1)).cast("int")).drop("__h")
 
 
+def dataset_numbers(n_datasets: int) -> Column:
+    """0..n_datasets-1, to be exploded beside every row."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_datasets - 1).cast("bigint")))
+
+
 def randomize_sensitive(df: DataFrame, n_datasets: int, seed: int) -> DataFrame:
     """Copies of the table, each with its own random binary sensitive column."""
-    copies = df.withColumn("dataset_id", F.explode(F.sequence(F.lit(0), F.lit(n_datasets - 1))))
-    copies = copies.withColumn("dataset_id", F.col("dataset_id").cast("bigint"))
+    copies = df.withColumn("dataset_id", dataset_numbers(n_datasets))
     return sensitive_bit(copies, seed).select("dataset_id", *df.columns, "sensitive")
 
 
 def exact_shadow(df: DataFrame, n_datasets: int, seed: int, target_id: int) -> DataFrame:
     """Copies of a table with a ``sensitive`` column where only the target's value is redrawn."""
     copies = df.withColumnRenamed("sensitive", "__kept").withColumn(
-        "dataset_id", F.explode(F.sequence(F.lit(0), F.lit(n_datasets - 1))).cast("bigint")
+        "dataset_id", dataset_numbers(n_datasets)
     )
     drawn = sensitive_bit(copies, seed, "__bit")
     value = F.when(F.col(ID) == F.lit(target_id), F.col("__bit")).otherwise(F.col("__kept"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablerisk.operators.prep import exclude_identical, halve_pool
 from tablerisk.operators.sampling import (
     dataset_ids,
+    dataset_numbers,
     sample_per_dataset,
     sensitive_bit,
 )
@@ -79,9 +80,7 @@ def shadow_tables_specific(
     frames = dataset_ids(rest.sparkSession, n_datasets).withColumn(
         "in_dataset", F.col("dataset_id") % 2 == 0
     )
-    base = rest.withColumn(
-        "dataset_id", F.explode(F.sequence(F.lit(0), F.lit(n_datasets - 1))).cast("bigint")
-    ).withColumn("in_dataset", F.col("dataset_id") % 2 == 0)
+    base = rest.withColumn("dataset_id", dataset_numbers(n_datasets)).withColumn("in_dataset", F.col("dataset_id") % 2 == 0)
     references = sample_per_dataset(others, frames.filter("not in_dataset"), 1, seed)
     members = _with_record(frames.filter("in_dataset"), target.select(*rest.columns))
     return (
