@@ -71,12 +71,15 @@ def binary_metrics(
 
 
 def audit_results_table(results: DataFrame) -> DataFrame:
-    """Nested results (record_id, map model -> struct<auc, accuracy>) as a flat, named table."""
+    """Nested results (record_id, map model -> struct<auc, accuracy>) as a flat, named table.
+
+    The display name is ``model_name``: column names that differ only in case clash in Spark.
+    """
     flat = results.select(
         F.col("record_id").alias("record"), F.explode("metrics").alias("model", "m")
     )
     names = F.create_map(*[F.lit(x) for pair in MODEL_NAMES.items() for x in pair])
-    return flat.select("record", "m.auc", "m.accuracy", "model", names[F.col("model")].alias("Model"))
+    return flat.select("record", "m.auc", "m.accuracy", "model", names[F.col("model")].alias("model_name"))
 
 
 def nest_results(results: DataFrame) -> DataFrame:
