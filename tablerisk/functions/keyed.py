@@ -26,45 +26,48 @@ def mix_int(x: int) -> int:
     return (x >> 16) ^ x
 
 
-def mix(x: Column) -> Column:
-    """The integer mix on a bigint column holding values in [0, 2^32)."""
+def mix(x: str) -> str:
+    """The integer mix as SQL text over a bigint expression with values in [0, 2^32)."""
     for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX_FACTOR).cast("bigint")).bitwiseAND(
-            F.lit(MASK32)
-        )
-    return F.shiftright(x, 16).bitwiseXOR(x)
+        x = f"(((shiftright({x}, 16) ^ {x}) * {MIX_FACTOR}L) & {MASK32}L)"
+    return f"(shiftright({x}, 16) ^ {x})"
 
 
-def fold32(key: Column) -> Column:
+def fold32(key: str) -> str:
     """Fold a 64-bit key to 32 bits; keys below 2^32 are unchanged."""
-    key = key.cast("bigint")
-    return key.bitwiseAND(F.lit(MASK32)).bitwiseXOR(F.shiftrightunsigned(key, 32))
+    return f"((cast({key} as bigint) & {MASK32}L) ^ shiftrightunsigned(cast({key} as bigint), 32))"
 
 
-def keyed_hash(seed: int, key: Column, stream: int) -> Column:
-    """32-bit hash of one key, for use inside a single expression."""
-    level = mix((fold32(key) + F.lit(mix_int(seed + 1) + 1)).bitwiseAND(F.lit(MASK32)))
-    return mix((level + F.lit(stream)).bitwiseAND(F.lit(MASK32)))
+def mixed_id(key: str) -> Column:
+    """The mix of one (folded) id, the per-record term of a user-set hash."""
+    return F.expr(mix(f"({fold32(key)})"))
 
 
-def with_hashes(df: DataFrame, seed: int, keys: list, streams: dict[str, int]) -> DataFrame:
+def keyed_hash(seed: int, key: str, stream: int) -> Column:
+    """32-bit hash of one key column, for use inside a single expression."""
+    level = mix(f"(({fold32(key)} + {mix_int(seed + 1) + 1}L) & {MASK32}L)")
+    return F.expr(mix(f"(({level} + {stream}L) & {MASK32}L)"))
+
+
+def with_hashes(
+    df: DataFrame, seed: int, keys: list[str], streams: dict[str, int]
+) -> DataFrame:
     """Add one 32-bit hash column per entry of ``streams`` (name -> stream number).
 
-    The keys are folded in one after the other through separate projections: a nested expression
-    would repeat its argument eight times per mix, while Spark keeps a projection whose output is
-    used several times on its own.
+    ``keys`` are SQL expressions, folded in one after the other. Every step is a named column of
+    the same projection that later steps refer to: written as one expression, each mix would
+    repeat its argument eight times.
     """
-    state = F.lit(mix_int(seed + 1)).cast("bigint")
+    steps, state = [], f"{mix_int(seed + 1)}L"
     for i, key in enumerate(keys):
-        key = F.col(key) if isinstance(key, str) else key
-        df = df.withColumn(
-            "__fold", (state + fold32(key) + F.lit(1)).bitwiseAND(F.lit(MASK32))
-        ).withColumn("__state", mix(F.col("__fold")))
-        state = F.col("__state")
+        steps.append(f"({state} + {fold32(key)} + 1L) & {MASK32}L AS __fold{i}")
+        steps.append(f"{mix(f'__fold{i}')} AS __state{i}")
+        state = f"__state{i}"
     for name, stream in streams.items():
-        df = df.withColumn("__fold", (state + F.lit(stream)).bitwiseAND(F.lit(MASK32)))
-        df = df.withColumn(name, mix(F.col("__fold")))
-    return df.drop("__fold", "__state")
+        steps.append(f"({state} + {stream}L) & {MASK32}L AS __fold_{name}")
+        steps.append(f"{mix(f'__fold_{name}')} AS {name}")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return df.selectExpr("*", *steps).select(*kept, *streams)
 
 
 def uniform(h: Column) -> Column:

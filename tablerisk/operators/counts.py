@@ -20,11 +20,10 @@ from tablerisk.functions.keyed import (
     STREAM_NORMAL_1,
     STREAM_NORMAL_2,
     STREAM_STICKY,
-    fold32,
     gaussian,
     laplace,
-    mix,
     mix_int,
+    mixed_id,
     uniform_integer,
     with_hashes,
 )
@@ -50,41 +49,39 @@ def _words(n_columns: int) -> int:
 
 def query_masks(queries: DataFrame, n_columns: int) -> DataFrame:
     """query_id, conditions -> query_id plus one forbidden-bit word per 21 columns."""
+    cases = " ".join(f"WHEN {code} THEN {bits}L" for code, bits in FORBIDDEN.items())
+    unknown = "cast(raise_error(concat('unknown condition in query ', query_id)) as bigint)"
     words = []
     for w in range(_words(n_columns)):
-        word = F.lit(0).cast("bigint")
-        for i in range(w * COLUMNS_PER_WORD, min((w + 1) * COLUMNS_PER_WORD, n_columns)):
-            code = F.element_at("conditions", i + 1)
-            bits = F.lit(None).cast("bigint")
-            for condition, forbidden in FORBIDDEN.items():
-                bits = F.when(code == condition, F.lit(forbidden).cast("bigint")).otherwise(bits)
-            message = F.concat(F.lit("unknown condition in query "), F.col("query_id"))
-            bits = F.coalesce(bits, F.raise_error(message).cast("bigint"))
-            word = word.bitwiseOR(F.shiftleft(bits, 3 * (i % COLUMNS_PER_WORD)))
-        words.append(word.alias(f"forbid{w}"))
-    return queries.select("query_id", *words)
+        bits = [
+            f"shiftleft(CASE element_at(conditions, {i + 1}) {cases} ELSE {unknown} END, "
+            f"{3 * (i % COLUMNS_PER_WORD)})"
+            for i in range(w * COLUMNS_PER_WORD, min((w + 1) * COLUMNS_PER_WORD, n_columns))
+        ]
+        words.append(f"{' | '.join(bits) or '0L'} AS forbid{w}")
+    return queries.selectExpr("query_id", *words)
 
 
 def column_states(
-    df: DataFrame, columns: Sequence[str], literals: Sequence[Column], keys: Sequence[str]
+    df: DataFrame, columns: Sequence[str], literals: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
-    """Fold ``columns`` compared with ``literals`` into state words and count rows per state.
+    """Fold ``columns`` compared with ``literals`` (columns) into state words, count per state.
 
     Expects cnt and set_hash from an earlier reduction; both compose.
     """
     words = []
     for w in range(_words(len(columns))):
-        word = F.lit(0).cast("bigint")
+        bits = []
         for i in range(w * COLUMNS_PER_WORD, min((w + 1) * COLUMNS_PER_WORD, len(columns))):
-            x, literal = F.col(f"`{columns[i]}`"), literals[i]
-            bits = F.when(x < literal, 1).when(x == literal, 2).when(x > literal, 4).otherwise(7)
-            word = word.bitwiseOR(
-                F.shiftleft(bits.cast("bigint"), 3 * (i % COLUMNS_PER_WORD))
+            x, v = f"`{columns[i]}`", literals[i]
+            bits.append(
+                f"shiftleft(CASE WHEN {x} < {v} THEN 1L WHEN {x} = {v} THEN 2L "
+                f"WHEN {x} > {v} THEN 4L ELSE 7L END, {3 * (i % COLUMNS_PER_WORD)})"
             )
-        words.append(word.alias(f"state{w}"))
+        words.append(f"{' | '.join(bits) or '0L'} AS state{w}")
     names = [f"state{w}" for w in range(len(words))]
     return (
-        df.select(*keys, *words, "cnt", "set_hash")
+        df.selectExpr(*keys, *words, "cnt", "set_hash")
         .groupBy(*keys, *names)
         .agg(F.sum("cnt").alias("cnt"), F.bit_xor("set_hash").alias("set_hash"))
     )
@@ -127,7 +124,7 @@ def _reduced(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str], int_domain: bool
 ) -> DataFrame:
     """Count rows (and XOR their id hashes) per distinct combination of the queried columns."""
-    user = mix(fold32(F.col(ID) + F.lit(1))) if ID in df.columns else F.lit(0).cast("bigint")
+    user = mixed_id(f"({ID} + 1)") if ID in df.columns else F.lit(0).cast("bigint")
     return (
         df.select(*keys, *[comparable(c, int_domain).alias(c) for c in columns], user.alias("__u"))
         .groupBy(*keys, *columns)
@@ -169,7 +166,7 @@ def count_queries(
             ]
         )
         asked = reduced.withColumn("__v", F.explode(packed))
-        literals = [F.col(f"__v.v{i}") for i in range(len(columns))]
+        literals = [f"__v.v{i}" for i in range(len(columns))]
         asked = asked.withColumn("value_id", F.col("__v.value_id"))
         states.append(column_states(asked, columns, literals, [*keys, "value_id"]))
         ids = F.explode(F.array(*[F.lit(r["value_id"]).cast("bigint") for r in batch]))
@@ -239,9 +236,7 @@ def target_counts(
         "target_id", *[comparable(c, int_domain).alias(f"__t{i}") for i, c in enumerate(columns)]
     )
     asked = reduced.join(broadcast_if_small(literals), "target_id")
-    states = column_states(
-        asked, columns, [F.col(f"__t{i}") for i in range(len(columns))], list(keys)
-    )
+    states = column_states(asked, columns, [f"__t{i}" for i in range(len(columns))], list(keys))
     masks = query_masks(queries, len(columns))
     return match_queries(states, masks, df.select(*keys).distinct(), list(keys))
 
@@ -274,7 +269,7 @@ def counts_sticky_uniform(
     keys: Sequence[str] = ("query_id",),
 ) -> DataFrame:
     """Suppress small counts, else add U{-c..c} that depends only on the set of matching users."""
-    user_set = F.col("set_hash").bitwiseXOR(F.lit(mix_int(seed + 1)))
+    user_set = f"(set_hash ^ {mix_int(seed + 1)}L)"
     hashed = with_hashes(counts, seed, [user_set], {"__h": STREAM_STICKY})
     noisy = F.col("cnt") + uniform_integer(F.col("__h"), c)
     answer = F.when(F.col("cnt") <= threshold, F.lit(0)).otherwise(noisy)

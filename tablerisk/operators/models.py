@@ -39,7 +39,7 @@ def _fit(estimator, train: DataFrame, grid, key: str | None, seed: int):
     if grid is None:
         return estimator.fit(train)
     # folds by hash of the record key: the same record lands in the same fold on every run
-    fold = (keyed_hash(seed, F.col(key), STREAM_RANK) % FOLDS).cast("int")
+    fold = (keyed_hash(seed, key, STREAM_RANK) % FOLDS).cast("int")
     evaluator = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="rawPrediction")
     search = CrossValidator(
         estimator=estimator,

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import broadcast_if_small, durable
+from tablerisk.functions.durable import durable
 from tablerisk.functions.ranks import bucketed_rank, grouped_quantile
 from tablerisk.spec import ID, TableSpec
 
@@ -46,12 +46,15 @@ def achilles_scores(
     points = durable(_with_cells(points, spec, max_cells, cell_rows))
     cells = durable(_cell_bounds(points, spec))
     own = points.select("point", "cell", F.lit(float("inf")).alias("limit"), "cats", "unit")
-    first = durable(_nearest_in_cells(own, points, cells, spec, k, block_rows))
+    own_size = cells.select("cell", F.col("rows").alias("guests"), "rows")
+    first = durable(_nearest_in_cells(own, points, own_size, spec, k, block_rows))
     # k-th distance so far; infinite while fewer than k records are known
     reach = F.when(F.size("best") >= k, F.element_at("best", k)).otherwise(float("inf"))
     seekers = points.join(first.select("point", reach.alias("limit")), "point")
-    visits = _visits(seekers, cells, spec)
-    second = _nearest_in_cells(visits, points, cells, spec, k, block_rows)
+    visits = durable(_visits(seekers, cells, spec))
+    crowd = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("guests"))
+    crowd = crowd.join(F.broadcast(cells.select("cell", "rows")), "cell")
+    second = _nearest_in_cells(visits, points, crowd, spec, k, block_rows)
     best = _merge_best(first.unionByName(second), k)
     mean = F.aggregate("best", F.lit(0.0), lambda a, d: a + d) / F.size("best")
     scored = points.join(best.select("point", mean.alias("achilles_score")), "point")
@@ -108,7 +111,7 @@ def _with_cells(points: DataFrame, spec: TableSpec, max_cells: int, cell_rows: i
         edges = points.groupBy("prefix").agg(
             F.percentile_approx("along", cuts, 20 * slabs).alias("edges")
         )
-        points = points.join(broadcast_if_small(edges), "prefix")
+        points = points.join(F.broadcast(edges), "prefix")  # at most max_cells rows
         slab = F.size(F.filter("edges", lambda e: e < F.col("along")))
         points = points.withColumn("slab", slab).drop("edges")
     else:
@@ -177,7 +180,7 @@ def _visits(seekers: DataFrame, cells: DataFrame, spec: TableSpec) -> DataFrame:
         gaps = gaps + gap * gap
     bound = differ / F.lit(float(n)) + F.lit(n_cont / n) * gaps / F.lit(2.0)
     near = (F.col("home") != F.col("cell")) & (bound < F.col("reach") + F.lit(SLACK))
-    pairs = home.join(broadcast_if_small(cells), near).select(
+    pairs = home.join(F.broadcast(cells), near).select(
         "home", F.col("cell").alias("visit"), "low", "high", "shared"
     )
     asked = seekers.join(pairs, F.col("cell") == F.col("home"))
@@ -188,19 +191,22 @@ def _visits(seekers: DataFrame, cells: DataFrame, spec: TableSpec) -> DataFrame:
 def _nearest_in_cells(
     visitors: DataFrame,
     points: DataFrame,
-    cells: DataFrame,
+    crowd: DataFrame,
     spec: TableSpec,
     k: int,
     block_rows: int,
 ) -> DataFrame:
-    """Up to k smallest distances below ``limit`` per visitor within its cell -> point, best."""
-    crowd = visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("guests"))
+    """Up to k smallest distances below ``limit`` per visitor within its cell -> point, best.
+
+    ``crowd`` gives the visitors (guests) and the records (rows) of every visited cell.
+    """
 
     def blocks(rows: str) -> Column:
         return F.ceil(F.col(rows) / F.lit(block_rows)).cast("int")
 
-    shape = crowd.join(cells.select("cell", "rows"), "cell").select(
-        "cell", blocks("guests").alias("n_guest"), blocks("rows").alias("n_home")
+    # one row per cell, and cells are bounded by max_cells
+    shape = F.broadcast(
+        crowd.select("cell", blocks("guests").alias("n_guest"), blocks("rows").alias("n_home"))
     )
     salt = F.pmod(F.xxhash64("point"), F.col("n_guest")).cast("int")
     every_home = F.explode(F.sequence(F.lit(0), F.col("n_home") - 1))

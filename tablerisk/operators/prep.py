@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import BROADCAST_ROWS, broadcast_if_small, durable
+from tablerisk.functions.durable import BROADCAST_ROWS, durable
 from tablerisk.functions.keyed import STREAM_RANK, keyed_hash, mix_int
-from tablerisk.functions.ranks import grouped_quantile
+from tablerisk.functions.ranks import bucketed_rank, grouped_quantile
 from tablerisk.spec import ID, TableSpec
 
-WINDOW_VALUES = 2_000_000
+LOCAL_VALUES = 50_000
 
 
 def select_columns(df: DataFrame, spec: TableSpec, cols: Sequence[str]) -> DataFrame:
@@ -36,11 +37,12 @@ def sample_attributes(spec: TableSpec, n: int, seed: int) -> TableSpec:
     return spec.select([spec.columns[i] for i in kept])
 
 
-def value_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Ordinal codes of every column -> column, value, code (0-based rank of sorted values).
+def value_codes(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Ordinal codes of every column -> (column, value, code), and the number of codes per column.
 
     One shuffle finds the distinct values of all columns together; map-side combining keeps a
-    frequent value from travelling more than once per task.
+    frequent value from travelling more than once per task. Small domains are ordered on the
+    driver and become a local relation; larger ones are ranked from a stored global sort.
     """
     pairs = F.array(
         *[
@@ -51,15 +53,13 @@ def value_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     numeric = [c for c in cols if types[c] != "string"]
     distinct = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").distinct()
+    few = distinct.limit(LOCAL_VALUES + 1).collect()
+    if len(few) <= LOCAL_VALUES:
+        return _local_codes(df.sparkSession, few, numeric)
     # numbers are ranked as numbers, strings by code point
     number = F.when(F.col("column").isin(*numeric), F.col("value").try_cast("double"))
-    distinct = durable(distinct.withColumn("number", number))
-    order = [F.col("number"), F.col("value")]
-    largest = distinct.groupBy("column").count().agg(F.max("count")).first()[0] or 0
-    if largest <= WINDOW_VALUES:
-        code = F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1
-        return distinct.select("column", "value", code.cast("int").alias("code"))
-    placed = durable(distinct.orderBy("column", *order)).select(
+    ordered = distinct.withColumn("number", number).orderBy("column", "number", "value")
+    placed = durable(ordered).select(
         "*",
         F.spark_partition_id().alias("pid"),
         F.monotonically_increasing_id().alias("at"),
@@ -68,30 +68,58 @@ def value_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first")
     )
     before = Window.partitionBy("column").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sizes = durable(sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))))
     code = (F.col("offset") + F.col("at") - F.col("first")).cast("int")
-    return placed.join(sizes, ["column", "pid"]).select("column", "value", code.alias("code"))
+    # one row per sorted partition and column
+    mapping = placed.join(F.broadcast(sizes.drop("n")), ["column", "pid"])
+    totals = sizes.groupBy("column").agg(F.sum("n").alias("n")).collect()
+    return mapping.select("column", "value", code.alias("code")), {r["column"]: r["n"] for r in totals}
+
+
+def _local_codes(spark, rows, numeric: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    found: dict[str, list] = {}
+    for row in rows:
+        found.setdefault(row["column"], []).append(row["value"])
+    columns, values, codes = [], [], []
+    for c, domain in found.items():
+        # missing values come first, as in Spark's ascending order
+        if c in numeric:
+            domain.sort(key=lambda v: (v is not None, float(v) if v is not None else 0.0))
+        else:
+            domain.sort(key=lambda v: (v is not None, v or ""))
+        columns += [c] * len(domain)
+        values += domain
+        codes += range(len(domain))
+    table = pa.table(
+        {
+            "column": pa.array(columns, pa.string()),
+            "value": pa.array(values, pa.string()),
+            "code": pa.array(codes, pa.int32()),
+        }
+    )
+    return spark.createDataFrame(table), {c: len(d) for c, d in found.items()}
 
 
-def apply_codes(df: DataFrame, cols: Sequence[str], mapping: DataFrame) -> DataFrame:
-    """Replace each column by its code."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+def apply_codes(
+    df: DataFrame, cols: Sequence[str], mapping: DataFrame, sizes: dict[str, int]
+) -> DataFrame:
+    """Replace each column by its code; mappings of known small size are broadcast."""
     out = df
     for c in cols:
         one = mapping.filter(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )
-        one = broadcast_if_small(one, BROADCAST_ROWS)
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
+            one = F.broadcast(one)
         match = F.col(f"`{c}`").cast("string").eqNullSafe(F.col("__value"))
         out = out.join(one, match, "left").withColumn(c, F.col("__code")).drop("__value", "__code")
-    assert set(types) == set(out.columns)
     return out.select(*df.columns)
 
 
 def discretize(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Code ``cols`` by sorted rank -> (coded table, mapping column/value/code)."""
-    mapping = value_codes(df, cols)
-    return apply_codes(df, cols, mapping), mapping
+    mapping, sizes = value_codes(df, cols)
+    return apply_codes(df, cols, mapping, sizes), mapping
 
 
 def minmax_normalize(df: DataFrame, cols: Sequence[str], ref_df: DataFrame) -> DataFrame:
@@ -120,14 +148,14 @@ def prepare_table(
     seed: int = 0,
 ) -> tuple[DataFrame, TableSpec]:
     """Code, scale by the table's own extremes, then select -> (table, coded spec)."""
-    coded, mapping = discretize(df, list(spec.categorical))
-    scaled = minmax_normalize(coded, list(spec.scaled), coded)
-    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.max("code").alias("n")).collect()}
+    mapping, sizes = value_codes(df, list(spec.categorical))
+    coded = apply_codes(df, list(spec.categorical), mapping, sizes)
+    scaled = minmax_normalize(coded, list(spec.scaled), df)
     spec = TableSpec(
         spec.categorical,
         spec.continuous,
         spec.scaled,
-        {c: tuple(range(sizes.get(c, -1) + 1)) for c in spec.categorical},
+        {c: tuple(range(sizes.get(c, 0))) for c in spec.categorical},
         spec.columns,
     ).select(cols)
     if n_attributes is not None:
@@ -181,7 +209,7 @@ def random_split(
     aux_size = total - test_size if aux_size is None else aux_size
     if min(test_size, aux_size) < 0 or test_size + aux_size > total:
         raise ValueError(f"sizes {test_size} + {aux_size} exceed {total} rows")
-    hashed = df.withColumn("__h", keyed_hash(seed, F.col(ID), STREAM_RANK))
+    hashed = df.withColumn("__h", keyed_hash(seed, ID, STREAM_RANK))
     ranked = ranked_by_hash(hashed, total)
     split = F.when(F.col("__rank") < test_size, "test").when(
         F.col("__rank") < test_size + aux_size, "aux"
@@ -191,8 +219,6 @@ def random_split(
 
 def ranked_by_hash(hashed: DataFrame, total: int, rows_per_bucket: int = 100_000) -> DataFrame:
     """Global 0-based rank by (``__h``, record id), sorted in buckets of the hash's top bits."""
-    from tablerisk.functions.ranks import bucketed_rank
-
     bits = min(max((max(total, 1) // rows_per_bucket).bit_length(), 3), 16)
     bucket = F.shiftright("__h", 32 - bits)
     return bucketed_rank(hashed, [], bucket, [F.col("__h"), F.col(ID)], "__rank")
@@ -209,11 +235,10 @@ def exclude_identical(df: DataFrame, target: DataFrame, cols: Sequence[str]) ->
 
 def halve_pool(df: DataFrame) -> DataFrame:
     """Add ``pool``: the first floor(n/2) records by id are "train", the rest "eval"."""
-    middle = grouped_quantile(df, [], ID, 0.5, "__cut")
+    middle = grouped_quantile(df.select(ID), [], ID, 0.5, "cut").first()
     # ids are unique: with the median between (or at) ids, "below the median" is floor(n/2) rows
-    pool = F.when(F.col(ID) < F.col("__cut"), "train").otherwise("eval")
-    joined = df.join(F.broadcast(middle), F.lit(True))  # exactly one row
-    return joined.withColumn("pool", pool).drop("__cut")
+    cut = F.lit(middle["cut"] if middle else None).cast("double")
+    return df.withColumn("pool", F.when(F.col(ID) < cut, "train").otherwise("eval"))
 
 
 def unique_records(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -50,7 +50,7 @@ def sample_per_dataset(
         raise ValueError(f"cannot draw {n_max} of {total} records without replacement")
     if n_max * POSITION_SHARE > total:
         return _sample_by_rank(pool, datasets, wanted, seed)
-    hashed = pool.withColumn("__h", keyed_hash(seed, F.col(ID), STREAM_INDEX))
+    hashed = pool.withColumn("__h", keyed_hash(seed, ID, STREAM_INDEX))
     indexed = ranked_by_hash(hashed, total).drop("__h").withColumnRenamed("__rank", "__pos")
     draws = draw_positions(datasets, wanted, n_max, total, seed)
     drawn = draws.join(indexed, "__pos").drop("__pos")
@@ -83,7 +83,7 @@ def _sample_by_rank(pool: DataFrame, datasets: DataFrame, wanted: Column, seed:
     """
     buckets = F.sequence(F.lit(0), F.lit(RANK_BUCKETS - 1))
     everywhere = datasets.withColumn("__part", F.explode(buckets))
-    part = (keyed_hash(seed, F.col(ID), STREAM_INDEX) % F.lit(RANK_BUCKETS)).cast("int")
+    part = (keyed_hash(seed, ID, STREAM_INDEX) % F.lit(RANK_BUCKETS)).cast("int")
     copies = pool.withColumn("__part", part).join(everywhere, "__part").drop("__part")
     copies = with_hashes(copies, seed, ["dataset_id", ID], {"__h": STREAM_RANK})
     order = F.row_number().over(

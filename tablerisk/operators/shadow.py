@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablerisk.functions.durable import durable
 from tablerisk.operators.prep import exclude_identical, halve_pool
 from tablerisk.operators.sampling import (
     dataset_ids,
@@ -102,7 +103,7 @@ def target_dataset(
     pool: DataFrame, target: DataFrame, cols: Sequence[str], n: int, datasets: DataFrame, seed: int
 ) -> DataFrame:
     """n-1 records that differ from the target, the target, and a random sensitive column."""
-    others = exclude_identical(pool, target, cols)
+    others = durable(exclude_identical(pool, target, cols))
     drawn = sample_per_dataset(others, datasets, n - 1, seed).withColumn("is_target", F.lit(False))
     members = _with_record(datasets, target.select(*pool.columns))
     whole = drawn.unionByName(members.withColumn("is_target", F.lit(True)).select(*drawn.columns))
@@ -125,7 +126,11 @@ def auxiliary_shadow(
     The first floor(n_datasets * (1 - eval_share)) datasets are drawn from the train half, the
     others from the eval half.
     """
-    others = halve_pool(exclude_identical(pool, target, cols))
+    # stored once: counting, halving, indexing and drawing all read it
+    others = durable(exclude_identical(pool, target, cols))
+    total = others.count()
+    sizes = {"train": total // 2, "eval": total - total // 2}
+    others = halve_pool(others)
     n_train = int(n_datasets * (1 - eval_share))
     frames = dataset_ids(pool.sparkSession, n_datasets).withColumn(
         "phase", F.when(F.col("dataset_id") < n_train, "train").otherwise("eval")
@@ -133,7 +138,8 @@ def auxiliary_shadow(
     halves = []
     for phase in ("train", "eval"):
         half = others.filter(F.col("pool") == phase).drop("pool")
-        halves.append(sample_per_dataset(half, frames.filter(F.col("phase") == phase), n - 1, seed))
+        wanted = frames.filter(F.col("phase") == phase)
+        halves.append(sample_per_dataset(half, wanted, n - 1, seed, pool_size=sizes[phase]))
     drawn = halves[0].unionByName(halves[1]).withColumn("is_target", F.lit(False))
     members = _with_record(frames, target.select(*pool.columns))
     whole = drawn.unionByName(members.withColumn("is_target", F.lit(True)).select(*drawn.columns))

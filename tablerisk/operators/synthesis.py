@@ -335,7 +335,7 @@ def _noisy_counts(
     grid = nets.select("dataset_id", "child", F.explode(keys).alias("key"))
     grid = grid.select("dataset_id", "child", "key", F.explode(every(F.col("child"))).alias("cell"))
     joint = grid.join(counts, ["dataset_id", "child", "key", "cell"], "left")
-    place = F.xxhash64("child", "key", "cell")
+    place = "xxhash64(child, key, cell)"
     hashed = with_hashes(joint, seed, ["dataset_id", place], {"__h": STREAM_NET})
     scale = F.lit(2.0 * len(spec.columns) / epsilon)
     noisy = F.coalesce(F.col("n"), F.lit(0)) + laplace(F.col("__h")) * scale

@@ -111,7 +111,7 @@ class AnswerCache:
             *literals, F.lit(1).cast("bigint").alias(f"__t{len(columns) - 1}")
         ).limit(1)
         beside = reduced.join(F.broadcast(one), F.lit(True))  # exactly one row
-        at = [F.col(f"__t{i}") for i in range(len(columns))]
+        at = [f"__t{i}" for i in range(len(columns))]
         self.states = durable(column_states(beside, columns, at, ["dataset_id"]))
         self.frames = self.states.select("dataset_id").distinct()
         self.store = GrowingTable(

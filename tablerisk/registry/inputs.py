@@ -131,7 +131,7 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def half(df: DataFrame, seed: int, bit: int) -> DataFrame:
     """About half of the records, by a hash bit of the id."""
-    return df.filter(keyed_hash(seed, F.col(ID), 3).bitwiseAND(F.lit(1)) == bit)
+    return df.filter(keyed_hash(seed, ID, 3).bitwiseAND(F.lit(1)) == bit)
 
 
 def document_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +145,7 @@ def document_features(spark: SparkSession, folder: str) -> DataFrame:
     def share(pattern: str):
         return F.length(F.regexp_replace(text, pattern, "")) / size
 
-    train = keyed_hash(3, F.col("doc_id"), 5) % 4 != 0
+    train = keyed_hash(3, "doc_id", 5) % 4 != 0
     return docs.select(
         "doc_id",
         F.col("quality").cast("int").alias("label"),

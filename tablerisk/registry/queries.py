@@ -119,7 +119,7 @@ def q_one_hot(spark, folder):
 @register("split_table")
 def q_split_table(spark, folder):
     df = I.customers(spark, folder)
-    turn = keyed_hash(2, F.col(ID), 3) % 3
+    turn = keyed_hash(2, ID, 3) % 3
     ids = df.select(ID, F.when(turn == 0, "aux").when(turn == 1, "target").alias("split"))
     return P.split_table(df, ids.filter("split is not null"))
 
@@ -529,7 +529,7 @@ def _nation_metrics(spark, folder):
         F.col("c_nationkey").alias("record_id"),
         (F.col("c_mktsegment") < 2).cast("int").alias("label"),
         (F.col("band") / 10.0).alias("a"),
-        ((keyed_hash(5, F.col(ID), 3) % 1000) / 1000.0).alias("b"),
+        ((keyed_hash(5, ID, 3) % 1000) / 1000.0).alias("b"),
     )
     scored = df.select(
         "record_id",
@@ -671,7 +671,7 @@ def q_attribute_audit(spark, folder):
 def q_membership_audit(spark, folder):
     df = I.customers(spark, folder)
     n = df.count()
-    turn = keyed_hash(61, F.col(ID), 3) % 4
+    turn = keyed_hash(61, ID, 3) % 4
     ids = df.select(ID, F.when(turn < 2, "aux").when(turn == 2, "target").alias("split"))
     split = durable(P.split_table(df, ids.filter("split is not null")))
     targets = split.filter("split = 'target'").orderBy(ID).limit(2)
