@@ -37,6 +37,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def stored_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a reduced join side once, store it, and broadcast it if it turned out small."""
+    return broadcast_if_small(durable(df), rows)
+
+
 class GrowingTable:
     """A stored table that grows by whole batches; a repeated batch replaces itself."""
 

@@ -32,6 +32,34 @@ def bucketed_rank(
     )
 
 
+def value_rank(
+    df: DataFrame, groups: list[str], value: str, band: Column, tie: str, name: str
+) -> DataFrame:
+    """Exact 0-based rank per group by ``value`` descending, then by the integer ``tie``.
+
+    ``band`` grows as ``value`` falls. Ranks start from counts of distinct values, and equal values
+    are numbered in stretches of 65536 ties, so neither a large group nor a large set of copies
+    is sorted by one task.
+    """
+    keys = [*groups, value]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__band", band)
+    inside = Window.partitionBy(*groups, "__band").orderBy(F.desc(value))
+    lower = Window.partitionBy(*groups).orderBy("__band")
+    before = (Window.unboundedPreceding, -1)
+    bands = counted.groupBy(*groups, "__band").agg(F.sum("__n").alias("__m")).select(
+        *groups, "__band", F.coalesce(F.sum("__m").over(lower.rowsBetween(*before)), F.lit(0)).alias("__skip")
+    )
+    starts = (
+        counted.withColumn("__in", F.coalesce(F.sum("__n").over(inside.rowsBetween(*before)), F.lit(0)))
+        .join(bands, [*groups, "__band"])
+        .select(*keys, (F.col("__skip") + F.col("__in")).alias("__start"))
+    )
+    tied = bucketed_rank(df, keys, F.shiftright(tie, 16), [F.col(tie)], "__tie")
+    return tied.join(starts, keys).select(
+        *df.columns, (F.col("__start") + F.col("__tie")).alias(name)
+    )
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where null equals null; keeps the left copy of the keys."""
     renamed = right

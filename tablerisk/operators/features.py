@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import broadcast_if_small
+from tablerisk.functions.durable import broadcast_if_small, stored_side
 from tablerisk.functions.ranks import grouped_quantile
 from tablerisk.operators.counts import comparable, target_counts
 from tablerisk.operators.nearest import closest_rows, distance_features, record_similarity
@@ -33,6 +33,12 @@ def _stack(wide: DataFrame, keys: Sequence[str], named: list[tuple[Column | str,
     return wide.select(*keys, F.explode(F.array(*entries)).alias("f")).select(*keys, "f.*")
 
 
+def _place(spec: TableSpec, column: str) -> Column:
+    """Position of a category in its declared domain; null outside it."""
+    pairs = [F.lit(x) for k, v in enumerate(spec.domain[column]) for x in (str(v), k)]
+    return F.create_map(*pairs)[F.col(f"`{column}`").cast("string")]
+
+
 def naive_features(tables: DataFrame, spec: TableSpec, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per dataset: mean, median and population variance of every continuous column; number of
     present categories, most and least frequent code of every categorical column.
@@ -54,14 +60,13 @@ def naive_features(tables: DataFrame, spec: TableSpec, keys: Sequence[str] = KEY
         # (column, code) counts are combined map-side; a group then holds at most one domain
         cells = F.array(
             *[
-                F.struct(
-                    F.lit(i).alias("at"), F.col(f"`{c}`").cast("string").alias("code")
-                )
+                F.struct(F.lit(i).alias("at"), _place(spec, c).alias("place"))
                 for i, c in enumerate(categorical)
             ]
         )
         counts = (
             tables.select(*keys, F.explode(cells).alias("cell"))
+            .filter("cell.place is not null")
             .groupBy(*keys, "cell")
             .agg(F.count(F.lit(1)).alias("n"))
             .groupBy(*keys)
@@ -74,13 +79,13 @@ def naive_features(tables: DataFrame, spec: TableSpec, keys: Sequence[str] = KEY
                     F.struct(
                         F.coalesce(
                             F.col("__counts")[
-                                F.struct(F.lit(i).alias("at"), F.lit(str(v)).alias("code"))
+                                F.struct(F.lit(i).alias("at"), F.lit(place).alias("place"))
                             ],
                             F.lit(0).cast("bigint"),
                         ).alias("n"),
                         F.lit(place).alias("place"),
                     )
-                    for place, v in enumerate(spec.domain[c])
+                    for place in range(len(spec.domain[c]))
                 ]
             )
             name = f"__seen{i}"
@@ -116,7 +121,7 @@ def correlation_features(
         *[F.min(f"`{c}`").alias(f"__lo{i}") for i, c in enumerate(continuous)],
         F.count(F.lit(1)).alias("__n"),
     )
-    shifted = tables.join(broadcast_if_small(lows), keys)
+    shifted = tables.join(stored_side(lows), keys)
     # entry 0 is the constant 1, entry i + 1 is column i
     entries = [F.struct(F.lit(0).alias("at"), F.lit(1.0).alias("x"))]
     for i, c in enumerate(continuous):
@@ -124,11 +129,8 @@ def correlation_features(
         entries.append(F.struct(F.lit(i + 1).alias("at"), value.alias("x")))
     start = len(continuous) + 1
     for c in spec.categorical:
-        places = F.create_map(
-            *[F.lit(x) for k, v in enumerate(spec.domain[c]) for x in (str(v), start + k)]
-        )
         entries.append(
-            F.struct(places[F.col(f"`{c}`").cast("string")].alias("at"), F.lit(1.0).alias("x"))
+            F.struct((_place(spec, c) + start).alias("at"), F.lit(1.0).alias("x"))
         )
         start += len(spec.domain[c])
     pairs = F.array(

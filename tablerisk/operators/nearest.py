@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablerisk.functions.durable import durable
-from tablerisk.functions.ranks import bucketed_rank, grouped_quantile
+from tablerisk.functions.ranks import grouped_quantile, value_rank
 from tablerisk.spec import ID, TableSpec
 
-MAX_CELLS = 4096
+MAX_CELLS = 16384
 CELL_ROWS = 2048
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
+SLABS = 1024
 SLACK = 1e-9
 
 
@@ -42,7 +43,7 @@ def achilles_scores(
     many tasks.
     """
     attributes = [*spec.categorical, *spec.continuous]
-    points = _weighted_points(df, attributes)
+    points = durable(_weighted_points(df, spec))
     points = durable(_with_cells(points, spec, max_cells, cell_rows))
     cells = durable(_cell_bounds(points, spec))
     own = points.select("point", "cell", F.lit(float("inf")).alias("limit"), "cats", "unit")
@@ -65,16 +66,12 @@ def achilles_scores(
     return df.alias("l").join(scored.alias("s"), match).select(f"l.{ID}", "s.achilles_score")
 
 
-def _weighted_points(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """One row per distinct record with its multiplicity and an id."""
+def _weighted_points(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row per distinct record: multiplicity, an id, cats (text), unit (continuous direction)."""
+    attributes = [*spec.categorical, *spec.continuous]
     counted = df.groupBy(*attributes).agg(
         F.count(F.lit(1)).alias("weight"), F.min(ID).alias("point")
     )
-    return counted
-
-
-def _with_cells(points: DataFrame, spec: TableSpec, max_cells: int, cell_rows: int) -> DataFrame:
-    """Add cats (codes as strings), unit (continuous direction) and cell."""
     squares = [F.col(f"`{c}`") * F.col(f"`{c}`") for c in spec.continuous]
     norm = F.sqrt(reduce(lambda a, b: a + b, squares)) if squares else F.lit(0.0)
     unit = [
@@ -82,41 +79,49 @@ def _with_cells(points: DataFrame, spec: TableSpec, max_cells: int, cell_rows: i
         for c in spec.continuous
     ]
     cats = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in spec.categorical]
-    points = points.withColumn(
-        "cats", F.array(*cats) if cats else F.array().cast("array<string>")
-    ).withColumn("unit", F.array(*unit) if unit else F.array().cast("array<double>"))
+    return counted.select(
+        "*",
+        (F.array(*cats) if cats else F.array().cast("array<string>")).alias("cats"),
+        (F.array(*unit) if unit else F.array().cast("array<double>")).alias("unit"),
+    )
+
+
+def _with_cells(points: DataFrame, spec: TableSpec, max_cells: int, cell_rows: int) -> DataFrame:
+    """Add cell: a prefix of categorical values, cut into slabs along one direction.
+
+    There are at most about 2 * max_cells cells. A frequent prefix gets proportionally more slabs.
+    """
+    n_cat, n_cont = len(spec.categorical), len(spec.continuous)
     stats = points.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.approx_count_distinct(F.col("cats")[i]).alias(f"d{i}") for i in range(len(cats))],
-        *[F.stddev_pop(F.col("unit")[i]).alias(f"s{i}") for i in range(len(unit))],
+        *[F.approx_count_distinct(F.col("cats")[i]).alias(f"d{i}") for i in range(n_cat)],
+        *[F.stddev_pop(F.col("unit")[i]).alias(f"s{i}") for i in range(n_cont)],
     ).first()
-    # cells split on as many categorical columns as the cell budget allows, fewest values first
+    # split on as many categorical columns as the cell budget allows, fewest values first
     split_on, product = [], 1
-    budget = max(1, min(max_cells, stats["n"] // cell_rows + 1))
-    for i in sorted(range(len(cats)), key=lambda i: (stats[f"d{i}"], i)):
-        if product * max(stats[f"d{i}"], 1) > max(budget, 2):
-            break
+    budget = max(2, min(max_cells, stats["n"] // cell_rows + 1))
+    for i in sorted(range(n_cat), key=lambda i: (stats[f"d{i}"], i)):
         product *= max(stats[f"d{i}"], 1)
+        if product > budget:
+            break
         split_on.append(i)
     prefix = F.concat_ws("\x1f", *[F.col("cats")[i] for i in split_on]) if split_on else F.lit("")
     points = points.withColumn("prefix", prefix)
-    if not unit or stats["n"] <= cell_rows:
-        return points.withColumn("slab", F.lit(0)).withColumn("cell", F.xxhash64("prefix", "slab"))
-    # then into slabs of about equal size along the most spread direction
-    axis = max(range(len(unit)), key=lambda i: (stats[f"s{i}"] or 0.0, -i))
-    slabs = max(1, min(max_cells // max(product, 1), stats["n"] // (cell_rows * max(product, 1)) + 1))
-    cuts = [(i + 1) / slabs for i in range(slabs - 1)]
-    points = points.withColumn("along", F.col("unit")[axis])
-    if cuts:
+    slab = F.lit(0)
+    if n_cont and stats["n"] > cell_rows:
+        target = max(cell_rows, stats["n"] // max_cells)
+        axis = max(range(n_cont), key=lambda i: (stats[f"s{i}"] or 0.0, -i))
+        points = points.withColumn("along", F.col("unit")[axis])
+        shares = ", ".join(f"{i / SLABS!r}D" for i in range(1, SLABS))
         edges = points.groupBy("prefix").agg(
-            F.percentile_approx("along", cuts, 20 * slabs).alias("edges")
+            F.expr(f"percentile_approx(along, array({shares}), {20 * SLABS})").alias("fine"),
+            F.greatest(F.floor(F.lit(target * SLABS) / F.count(F.lit(1))), F.lit(1)).alias("step"),
         )
-        points = points.join(F.broadcast(edges), "prefix")  # at most max_cells rows
+        kept = F.array_distinct(F.filter("fine", lambda e, i: (i + 1) % F.col("step") == 0))
+        edges = F.broadcast(edges.select("prefix", kept.alias("edges")))  # at most max_cells rows
+        points = points.join(edges, "prefix")
         slab = F.size(F.filter("edges", lambda e: e < F.col("along")))
-        points = points.withColumn("slab", slab).drop("edges")
-    else:
-        points = points.withColumn("slab", F.lit(0))
-    return points.drop("along").withColumn("cell", F.xxhash64("prefix", "slab"))
+    return points.withColumn("cell", F.xxhash64("prefix", slab)).drop("along", "edges")
 
 
 def _cell_bounds(points: DataFrame, spec: TableSpec) -> DataFrame:
@@ -364,12 +369,10 @@ def with_target(df: DataFrame, target: DataFrame, cols: Sequence[str], prefix: s
 def distance_features(similarities: DataFrame, groups: Sequence[str]) -> DataFrame:
     """All similarities of a dataset in descending order -> groups, rank (0-based), similarity.
 
-    Expects groups, record_id, similarity. Ranks are counted in bands of similarity, so even one
-    very large dataset is sorted by many tasks.
+    Expects groups, record_id, similarity; equal similarities are ranked by id.
     """
     band = F.floor((F.lit(1.0) - F.col("similarity")) * F.lit(2048.0))
-    order = [F.desc("similarity"), F.col(ID)]
-    ranked = bucketed_rank(similarities, list(groups), band, order, "rank")
+    ranked = value_rank(similarities, list(groups), "similarity", band, ID, "rank")
     return ranked.select(*groups, "rank", "similarity")
 
 

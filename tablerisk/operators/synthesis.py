@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import broadcast_if_small, durable
+from tablerisk.functions.durable import broadcast_if_small, durable, stored_side
 from tablerisk.functions.keyed import (
     STREAM_NET,
     STREAM_SYNTH,
@@ -47,6 +47,7 @@ def to_cells(
         else F.array().cast("array<double>").alias("high"),
         F.count(F.lit(1)).alias("n"),
     )
+    edges = durable(edges)
     joined = tables.join(broadcast_if_small(edges), "dataset_id")
     cells, at = [], 0
     for c in spec.columns:
@@ -54,7 +55,9 @@ def to_cells(
             places = F.create_map(
                 *[F.lit(x) for k, v in enumerate(spec.domain[c]) for x in (str(v), k)]
             )
-            cells.append(places[F.col(f"`{c}`").cast("string")])
+            text = F.col(f"`{c}`").cast("string")
+            message = F.concat(F.lit(f"unseen category in {c}: "), F.coalesce(text, F.lit("null")))
+            cells.append(F.coalesce(places[text], F.raise_error(message).cast("int")))
         else:
             low, high = F.col("low")[at], F.col("high")[at]
             share = F.try_divide(F.col(f"`{c}`").cast("double") - low, high - low)
@@ -142,6 +145,7 @@ def synth_independent(
             F.collect_list(F.struct("column", F.struct("values", "upto")))
         ).alias("m")
     )
+    packed = durable(packed)
     rows = row_frames(packed.select("dataset_id"), size)
     streams = {f"__h{i}": STREAM_SYNTH + i for i in range(len(spec.columns))}
     hashed = with_hashes(rows, seed, ["dataset_id", "row_no"], streams)
@@ -399,7 +403,7 @@ def synth_sequential_tree(
         counts = records.groupBy("dataset_id", "node", F.col("y").alias("cell")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        leaves = broadcast_if_small(_distribution(counts, ["dataset_id", "node"]))
+        leaves = stored_side(_distribution(counts, ["dataset_id", "node"]))
         at = drawn.join(leaves, ["dataset_id", "node"])
         at = with_hashes(at, seed, ["dataset_id", "row_no"], {"__h": STREAM_SYNTH + 200 + child})
         pick = _pick("values", "upto", uniform(F.col("__h")))

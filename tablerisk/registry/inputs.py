@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablerisk.functions.durable import durable
 from tablerisk.functions.keyed import STREAM_QUERY, keyed_hash, with_hashes
 from tablerisk.operators.nearest import achilles_scores
 from tablerisk.operators.prep import discretize, minmax_normalize, prepare_table
@@ -126,7 +127,8 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
     streams = {f"__h{i}": STREAM_QUERY + i for i in range(LOG_WIDTH)}
     hashed = with_hashes(df, 17, ["query_id"], streams)
     codes = [(F.col(f"__h{i}") % 3 - 1).cast("int") for i in range(LOG_WIDTH)]
-    return hashed.select("query_id", "solution_id", F.array(*codes).alias("conditions"))
+    log = hashed.select("query_id", "solution_id", F.array(*codes).alias("conditions"))
+    return durable(log)  # a real log is a stored table, not an expression
 
 
 def half(df: DataFrame, seed: int, bit: int) -> DataFrame:
