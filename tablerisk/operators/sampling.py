@@ -15,6 +15,7 @@ from tablerisk.functions.keyed import (
     uniform53,
     with_hashes,
 )
+from tablerisk.functions.ranks import bucketed_rank
 from tablerisk.operators.prep import ranked_by_hash
 from tablerisk.spec import ID
 
@@ -86,11 +87,9 @@ def _sample_by_rank(pool: DataFrame, datasets: DataFrame, wanted: Column, seed:
     part = (keyed_hash(seed, ID, STREAM_INDEX) % F.lit(RANK_BUCKETS)).cast("int")
     copies = pool.withColumn("__part", part).join(everywhere, "__part").drop("__part")
     copies = with_hashes(copies, seed, ["dataset_id", ID], {"__h": STREAM_RANK})
-    order = F.row_number().over(
-        Window.partitionBy(*datasets.columns).orderBy("__h", ID)
-    )
-    picked = copies.withColumn("__order", order).filter(F.col("__order") <= wanted)
-    return picked.select(*datasets.columns, *pool.columns)
+    order = [F.col("__h"), F.col(ID)]
+    ranked = bucketed_rank(copies, datasets.columns, F.shiftright("__h", 24), order, "__rank")
+    return ranked.filter(F.col("__rank") < wanted).select(*datasets.columns, *pool.columns)
 
 
 def sensitive_bit(df: DataFrame, seed: int, name: str = "sensitive") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from tablerisk.plans.query_search import (
 )
 from tablerisk.spec import ID, Mechanism
 
+PARALLEL_TARGETS = 4
+
 # Display names of the two final models and their training functions.
 FINAL_MODELS = {"logistic_regression": "logreg", "mlp": "mlp"}
 FINAL_OPTIONS = {"logistic_regression": {"c": 1.0}, "mlp": {"hidden": (50, 20)}}
@@ -122,12 +126,17 @@ def attribute_audit(
 ) -> DataFrame:
     """Audit several targets -> target_id, model, acc_train, acc_eval, acc_test, auc_test."""
     config = config or SearchConfig()
-    scored = None
-    for target_id in targets:
-        part = audit_one_target(
+    if not targets:
+        raise ValueError("no targets")
+
+    def audit(target_id: int) -> DataFrame:
+        return audit_one_target(
             split, columns, target_id, mechanism, scenario, config, n_rows, n_datasets, n_tests
         )
-        scored = part if scored is None else scored.unionByName(part)
+
+    # searches for different targets are independent: their jobs share the cluster
+    with ThreadPool(min(PARALLEL_TARGETS, len(targets))) as threads:
+        scored = reduce(DataFrame.unionByName, threads.map(audit, targets))
     metrics = binary_metrics(scored, ["target_id", "model", "phase"], strict=False)
     at = {p: F.max(F.when(F.col("phase") == p, F.col("accuracy"))) for p in ("train", "eval", "test")}
     return metrics.groupBy("target_id", "model").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from tablerisk.operators.shadow import (
 from tablerisk.operators.synthesis import synthesize
 from tablerisk.spec import ID, TableSpec
 
+PARALLEL_TARGETS = 4
 PHASE_KEYS = ("target_id", "phase", "dataset_id")
 
 
@@ -58,6 +60,8 @@ def membership_predictions(
     pool = split.filter("split = 'eval'").select(*columns)
     base = split.filter("split = 'target'").select(*columns)
     chosen = durable(targets.select(*columns))
+    if chosen.isEmpty():
+        raise ValueError("no targets")
     if aux.join(chosen.select(ID), ID, "left_semi").limit(1).count():
         raise ValueError("targets must not be auxiliary records")
     ids = [r[0] for r in chosen.select(ID).orderBy(ID).limit(100_000).collect()]
@@ -113,19 +117,21 @@ def membership_predictions(
     train, rest = standardize_features(train, rest)
     both = feature_vectors(train.unionByName(rest), PHASE_KEYS).join(labels, list(PHASE_KEYS))
     both = durable(both)
-    scored = []
-    for target in ids:
+
+    def fit(target: int) -> DataFrame:
         mine = both.filter(F.col("target_id") == target)
-        scored.append(
-            fit_models(
-                mine.filter("phase = 'train'"),
-                mine.filter("phase <> 'train'"),
-                models,
-                cv_key="dataset_id" if cv else None,
-                seed=seed,
-                params=params,
-            )
+        return fit_models(
+            mine.filter("phase = 'train'"),
+            mine.filter("phase <> 'train'"),
+            models,
+            cv_key="dataset_id" if cv else None,
+            seed=seed,
+            params=params,
         )
+
+    # the fits of different targets are independent Spark jobs
+    with ThreadPool(min(PARALLEL_TARGETS, len(ids))) as threads:
+        scored = threads.map(fit, ids)
     out = scored[0]
     for part in scored[1:]:
         out = out.unionByName(part)
