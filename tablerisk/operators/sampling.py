@@ -40,8 +40,8 @@ def sample_per_dataset(
     """For every row of ``datasets`` draw ``n`` distinct pool records -> dataset columns + pool.
 
     ``n`` is a number or the name of a column of ``datasets`` (then ``n_max`` bounds it). Work
-    grows with the drawn rows, not with pool x datasets: the pool gets dense positions once, each
-    dataset draws positions, and an equi-join fetches the records. Positions come from 2n+64
+    grows with the drawn rows, not with pool x datasets: the pool's ids get dense positions once,
+    each dataset draws positions, and equi-joins fetch the records. Positions come from 2n+64
     hashed draws followed by n consecutive ones, so n distinct positions always exist.
     """
     wanted = F.col(n) if isinstance(n, str) else F.lit(n)
@@ -51,11 +51,12 @@ def sample_per_dataset(
         raise ValueError(f"cannot draw {n_max} of {total} records without replacement")
     if n_max * POSITION_SHARE > total:
         return _sample_by_rank(pool, datasets, wanted, seed)
-    hashed = pool.withColumn("__h", keyed_hash(seed, ID, STREAM_INDEX))
-    indexed = ranked_by_hash(hashed, total).drop("__h").withColumnRenamed("__rank", "__pos")
+    hashed = pool.select(ID, keyed_hash(seed, ID, STREAM_INDEX).alias("__h"))
+    indexed = ranked_by_hash(hashed, total).select(ID, F.col("__rank").alias("__pos"))
     draws = draw_positions(datasets, wanted, n_max, total, seed)
+    # only ids are sorted and shuffled; the wide rows meet the (few) drawn ids at the end
     drawn = draws.join(indexed, "__pos").drop("__pos")
-    return drawn.select(*datasets.columns, *pool.columns)
+    return drawn.join(pool, ID).select(*datasets.columns, *pool.columns)
 
 
 def draw_positions(

@@ -31,6 +31,7 @@ def shadow_tables(
     Even datasets hold the target and n-1 pool records, odd ones n pool records. ``dataset_id`` is
     unique over targets: it is the dataset's number plus n_datasets times the target's position.
     """
+    targets = durable(targets)
     numbered = _numbered_targets(targets)
     frames = numbered.select(
         F.col(ID).alias("target_id"),

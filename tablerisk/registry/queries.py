@@ -176,14 +176,14 @@ def q_exact_shadow(spark, folder):
 
 def _halves(spark, folder):
     df = I.customers(spark, folder)
-    aux, pool = I.half(df, 11, 1), I.half(df, 11, 0)
+    aux, pool = durable(I.half(df, 11, 1)), durable(I.half(df, 11, 0))
     return df, aux, pool, df.count() // 20
 
 
 @register("shadow_tables")
 def q_shadow_tables(spark, folder):
     _, aux, pool, n = _halves(spark, folder)
-    targets = pool.filter(F.col(ID) < 30)
+    targets = I.one_of_each(pool, "c_nationkey")
     return H.shadow_tables(aux, targets, n, 4, 12)
 
 
@@ -198,7 +198,7 @@ def q_shadow_tables_specific(spark, folder):
 @register("shadow_tables_average")
 def q_shadow_tables_average(spark, folder):
     _, aux, pool, n = _halves(spark, folder)
-    targets = aux.filter(F.col(ID) < 10)
+    targets = I.one_of_each(aux, "c_mktsegment")
     return H.shadow_tables_average(pool, targets, n, 4, 14)
 
 
@@ -306,7 +306,7 @@ def q_structured_counts(spark, folder):
     columns = [*I.CUSTOMER_COLUMNS, "sensitive"]
     spec = TableSpec(tuple(columns), ())
     lattice = S.query_lattice(spark, spec, [1, 2, 3, 4], (1, -1))
-    users = df.filter(F.col(ID) < 5).select(F.col(ID).alias("user_id"))
+    users = I.one_of_each(df, "c_mktsegment").select(F.col(ID).alias("user_id"))
     answers = C.structured_counts(df, columns, users, lattice)
     return answers.select("user_id", "query_id", "cnt")
 
@@ -415,6 +415,12 @@ def q_similarity_features(spark, folder):
     return rounded(X.similarity_features(df, I.EVENTS, I.event_target(df)), 5)
 
 
+@register("closest_features")
+def q_closest_features(spark, folder):
+    df = I.events(spark, folder)
+    return rounded(X.closest_features(df, I.EVENTS, I.event_target(df), 10))
+
+
 @register("extract_features")
 def q_extract_features(spark, folder):
     df = I.events(spark, folder)
@@ -570,7 +576,8 @@ def _fresh_folder(spark) -> str:
 @register("resume_targets")
 def q_resume_targets(spark, folder):
     target = _fresh_folder(spark)
-    done = _nation_metrics(spark, folder).filter("record_id % 3 = 0")
+    metrics = _nation_metrics(spark, folder)
+    done = metrics.filter("model = 'random_forest' and accuracy >= 0.5")
     write_results(done, target, ["model"])
     wanted = I.customers(spark, folder).select(F.col("c_nationkey").alias("record_id")).distinct()
     return resume_targets(wanted, target, "record_id")

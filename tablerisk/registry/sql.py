@@ -230,9 +230,9 @@ HALVES = f"""{CUSTOMERS}, aux AS (SELECT * FROM cust WHERE {half_filter(11, 1)})
 pool AS (SELECT * FROM cust WHERE {half_filter(11, 0)})"""
 _SHADOW_OUT = "SELECT target_id, dataset_id, in_dataset, cust.* FROM shadows JOIN cust USING (record_id)"
 ORACLE["shadow_tables"] = f"""WITH {HALVES},
-{shadow('aux', '(SELECT * FROM pool WHERE record_id < 30)', f'{_N} // 20', 4, 12)} {_SHADOW_OUT}"""
+{shadow('aux', '(SELECT min(record_id) AS record_id FROM pool GROUP BY c_nationkey)', f'{_N} // 20', 4, 12)} {_SHADOW_OUT}"""
 ORACLE["shadow_tables_average"] = f"""WITH {HALVES},
-targets AS (SELECT * FROM aux WHERE record_id < 10),
+targets AS (SELECT min(record_id) AS record_id FROM aux GROUP BY c_mktsegment),
 others AS (SELECT * FROM pool WHERE record_id NOT IN (SELECT record_id FROM targets)),
 {shadow('others', 'targets', f'{_N} // 20', 4, 14)} {_SHADOW_OUT}"""
 ORACLE["shadow_tables_specific"] = f"""WITH {HALVES},
@@ -365,7 +365,8 @@ FROM few, vals, lat GROUP BY value_id, query_id"""
 _FULL = ["c_nationkey", "c_mktsegment", "band", "sensitive"]
 ORACLE["structured_counts"] = f"""WITH {CUSTOMERS}, {FIXED},
 {lattice(_FULL, [_CAT] * 4, [1, 2, 3, 4])},
-vals AS (SELECT record_id AS user_id, * REPLACE (1 AS sensitive) FROM fixed WHERE record_id < 5)
+vals AS (SELECT record_id AS user_id, * REPLACE (1 AS sensitive) FROM fixed
+  WHERE record_id IN (SELECT min(record_id) FROM fixed GROUP BY c_mktsegment))
 SELECT user_id, query_id, count(*) FILTER ({matches(_FULL, 'fixed', 'vals')}) AS cnt
 FROM fixed, vals, lat GROUP BY user_id, query_id"""
 _ORD = ["o_orderstatus", "o_orderpriority", "band"]
@@ -524,6 +525,17 @@ sims AS (SELECT ev.target_id, ev.dataset_id, {_COS} AS s FROM ev, (SELECT * FROM
 rks AS (SELECT *, (row_number() OVER (PARTITION BY target_id, dataset_id ORDER BY s DESC) - 1)::BIGINT AS r
   FROM sims)
 SELECT target_id, dataset_id, r AS feature_pos, 'distance_X=' || r AS feature, round(s, 5) AS value FROM rks"""
+_CLOSE = "".join(
+    f" UNION ALL SELECT target_id, dataset_id, r * 8 + {2 + v}, 'event_type_{v}_top_X=' || r, "
+    f"(event_type = {v})::DOUBLE FROM top"
+    for v in range(6)
+)
+ORACLE["closest_features"] = f"""WITH {EVENTS},
+sims AS (SELECT ev.*, {_COS} AS s FROM ev, (SELECT * FROM ev WHERE record_id = 0) t),
+top AS (SELECT *, (row_number() OVER (PARTITION BY target_id, dataset_id ORDER BY s DESC, record_id) - 1)
+  ::BIGINT AS r FROM sims QUALIFY r < 10)
+SELECT target_id, dataset_id, r * 8 AS feature_pos, 'value_top_X=' || r AS feature, round(value, 6) AS value FROM top
+UNION ALL SELECT target_id, dataset_id, r * 8 + 1, 'hour_top_X=' || r, hour FROM top{_CLOSE}"""
 ORACLE["extract_features"] = f"""WITH {_FEATURES},
 every AS (SELECT *, 0::BIGINT AS extractor FROM ({naive()})
   UNION ALL SELECT *, 1 FROM feats UNION ALL SELECT *, 2 FROM ({correlation()}))
@@ -602,8 +614,8 @@ ORACLE["aggregate_targets"] = f"""WITH {NATIONS}
 SELECT model, count(*) AS n_targets, round(avg(accuracy), 6) AS mean_accuracy, round(avg(auc), 6) AS mean_auc
 FROM mets GROUP BY model"""
 ORACLE["write_results"] = f"WITH {NATIONS} SELECT record_id, model, {_METRIC} FROM mets"
-ORACLE["resume_targets"] = """SELECT DISTINCT c_nationkey::BIGINT AS record_id FROM customer
-WHERE c_nationkey % 3 <> 0"""
+ORACLE["resume_targets"] = f"""WITH {NATIONS} SELECT DISTINCT c_nationkey AS record_id FROM cust
+WHERE c_nationkey NOT IN (SELECT record_id FROM mets WHERE model = 'random_forest' AND accuracy >= 0.5)"""
 
 # ---- attribute audit ----------------------------------------------------------------------
 
