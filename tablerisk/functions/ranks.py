@@ -15,20 +15,20 @@ def bucketed_rank(
     by the number of rows in lower buckets, so no task ever sorts a whole group. The final join
     has the window's own partitioning and adds no shuffle of the rows. Groups are never null.
     """
-    tagged = df.withColumn("__bucket", bucket)
-    keys = [*groups, "__bucket"]
-    below = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = df.withColumn("__rank_bucket", bucket)
+    keys = [*groups, "__rank_bucket"]
+    below = Window.orderBy("__rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
     if groups:
         below = below.partitionBy(*groups)
     offsets = (
         tagged.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__offset"))
+        .agg(F.count(F.lit(1)).alias("__rank_rows"))
+        .select(*keys, F.coalesce(F.sum("__rank_rows").over(below), F.lit(0)).alias("__rank_offset"))
     )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    numbered = tagged.withColumn("__inside", inside)
+    numbered = tagged.withColumn("__rank_inside", inside)
     return numbered.join(offsets, keys).select(
-        *df.columns, (F.col("__offset") + F.col("__inside")).alias(name)
+        *df.columns, (F.col("__rank_offset") + F.col("__rank_inside")).alias(name)
     )
 
 

@@ -113,6 +113,13 @@ def test_sampling_is_even(spark):
     assert len(hits) == 400 and 15 < hits.min() and hits.max() < 70  # 40 expected, sd 6
 
 
+def test_tables_nearly_as_large_as_the_pool(spark):
+    df = spark.range(40).select(F.col("id").alias("record_id"), (F.col("id") % 7).alias("a"))
+    tables = H.shadow_tables(df.filter("record_id >= 10"), df.filter("record_id < 2"), 25, 4, 1)
+    got = tables.groupBy("target_id", "dataset_id").agg(F.countDistinct("record_id").alias("n"))
+    assert [r.n for r in got.collect()] == [25] * 8
+
+
 def test_target_is_absent_from_out_tables(spark):
     df = spark.range(300).select(F.col("id").alias("record_id"), (F.col("id") % 7).alias("a"))
     target = df.filter("record_id = 5")
