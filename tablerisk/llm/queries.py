@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import quality, warc
+from tablerisk.llm import contamination, quality, spans, templates, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,14 +18,34 @@ def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return warc.deduplicated_archives(table(spark, folder, "pages"), least_bytes=0)
 
 
+def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without sentences that a repeated sentence span covers, but for its first document."""
+    cut = spans.remove_repeated_spans(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Word statistics and Kneser-Ney perplexity bands over all documents."""
     return quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the best window."""
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without lines whose template recurs across documents."""
+    cut = templates.drop_recurring_lines(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped_lines", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
+    "op4_sentence_spans": op4_sentence_spans,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLE: dict[str, str] = {}
