@@ -27,6 +27,11 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: never broadcast, so small and large inputs share one plan."""
+    return df.hint("merge")
+
+
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's filesystem and path for a folder given as path or URI."""
     if "://" in folder or folder.startswith("file:"):
