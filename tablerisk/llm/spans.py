@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerisk.llm.store import new_folder, stored
+from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import BASE, SPACE, mix, powers, signed, slices, words
 
 STOPS = np.zeros(256, bool)
@@ -80,7 +80,7 @@ def repeated_spans(documents: DataFrame, sentences: int, min_words: int, folder:
     spans = spans.where(F.col("doc").isNotNull())
     known = spans.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     known = stored(known.where(F.col("first") < F.col("last")).drop("last"), f"{folder}/known")
-    return spans.join(known, "hash").where(F.col("doc") > F.col("first")).select("doc", "hash")
+    return spans.join(growing(known), "hash").where(F.col("doc") > F.col("first")).select("doc", "hash")
 
 
 def remove_repeated_spans(documents: DataFrame, sentences: int = 2, min_words: int = 20) -> DataFrame:
@@ -97,7 +97,7 @@ def remove_repeated_spans(documents: DataFrame, sentences: int = 2, min_words: i
     documents = documents.drop(*added)
     found = repeated_spans(documents, sentences, min_words, folder)
     cut = found.groupBy("doc").agg(F.collect_set("hash").alias("__spans"))
-    rows = documents.join(cut, documents["doc_id"].cast("long") == cut["doc"], "left").drop("doc")
+    rows = documents.join(growing(cut), documents["doc_id"].cast("long") == cut["doc"], "left").drop("doc")
     schema = T.StructType([*documents.schema.fields, *(T.StructField(n, T.LongType()) for n in added)])
     text_at = documents.columns.index("text")
 
