@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import contamination, quality, spans, templates, warc
+from tablerisk.llm import contamination, packing, quality, sequences, spans, templates, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the machine keeps a public tokenizer; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     """WARC records of all pages, revisits resolved, as read back from the archives."""
     return warc.deduplicated_archives(table(spark, folder, "pages"), least_bytes=0)
@@ -24,6 +31,20 @@ def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op5_arrow_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents as read back from the Arrow stream files."""
+    return sequences.token_sequences(
+        table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), keeps_space=False, end_id=1
+    )
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.packed(
+        table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), keeps_space=True, end_id=2
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Word statistics and Kneser-Ney perplexity bands over all documents."""
     return quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -43,6 +64,8 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op4_sentence_spans": op4_sentence_spans,
+    "op5_arrow_sequences": op5_arrow_sequences,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_templates": op10_line_templates,
