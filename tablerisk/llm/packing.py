@@ -114,10 +114,10 @@ def grouped(lengths: np.ndarray, counts: np.ndarray, groups: int) -> dict[int, i
     return demand
 
 
-def pack(histogram: dict[int, int], capacity: int, groups: int = 512, small: int | None = None) -> Plan:
+def pack(histogram: dict[int, int], capacity: int, groups: int = 8192, small: int | None = None) -> Plan:
     """A plan for a histogram of lengths from 1 to ``capacity``."""
     plan = Plan()
-    small = capacity // 8 if small is None else small
+    small = capacity // 16 if small is None else small
     rest: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, count)
     if full := histogram.get(capacity, 0):
         plan.put(capacity, 0, full, 0, 0)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import contamination, packing, quality, sequences, spans, templates, warc
+from tablerisk.llm import contamination, jaccard, packing, quality, sequences, spans, templates, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_arrow_sequences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are at least 90 % similar."""
+    return jaccard.similar_documents(table(spark, folder, "documents"), size=3, percent=90)
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.packed(
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_arrow_sequences": op5_arrow_sequences,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
