@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import contamination, jaccard, packing, quality, sequences, spans, templates, warc
+from tablerisk.llm import contamination, jaccard, language_model, packing, quality, sequences, spans, templates, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return warc.deduplicated_archives(table(spark, folder, "pages"), least_bytes=0)
 
 
+def op3_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored with the trigram trie learned from six of seven folds."""
+    return language_model.language_model_scores(table(spark, folder, "documents"), fold=2, folds=7)
+
+
 def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without sentences that a repeated sentence span covers, but for its first document."""
     cut = spans.remove_repeated_spans(table(spark, folder, "documents"))
@@ -68,6 +73,7 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_arrow_sequences": op5_arrow_sequences,
     "op6_ngram_jaccard": op6_ngram_jaccard,
