@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import contamination, jaccard, language_model, packing, quality, sequences, spans, templates, warc
+from tablerisk.llm import contamination, jaccard, language_model, packing, quality, sequences, spans, substrings, templates, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without bytes that a 200-byte string covers which starts elsewhere too."""
+    return substrings.remove_repeats(table(spark, folder, "documents"), length=200)
+
+
 def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     """WARC records of all pages, revisits resolved, as read back from the archives."""
     return warc.deduplicated_archives(table(spark, folder, "pages"), least_bytes=0)
@@ -72,6 +77,7 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_substrings": op1_suffix_substrings,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_sentence_spans": op4_sentence_spans,
