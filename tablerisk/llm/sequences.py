@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tablerisk.llm.store import Folder, new_folder, stored
 from tablerisk.llm.text import slices
-from tablerisk.llm.tokens import PieceCache
+from tablerisk.llm.tokens import shared_cache
 
 BATCH_SEQUENCES = 128
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -123,7 +123,7 @@ def write_sequences(
         for batch in batches:
             for rows in slices(batch, "text"):
                 if writer is None:
-                    cache = PieceCache(tokenizer, keeps_space, dtype.str)
+                    cache = shared_cache(tokenizer, keeps_space, dtype.str)
                     writer = SequenceWriter(target, f"{name}.arrow", length, kind)
                     stream, private = target.open_new(f"{name}.index.arrow")
                     index = pa.ipc.new_stream(stream, INDEX)

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 TAIL = re.compile(r"^([^\W\d_]+)([.,;:!?*#$%&|\-()]*)$")
 
 
@@ -124,3 +126,15 @@ class PieceCache:
         if not piece:
             return b""
         return None if any(c.isspace() for c in piece) else self.whole([piece])[0]
+
+
+def shared_cache(path: str, keeps_space: bool, dtype: str = "<u4") -> PieceCache:
+    """The cache of a worker process, kept from one of its tasks to the next.
+
+    Functions of this package travel to workers by value, so what a worker keeps lives in a module made there.
+    """
+    kept = sys.modules.setdefault("tablerisk_kept", types.ModuleType("tablerisk_kept"))
+    key = (path, keeps_space, dtype)
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.cache = key, PieceCache(path, keeps_space, dtype)
+    return kept.cache
