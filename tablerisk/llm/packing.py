@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import slices
-from tablerisk.llm.tokens import PieceCache
+from tablerisk.llm.tokens import shared_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED_TOGETHER = 200_000
@@ -36,7 +36,7 @@ def pieces(documents: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows in slices(batch, "text"):
-                cache = cache or PieceCache(tokenizer, keeps_space)
+                cache = cache or shared_cache(tokenizer, keeps_space)
                 out: list[tuple] = []
                 texts = pc.fill_null(rows.column("text"), "").to_pylist()
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), cache.ids(texts)):
@@ -148,6 +148,12 @@ def pack(histogram: dict[int, int], capacity: int, groups: int = 8192, small: in
     return plan
 
 
+def best_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """The plan with the fewest sequences over a few group counts and limits for small pieces."""
+    tries = [(g, capacity // s) for g in (512, 8192) for s in (8, 16, 32)]
+    return min((pack(histogram, capacity, g, s) for g, s in tries), key=lambda plan: plan.sequences)
+
+
 def substitute(
     plan: Plan, rest: dict, ranks: list[int], times: int, lengths: np.ndarray, ends: np.ndarray, capacity: int
 ) -> None:
@@ -235,5 +241,5 @@ def packed(
     folder = new_folder(documents.sparkSession, "packing")
     cut = stored(pieces(documents, tokenizer, keeps_space, end_id, capacity), f"{folder}/pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # <= capacity rows
-    plan = pack(histogram, capacity)
+    plan = best_plan(histogram, capacity)
     return place(ranked(cut, max(histogram.values(), default=0)), plan)
