@@ -1,8 +1,8 @@
 """N-gram Jaccard join with rare-first prefixes and length, positional and suffix filters.
 
-Documents with equal shingle sets form one class and take part once. A class's shingles are ordered
-rare first; two sets as similar as asked share a shingle among their first few, so classes meet on
-these prefix shingles only. In a first pass every class of a prefix shingle meets the smallest
+Documents with equal shingle sets form one class and take part once. All shingles are counted, and a
+class's shingles are ordered rare first; two sets as similar as asked share a shingle among their
+first few, so classes meet on these prefix shingles only, and shingles that occur once are left out. In a first pass every class of a prefix shingle meets the smallest
 class there, which is linear in the group; what is linked then counts as one component. In a second
 pass only classes of different components meet, so a group of near copies costs no pairs, and no
 link between components is lost. Filters drop most candidates, and each pair left is verified once on
@@ -14,15 +14,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerisk.llm.components import components
-from tablerisk.llm.store import Folder, growing, new_folder, stored
+from tablerisk.llm.hashindex import HashIndex, added, hash_shard, squeezed, unsqueezed, write_index
+from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import mix, shingles, signed, slices, words
 
-FREQUENT = 500_000
+CODE_BITS = 36
+FLUSH = 4_000_000
 PARTS = 8
 HISTOGRAM = [f"h{k}" for k in range(PARTS)]
 
@@ -72,39 +76,54 @@ def document_sets(documents: DataFrame, size: int) -> DataFrame:
     return documents.mapInArrow(run, "doc long, key long, n long")
 
 
-def frequent_shingles(documents: DataFrame, size: int, most: int) -> np.ndarray:
-    """At most ``most`` shingles that occur in most documents, the rarest first.
+def write_counts(documents: DataFrame, size: int, shards: int, folder: str) -> None:
+    """Index of the shingles that occur in more than one document, with their count up to 255.
 
-    They only set the order in which prefixes are taken, and any order gives the same links. A task
-    passes on what occurs more than once in a batch.
+    Counted are ``CODE_BITS`` leading bits of the hashes; what is unique there is unique. Counts order
+    prefixes and leave out unique shingles, so shared codes cost time and change no link.
     """
+    shift = np.uint64(64 - CODE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            parts = [shingle_sets(part.column("text"), size)[0] for part in slices(batch, "text")]
-            value = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-            new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else value
-            count = np.diff(np.append(new, len(value))).astype(np.int64)
-            often = count > 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(value[new[often]] if len(value) else value)), pa.array(count[often])], ["shingle", "n"]
-            )
-
-    counted = documents.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
-    return top.column("shingle").to_numpy()[::-1].view(np.uint64)
-
+            for part in slices(batch, "text"):
+                held.append(shingle_sets(part.column("text"), size)[0] >> shift << shift)
+                if sum(map(len, held)) > FLUSH:
+                    yield blobs(np.concatenate(held), shards)
+                    held = []
+        if held:
+            yield blobs(np.concatenate(held), shards)
+
+    def entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        counts = [np.frombuffer(zstandard.decompress(c), np.uint32) for c in pdf["counts"]]
+        code, n = added([unsqueezed(k) << shift for k in pdf["keys"]], counts)
+        return code[n > 1], np.minimum(n[n > 1], 255)
+
+    rows = documents.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
+    write_index(rows, entries, shards, folder, int(shift))
+
+
+def blobs(codes: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Distinct codes and counts of a task by shard."""
+    code, n = np.unique(codes, return_counts=True)
+    bounds = np.searchsorted(hash_shard(code, shards), np.arange(shards + 1))
+    rows = [
+        (s, squeezed(code[a:b] >> np.uint64(64 - CODE_BITS)), zstandard.compress(n[a:b].astype(np.uint32), 1))
+        for s, (a, b) in enumerate(zip(bounds, bounds[1:]))
+        if b > a
+    ]
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"]
+    )
 
-def prefixes(documents: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
-    """(shingle, key, n, place, h0..): the prefix shingles of each distinct set in rare-first order.
 
-    h0.. count the set's shingles in equal parts of the hash range, for the suffix filter.
-    """
+def prefixes(documents: DataFrame, size: int, percent: int, shards: int, folder: str) -> DataFrame:
+    """(shingle, key, n, place) of each distinct set's prefix in rare-first order, but for unique shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Folder(folder).array("frequent.bin", np.uint64)
-        sorted_at = np.argsort(order)
-        sorted_keys = order[sorted_at]
+        index = HashIndex(folder, shards, 64 - CODE_BITS)
         for batch in batches:
             seen = np.zeros(0, np.uint64)
             for part in slices(batch, "text"):
@@ -119,15 +138,11 @@ def prefixes(documents: DataFrame, size: int, percent: int, folder: str) -> Data
                 value, n, keys = value[np.repeat(new, n)], n[new], keys[new]
                 bound = np.concatenate(([0], np.cumsum(n)))
                 owner = np.repeat(np.arange(len(n)), n)
-                rank = np.full(len(value), -1, np.int64)
-                if len(order):
-                    at = np.minimum(np.searchsorted(sorted_keys, value), len(order) - 1)
-                    met = sorted_keys[at] == value
-                    rank[met] = sorted_at[at[met]]
-                rare = np.lexsort((value, rank, owner))
-                value, rank = value[rare], rank[rare]
+                count = index.numbers(value)
+                rare = np.lexsort((value, count, owner))
+                value, count = value[rare], count[rare]
                 place = np.arange(len(value)) - np.repeat(bound[:-1], n)
-                keep = place < np.repeat(n - needed(n, percent) + 1, n)
+                keep = (place < np.repeat(n - needed(n, percent) + 1, n)) & (count > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(value[keep])),
@@ -139,7 +154,7 @@ def prefixes(documents: DataFrame, size: int, percent: int, folder: str) -> Data
                 )
 
     rows = documents.mapInArrow(run, "shingle long, key long, n int, place int")
-    return rows.repartition("shingle").distinct()
+    return rows.distinct()
 
 
 def set_rows(documents: DataFrame, size: int) -> DataFrame:
@@ -197,7 +212,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_documents(
-    documents: DataFrame, size: int = 3, percent: int = 90, frequent: int = FREQUENT
+    documents: DataFrame, size: int = 3, percent: int = 90
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_key) of every row.
 
@@ -210,9 +225,10 @@ def similar_documents(
     """
     folder = new_folder(documents.sparkSession, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    Folder(folder).write("frequent.bin", np.ascontiguousarray(frequent_shingles(docs, size, frequent)))
+    shards = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_counts(docs, size, shards, f"{folder}/counts")
     held = stored(document_sets(docs, size), f"{folder}/documents")
-    prefix = prefixes(docs, size, percent, folder)
+    prefix = stored(prefixes(docs, size, percent, shards, f"{folder}/counts"), f"{folder}/prefixes")
     shared = prefix.groupBy("shingle").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     met = stored(
         prefix.join(growing(shared.where("first < last").drop("last")), "shingle"), f"{folder}/met"
