@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerisk.llm.eliasfano import EliasFano, Level
+from tablerisk.llm.hashindex import added, hash_shard, squeezed, unsqueezed
 from tablerisk.llm.store import Folder, new_folder, stored
 from tablerisk.llm.text import signed, slices, words
 
@@ -63,6 +64,8 @@ class Sizes:
     shards: int
     first: list[list[int]]  # by level: the number of the first entry of each shard, then the total
     contexts: int = 0
+    train_total: int = 0
+    train_words: int = 0
 
     def of(self, level: int, number: np.ndarray) -> np.ndarray:
         """Shard of an entry of a level."""
@@ -106,7 +109,7 @@ class Trie:
             found = self.shard(1, s).find(distinct[places])
             return np.where(found >= 0, found + self.first[0][s], -1)
 
-        shard = word_shard(distinct, self.sizes.shards)
+        shard = hash_shard(distinct, self.sizes.shards)
         return self.by_shard(shard, query, np.full(len(distinct), -1, np.int64))[at]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -181,35 +184,10 @@ class Trie:
         return follows, context, child
 
 
-def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are equal ranges of the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 def context_bounds(contexts: int, shards: int) -> np.ndarray:
     return np.arange(shards + 1, dtype=np.int64) * contexts // shards
 
 
-def squeezed(keys: np.ndarray) -> bytes:
-    """Sorted keys as compressed byte planes of their differences."""
-    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(np.ascontiguousarray(planes), 1)
-
-
-def unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def added(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and their summed counts."""
-    key = np.concatenate(keys or [np.zeros(0, np.uint64)])
-    if counts is None:
-        return np.unique(key, return_counts=True)
-    distinct, at = np.unique(key, return_inverse=True)
-    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
-
-
 def training(batches: Iterator[pa.RecordBatch], fold: int, folds: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", SLICE):
@@ -229,7 +207,7 @@ def word_counts(docs: DataFrame, fold: int, folds: int) -> DataFrame:
                 k, n = added(keys, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(n)], ["word", "n"])
                 keys, counts = [], []
-        k, n = added(keys, counts or [np.zeros(0)])
+        k, n = added(keys, counts)
         yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(n)], ["word", "n"])
 
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -385,12 +363,12 @@ def score_documents(docs: DataFrame, sizes: Sizes, fold: int, folds: int) -> Dat
                 known = ids >= 0
                 count = np.zeros(len(ids), np.int64)
                 count[known] = trie.counts(ids[known])
-                base = np.log10((count + 1) / (sizes.total + sizes.words + 1))
+                base = np.log10((count + 1) / (sizes.train_total + sizes.train_words + 1))
                 logs = model_logs(trie, ids, bounds)
                 add = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else x  # noqa: B023, E731
                 docs_ = part.column("doc")
                 columns = [docs_, pa.array(held_out(docs_.to_pylist(), fold, folds)), pa.array(np.diff(bounds))]
-                columns += [pa.array(add(known.astype(np.int64))), pa.array(np.full(len(part), sizes.total, np.int64))]
+                columns += [pa.array(add(known.astype(np.int64))), pa.array(np.full(len(part), sizes.train_total, np.int64))]
                 columns += [pa.array(add(base)), pa.array(add(logs))]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
@@ -437,5 +415,5 @@ def language_model_scores(
     sizes.first.append(write_level(docs, sizes, 2, fold, folds))
     sizes.contexts = sizes.first[1][-1]
     sizes.first.append(write_level(docs, sizes, 3, fold, folds))
-    sizes.total, sizes.words = total, distinct
+    sizes.train_total, sizes.train_words = total, distinct
     return score_documents(docs, sizes, fold, folds)

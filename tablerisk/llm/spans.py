@@ -96,8 +96,8 @@ def remove_repeated_spans(documents: DataFrame, sentences: int = 2, min_words: i
     added = ["n_sentences", "n_removed"]
     documents = documents.drop(*added)
     found = repeated_spans(documents, sentences, min_words, folder)
-    cut = found.groupBy("doc").agg(F.collect_set("hash").alias("__spans"))
-    rows = documents.join(growing(cut), documents["doc_id"].cast("long") == cut["doc"], "left").drop("doc")
+    cut = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("hash").alias("__spans"))
+    rows = documents.join(growing(cut), documents["doc_id"].cast("long") == cut["__doc"], "left").drop("__doc")
     schema = T.StructType([*documents.schema.fields, *(T.StructField(n, T.LongType()) for n in added)])
     text_at = documents.columns.index("text")
 

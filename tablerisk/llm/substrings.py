@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.llm.eliasfano import EliasFano
-from tablerisk.llm.language_model import word_shard
+from tablerisk.llm.hashindex import HashIndex, write_index
 from tablerisk.llm.spans import INVERSE
-from tablerisk.llm.store import Folder, growing, new_folder, stored
+from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import BASE, BYTE_VALUES, mix, powers, signed, slices, text_bytes
 
 GRAM = 72
@@ -136,44 +135,16 @@ def repeated_runs(docs: DataFrame, length: int, crowd: int) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, shards: int, folder: str) -> None:
-    """Sorted runs and their kinds in shards of the hash range, for tasks to map into memory."""
+    """Sorted runs and their kinds, for tasks to map into memory."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, s, target = pdf["run"].to_numpy().view(np.uint64), int(pdf["shard"].iloc[0]), Folder(folder)
+    def entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        key = pdf["run"].to_numpy().view(np.uint64)
         order = np.argsort(key)
-        EliasFano.write(key[order], target.write, f"runs-{s:05d}")
-        target.write(f"runs-{s:05d}.kind", pdf["kind"].to_numpy()[order].astype(np.uint8))
-        return pd.DataFrame({"shard": [s]})
+        return key[order], pdf["kind"].to_numpy()[order]
 
     top = F.shiftrightunsigned("run", 32)
     placed = runs.withColumn("shard", F.shiftrightunsigned(top * F.lit(shards).cast("long"), 32).cast("int"))
-    done = {r["shard"] for r in placed.groupBy("shard").applyInPandas(run, "shard int").collect()}
-    target = Folder(folder)
-    for s in set(range(shards)) - done:
-        EliasFano.write(np.zeros(0, np.uint64), target.write, f"runs-{s:05d}")
-        target.write(f"runs-{s:05d}.kind", np.zeros(0, np.uint8))
-
-
-class Runs:
-    """Kinds of runs, looked up in mapped files."""
-
-    def __init__(self, folder: str, shards: int):
-        source = Folder(folder)
-        self.shards = shards
-        self.parts = [
-            (EliasFano(source.array, f"runs-{s:05d}"), source.array(f"runs-{s:05d}.kind", np.uint8))
-            for s in range(shards)
-        ]
-
-    def kinds(self, run: np.ndarray) -> np.ndarray:
-        """0 for a run that occurs once."""
-        out = np.zeros(len(run), np.uint8)
-        shard = word_shard(run, self.shards)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            at = self.parts[s][0].find(run[own])
-            out[own[at >= 0]] = self.parts[s][1][at[at >= 0]]
-        return out
+    write_index(placed, entries, shards, folder)
 
 
 FOUND = "kind byte, key long, first long, count int, left int, run long, strip long, bytes binary, ranges binary"
@@ -186,14 +157,14 @@ def strips(docs: DataFrame, length: int, shards: int, folder: str) -> DataFrame:
     types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(folder, shards)
+        runs = HashIndex(folder, shards)
         for batch in batches:
             sent: set[tuple[int, int]] = set()
             for part in slices(batch, "text", PIECE):
                 keys = part.column("key").to_numpy()
                 for raw, starts, ends, ahead in pieces(part.column("text"), length):
                     found = Anchors(raw, ends, starts, length)
-                    rows = list(rows_of(found, runs.kinds(found.run), keys, ahead - starts, length, sent))
+                    rows = list(rows_of(found, runs.numbers(found.run), keys, ahead - starts, length, sent))
                     columns = list(zip(*rows)) or [[]] * len(types)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -252,9 +223,8 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(active, later)
         apart = value[at] ^ value[at - 1]
         differs = apart != 0
-        zeros = np.zeros(len(apart), np.int64)
-        zeros[differs] = 7 - np.floor(np.log2(apart[differs].astype(np.float64))).astype(np.int64) // 8
-        common[later[differs]] = depth * 8 + np.maximum(zeros[differs], 0)
+        same = sum((apart[differs] < np.uint64(1 << b)).astype(np.int64) for b in range(8, 64, 8))
+        common[later[differs]] = depth * 8 + same
         common[later[~differs]] = depth * 8 + 8
         new[later[differs]] = True
         tied = ~new
