@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets form one class and take part once. All shingles are counted, and a
 class's shingles are ordered rare first; two sets as similar as asked share a shingle among their
-first few, so classes meet on these prefix shingles only, and shingles that occur once are left out. In a first pass every class of a prefix shingle meets the smallest
+first few, so classes meet on these prefix shingles only, and shingles that occur once are left out. In a first pass every class of a prefix shingle meets one
 class there, which is linear in the group; what is linked then counts as one component. In a second
 pass only classes of different components meet, so a group of near copies costs no pairs, and no
 link between components is lost. Filters drop most candidates, and each pair left is verified once on
@@ -120,7 +120,10 @@ def blobs(codes: np.ndarray, shards: int) -> pa.RecordBatch:
 
 
 def prefixes(documents: DataFrame, size: int, percent: int, shards: int, folder: str) -> DataFrame:
-    """(shingle, key, n, place) of each distinct set's prefix in rare-first order, but for unique shingles."""
+    """(shingle, key, n, m, place) of each distinct set's prefix in rare-first order, but for unique shingles.
+
+    ``m`` is the number of the set's shingles that are not unique, which is all it can share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = HashIndex(folder, shards, 64 - CODE_BITS)
@@ -142,18 +145,20 @@ def prefixes(documents: DataFrame, size: int, percent: int, shards: int, folder:
                 rare = np.lexsort((value, count, owner))
                 value, count = value[rare], count[rare]
                 place = np.arange(len(value)) - np.repeat(bound[:-1], n)
+                shared = np.bincount(owner[count > 0], minlength=len(n))
                 keep = (place < np.repeat(n - needed(n, percent) + 1, n)) & (count > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(value[keep])),
                         pa.array(signed(keys[owner[keep]])),
                         pa.array(n[owner[keep]].astype(np.int32)),
+                        pa.array(shared[owner[keep]].astype(np.int32)),
                         pa.array(place[keep].astype(np.int32)),
                     ],
-                    ["shingle", "key", "n", "place"],
+                    ["shingle", "key", "n", "m", "place"],
                 )
 
-    rows = documents.mapInArrow(run, "shingle long, key long, n int, place int")
+    rows = documents.mapInArrow(run, "shingle long, key long, n int, m int, place int")
     return rows.distinct()
 
 
@@ -177,12 +182,19 @@ def set_rows(documents: DataFrame, size: int) -> DataFrame:
     return documents.select("doc", "text").mapInArrow(run, f"key long, n long, {parts}, shingles binary")
 
 
-def filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the length and the positional filter on the shingle they met on."""
+def may_link(percent: int) -> Column:
+    """Length and positional filter on two classes that met on a shingle.
+
+    What stands before the shingle in either order is not shared, nor are unique shingles.
+    """
     lengths = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    kept = pairs.where(lengths & (after >= overlap(F.col("na"), F.col("nb"), percent)))
-    return kept.select("a", "b").distinct()
+    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.col("ma"), F.col("mb"))
+    return lengths & (after >= overlap(F.col("na"), F.col("nb"), percent))
+
+
+def filtered(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that may link."""
+    return pairs.where(may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,15 +241,16 @@ def similar_documents(
     write_counts(docs, size, shards, f"{folder}/counts")
     held = stored(document_sets(docs, size), f"{folder}/documents")
     prefix = stored(prefixes(docs, size, percent, shards, f"{folder}/counts"), f"{folder}/prefixes")
-    shared = prefix.groupBy("shingle").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    met = stored(
-        prefix.join(growing(shared.where("first < last").drop("last")), "shingle"), f"{folder}/met"
-    )
-    # First pass: each class against the smallest class of its prefix shingle.
-    heads = met.where("key = first").select("shingle", F.col("n").alias("na"), F.col("place").alias("pa"))
-    star = met.where("key > first").join(growing(heads), "shingle")
-    star = star.select(F.col("first").alias("a"), F.col("key").alias("b"), "na", F.col("n").alias("nb"), "pa",
-                       F.col("place").alias("pb"))
+    head = F.min(F.struct("place", "key", "n", "m")).alias("head")
+    shared = prefix.groupBy("shingle").agg(head, F.min("key").alias("first"), F.max("key").alias("last"))
+    met = prefix.join(growing(shared.where("first < last").select("shingle", "head")), "shingle")
+    met = stored(met, f"{folder}/met")
+    # First pass: each class against the class of its prefix shingle that has fewest rarer ones. Among
+    # near copies that is the one with fewest changes, so most others link with it.
+    star = met.where(F.col("key") != F.col("head.key")).select(
+        F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"),
+        F.col("head.m").alias("ma"), F.col("m").alias("mb"), F.col("head.place").alias("pa"), F.col("place").alias("pb"),
+    )
     tried = stored(filtered(star, percent), f"{folder}/star-pairs")
     # The sets of classes that met another one, each from its smallest document.
     classes = met.select("key").distinct()
@@ -253,15 +266,10 @@ def similar_documents(
     )
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     placed = placed.join(growing(mixed.where("c0 < c1").select("shingle")), "shingle", "left_semi")
-    placed = stored(placed.select("shingle", "key", "n", "place", "component"), f"{folder}/mixed")
-    a = placed.toDF("shingle", "a", "na", "pa", "ca")
-    b = placed.toDF("shingle", "b", "nb", "pb", "cb")
-    fits = (
-        (F.col("a") < F.col("b"))
-        & (F.col("ca") != F.col("cb"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap(F.col("na"), F.col("nb"), percent))
-    )
+    placed = stored(placed.select("shingle", "key", "n", "m", "place", "component"), f"{folder}/mixed")
+    a = placed.toDF("shingle", "a", "na", "ma", "pa", "ca")
+    b = placed.toDF("shingle", "b", "nb", "mb", "pb", "cb")
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(percent)
     more = a.join(growing(b), "shingle").where(fits).select("a", "b").distinct()
     more = stored(more.join(growing(tried), ["a", "b"], "left_anti"), f"{folder}/more-pairs")
     links = linked.union(verified(more, sets, percent))
