@@ -75,12 +75,6 @@ def uniform(h: Column) -> Column:
     return (h + F.lit(0.5)) / F.lit(TWO32)
 
 
-def uniform53(h_high: Column, h_low: Column) -> Column:
-    """Uniform in [0, 1) with 53 random bits, for positions in very large tables."""
-    bits = h_high * F.lit(2097152).cast("bigint") + F.shiftright(h_low, 11)
-    return bits.cast("double") / F.lit(TWO53)
-
-
 def gaussian(h1: Column, h2: Column) -> Column:
     """Standard normal by Box-Muller from two hashes."""
     return F.sqrt(F.lit(-2.0) * F.log(uniform(h1))) * F.cos(F.lit(2 * math.pi) * uniform(h2))

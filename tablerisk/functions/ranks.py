@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,42 @@ def value_rank(
     )
 
 
+SORTED_AT_ONCE = 100_000
+
+
+def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
+    """The k-th smallest (from 0) of an integer column, in its own type; None beyond the end.
+
+    An approximate bracket around the rank is counted exactly and narrowed until few values are left.
+    """
+    rows = df.select(F.col(column).cast("bigint").alias("v")).filter("v is not null")
+    skipped, size = 0, rows.count()
+    if k >= size:
+        return None
+    while size > SORTED_AT_ONCE:
+        share = (k - skipped) / size
+        q = [max(share - 0.01, 0.0), min(share + 0.01, 1.0)]
+        # distances from the smallest value, as approximate quantiles are doubles inside
+        base = rows.agg(F.min("v")).first()[0]
+        distance = (F.col("v").cast("decimal(20,0)") - F.lit(base)).cast("double")
+        found = rows.agg(F.percentile_approx(distance, q, 10000)).first()[0]
+        low, high = base + math.floor(found[0]), base + math.ceil(found[1])
+        low, high = max(low, -(2**63)), min(high, 2**63 - 1)
+        below, inside = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if k - skipped < below:
+            rows, now = rows.filter(F.col("v") < low), below
+        elif k - skipped < below + inside:
+            rows, now, skipped = rows.filter(F.col("v").between(low, high)), inside, skipped + below
+            if low == high:
+                return low
+        else:
+            rows, now, skipped = rows.filter(F.col("v") > high), size - below - inside, skipped + below + inside
+        if now == size:
+            break
+        size = now
+    return rows.orderBy("v").offset(k - skipped).first()[0]
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where null equals null; keeps the left copy of the keys."""
     renamed = right

@@ -110,7 +110,7 @@ def match_queries(
     n_queries = masks.limit(BROADCAST_ROWS + 1).count()
     if n_queries > SPREAD_QUERIES:
         # few, small state rows fan out to many queries: keep them on all tasks
-        states = states.repartition(states.sparkSession.sparkContext.defaultParallelism, *words)
+        states = states.repartition(states.sparkSession.sparkContext.defaultParallelism, *keys, *words)
     if n_queries <= BROADCAST_ROWS:
         masks = F.broadcast(masks)
     return (

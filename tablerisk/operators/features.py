@@ -205,7 +205,7 @@ def query_features(
     orders: Sequence[int],
     cat_options: Sequence[int] = (1,),
     cont_options: Sequence[int] = (3,),
-    limit: int = 1_000_000,
+    limit: int | None = None,
     seed: int = 42,
     keys: Sequence[str] = KEYS,
     int_domain: bool = True,
@@ -221,7 +221,7 @@ def query_features(
     lattice = query_lattice(
         tables.sparkSession, spec, orders, cat_options, cont_options, limit, seed
     )
-    whole = lattice_size(spec, orders, len(cat_options), len(cont_options)) <= limit
+    whole = limit is None or lattice_size(spec, orders, len(cat_options), len(cont_options)) <= limit
     if len(cat_options) == len(cont_options) == 1 and whole and len(columns) <= LATTICE_COLUMNS:
         counts = _superset_counts(
             tables, spec, targets, orders, cat_options[0], cont_options[0], keys, int_domain

@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -40,7 +40,7 @@ def _fit(estimator, train: DataFrame, grid, key: str | None, seed: int):
         return estimator.fit(train)
     # folds by hash of the record key: the same record lands in the same fold on every run
     fold = (keyed_hash(seed, key, STREAM_RANK) % FOLDS).cast("int")
-    evaluator = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="rawPrediction")
+    evaluator = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy")
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid,

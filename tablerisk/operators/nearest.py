@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablerisk.functions.durable import durable
 from tablerisk.functions.ranks import grouped_quantile, value_rank
+from tablerisk.operators.prep import single_record
 from tablerisk.spec import ID, TableSpec
 
 MAX_CELLS = 16384
@@ -362,7 +363,7 @@ def vector_similarity(vector: str, target: str) -> Column:
 
 def with_target(df: DataFrame, target: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
     """Put the single target record beside every row under prefixed names."""
-    one = target.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in cols]).limit(1)
+    one = single_record(target.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in cols]))
     return df.join(F.broadcast(one), F.lit(True))  # exactly one row
 
 

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablerisk.functions.durable import BROADCAST_ROWS, durable
 from tablerisk.functions.keyed import STREAM_RANK, keyed_hash, mix_int
-from tablerisk.functions.ranks import bucketed_rank, grouped_quantile
+from tablerisk.functions.ranks import bucketed_rank, kth_smallest
 from tablerisk.spec import ID, TableSpec
 
 LOCAL_VALUES = 50_000
@@ -41,8 +42,9 @@ def value_codes(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str
     """Ordinal codes of every column -> (column, value, code), and the number of codes per column.
 
     One shuffle finds the distinct values of all columns together; map-side combining keeps a
-    frequent value from travelling more than once per task. Small domains are ordered on the
-    driver and become a local relation; larger ones are ranked from a stored global sort.
+    frequent value from travelling more than once per task. Values are ordered by Spark's sort in the
+    column's own type: missing first, integers as integers, other numbers as numbers with NaN
+    last, all else as text. Few values travel through the driver in that order, many stay stored.
     """
     pairs = F.array(
         *[
@@ -50,17 +52,28 @@ def value_codes(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str
             for c in cols
         ]
     )
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    numeric = [c for c in cols if types[c] != "string"]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    whole = [c for c in cols if isinstance(types[c], T.IntegralType)]
+    exact = [c for c in cols if isinstance(types[c], T.DecimalType)]
+    real = [c for c in cols if isinstance(types[c], T.FractionalType) and c not in exact]
     distinct = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").distinct()
-    few = distinct.limit(LOCAL_VALUES + 1).collect()
+    text = F.col("value")
+    # the widest scale of the decimal columns, so that none of them is rounded
+    scale = max([types[c].scale for c in exact], default=0)
+    distinct = distinct.select(
+        "column",
+        "value",
+        F.when(F.col("column").isin(*whole), text.try_cast("bigint")).alias("whole"),
+        F.when(F.col("column").isin(*exact), text.try_cast(f"decimal(38,{scale})")).alias("exact"),
+        F.when(F.col("column").isin(*real), text.try_cast("double")).alias("real"),
+    )
+    order = ["column", "whole", "exact", "real", "value"]
+    few = distinct.orderBy(*order).limit(LOCAL_VALUES + 1).collect()
     if len(few) <= LOCAL_VALUES:
-        return _local_codes(df.sparkSession, few, numeric)
-    # numbers are ranked as numbers, strings by code point
-    number = F.when(F.col("column").isin(*numeric), F.col("value").try_cast("double"))
-    ordered = distinct.withColumn("number", number).orderBy("column", "number", "value")
-    placed = durable(ordered).select(
-        "*",
+        return _local_codes(df.sparkSession, few)
+    placed = durable(distinct.orderBy(*order)).select(
+        "column",
+        "value",
         F.spark_partition_id().alias("pid"),
         F.monotonically_increasing_id().alias("at"),
     )
@@ -76,28 +89,21 @@ def value_codes(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str
     return mapping.select("column", "value", code.alias("code")), {r["column"]: r["n"] for r in totals}
 
 
-def _local_codes(spark, rows, numeric: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
-    found: dict[str, list] = {}
+def _local_codes(spark, rows) -> tuple[DataFrame, dict[str, int]]:
+    """Number rows that Spark has sorted already."""
+    sizes: dict[str, int] = {}
+    codes = []
     for row in rows:
-        found.setdefault(row["column"], []).append(row["value"])
-    columns, values, codes = [], [], []
-    for c, domain in found.items():
-        # missing values come first, as in Spark's ascending order
-        if c in numeric:
-            domain.sort(key=lambda v: (v is not None, float(v) if v is not None else 0.0))
-        else:
-            domain.sort(key=lambda v: (v is not None, v or ""))
-        columns += [c] * len(domain)
-        values += domain
-        codes += range(len(domain))
+        codes.append(sizes.get(row["column"], 0))
+        sizes[row["column"]] = codes[-1] + 1
     table = pa.table(
         {
-            "column": pa.array(columns, pa.string()),
-            "value": pa.array(values, pa.string()),
+            "column": pa.array([r["column"] for r in rows], pa.string()),
+            "value": pa.array([r["value"] for r in rows], pa.string()),
             "code": pa.array(codes, pa.int32()),
         }
     )
-    return spark.createDataFrame(table), {c: len(d) for c, d in found.items()}
+    return spark.createDataFrame(table), sizes
 
 
 def apply_codes(
@@ -183,15 +189,15 @@ def split_table(df: DataFrame, ids: DataFrame) -> DataFrame:
 
     Target records lie in eval as well (unless they overlap aux), so they appear twice.
     """
-    aux = ids.filter("split = 'aux'").select(ID)
-    target = ids.filter("split = 'target'").select(ID)
-    parts = [
-        (df.join(aux, ID, "left_semi"), "aux"),
-        (df.join(target, ID, "left_semi"), "target"),
-        (df.join(aux, ID, "left_anti"), "eval"),
-    ]
-    frames = [part.withColumn("split", F.lit(name)) for part, name in parts]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).select(*df.columns, "split")
+    flags = ids.groupBy(ID).agg(
+        F.max(F.col("split") == "aux").alias("__aux"), F.max(F.col("split") == "target").alias("__target")
+    )
+    aux, target = (F.coalesce(c, F.lit(False)) for c in ("__aux", "__target"))
+    roles = F.array(
+        F.when(aux, "aux"), F.when(target, "target"), F.when(~aux, "eval")
+    )
+    joined = df.join(flags, ID, "left")
+    return joined.withColumn("split", F.explode(F.array_compact(roles))).select(*df.columns, "split")
 
 
 def random_split(
@@ -199,8 +205,8 @@ def random_split(
 ) -> DataFrame:
     """Add ``split`` in {test, aux}: exact sizes, without replacement; an omitted size is the rest.
 
-    The cut is one quantile of the hash, so no task sorts the table. Rows left over are dropped
-    only when both sizes are given, which is what the two sizes ask for.
+    Ids are ranked by hash in buckets and joined back, so the wide rows are not sorted. Rows left
+    over are dropped only when both sizes are given, which is what the two sizes ask for.
     """
     if test_size is None and aux_size is None:
         raise ValueError("give test_size or aux_size")
@@ -209,12 +215,13 @@ def random_split(
     aux_size = total - test_size if aux_size is None else aux_size
     if min(test_size, aux_size) < 0 or test_size + aux_size > total:
         raise ValueError(f"sizes {test_size} + {aux_size} exceed {total} rows")
-    hashed = df.withColumn("__h", keyed_hash(seed, ID, STREAM_RANK))
+    hashed = df.select(ID, keyed_hash(seed, ID, STREAM_RANK).alias("__h"))
     ranked = ranked_by_hash(hashed, total)
     split = F.when(F.col("__rank") < test_size, "test").when(
         F.col("__rank") < test_size + aux_size, "aux"
     )
-    return ranked.withColumn("split", split).filter("split is not null").drop("__h", "__rank")
+    chosen = ranked.select(ID, split.alias("split")).filter("split is not null")
+    return df.join(chosen, ID).select(*df.columns, "split")
 
 
 def ranked_by_hash(hashed: DataFrame, total: int, rows_per_bucket: int = 100_000) -> DataFrame:
@@ -225,20 +232,28 @@ def ranked_by_hash(hashed: DataFrame, total: int, rows_per_bucket: int = 100_000
 
 
 def exclude_identical(df: DataFrame, target: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Records that differ from the (single) target in at least one of ``cols``."""
-    one = target.select(*[F.col(f"`{c}`").alias(f"__t_{c}") for c in cols]).limit(1)
+    """Records that differ from every target in at least one of ``cols``."""
+    listed = target.select(*[F.col(f"`{c}`").alias(f"__t_{c}") for c in cols]).distinct()
     same = F.lit(True)
     for c in cols:
         same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`__t_{c}`"))
-    return df.join(F.broadcast(one), same, "left_anti")
+    return df.join(listed, same, "left_anti")
+
+
+def single_record(df: DataFrame) -> DataFrame:
+    """The frame as one stored row; an error if it holds more than one, no row if it is empty."""
+    rows = df.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("one record is expected here, more were given")
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def halve_pool(df: DataFrame) -> DataFrame:
     """Add ``pool``: the first floor(n/2) records by id are "train", the rest "eval"."""
-    middle = grouped_quantile(df.select(ID), [], ID, 0.5, "cut").first()
-    # ids are unique: with the median between (or at) ids, "below the median" is floor(n/2) rows
-    cut = F.lit(middle["cut"] if middle else None).cast("double")
-    return df.withColumn("pool", F.when(F.col(ID) < cut, "train").otherwise("eval"))
+    middle = df.count() // 2
+    cut = kth_smallest(df, ID, middle)
+    before = F.lit(False) if cut is None else F.col(ID) < F.lit(cut)
+    return df.withColumn("pool", F.when(before, "train").otherwise("eval"))
 
 
 def unique_records(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -42,13 +42,13 @@ def query_lattice(
     orders: Sequence[int],
     cat_options: Sequence[int] = (1,),
     cont_options: Sequence[int] = (3,),
-    limit: int = 1_000_000,
+    limit: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """All condition vectors of the given orders -> query_id, conditions, name.
 
     ``query_id`` is the mixed-radix number of the vector: digit i is 0 for no condition on column
-    i, else the option's position + 1. Above ``limit`` vectors, ``limit`` of them are sampled.
+    i, else the option's position + 1. If ``limit`` is given and exceeded, ``limit`` vectors are sampled.
     """
     columns = spec.columns
     options = [cat_options if c in spec.categorical else cont_options for c in columns]
@@ -80,7 +80,7 @@ def query_lattice(
         F.element_at(F.array(*[F.lit(v) for v in (0, *choice)]), digits[i].cast("int") + 1)
         for i, choice in enumerate(options)
     ]
-    if lattice_size(spec, orders, n_cat, n_cont) > limit:
+    if limit is not None and lattice_size(spec, orders, n_cat, n_cont) > limit:
         hashed = with_hashes(lattice, seed, ["query_id"], {"__h": STREAM_QUERY})
         order = [F.col("__h"), F.col("query_id")]
         ranked = bucketed_rank(hashed, [], F.shiftright("__h", 24), order, "__rank")

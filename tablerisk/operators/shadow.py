@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerisk.functions.durable import durable
-from tablerisk.operators.prep import exclude_identical, halve_pool
+from tablerisk.functions.ranks import bucketed_rank
+from tablerisk.operators.prep import exclude_identical, halve_pool, single_record
 from tablerisk.operators.sampling import (
     dataset_ids,
     dataset_numbers,
@@ -52,17 +53,14 @@ def shadow_tables(
 
 
 def _numbered_targets(targets: DataFrame) -> DataFrame:
-    """Targets with a position by id; targets are a chosen list, never a large table."""
-    listed = sorted(r[0] for r in targets.select(ID).limit(100_001).collect())
-    if len(listed) > 100_000:
-        raise ValueError("at most 100000 targets per call")
-    rows = list(zip(listed, range(len(listed))))
-    return targets.sparkSession.createDataFrame(rows, f"{ID} bigint, __number bigint")
+    """Targets with a position by id."""
+    bucket = F.shiftright(ID, 16)
+    return bucketed_rank(targets.select(ID), [], bucket, [F.col(ID)], "__number")
 
 
 def _with_record(frames: DataFrame, record: DataFrame) -> DataFrame:
     """Put one record beside every row of ``frames``; the broadcast side is exactly one row."""
-    return frames.join(F.broadcast(record.limit(1)), F.lit(True))
+    return frames.join(F.broadcast(single_record(record)), F.lit(True))
 
 
 def shadow_tables_specific(

@@ -30,12 +30,13 @@ CHUNK = 50_000
 
 
 def to_cells(
-    tables: DataFrame, spec: TableSpec, bins: int = BINS, extra: Sequence[str] = ()
+    tables: DataFrame, spec: TableSpec, bins: int = BINS, extra: Sequence[str] = (), missing_cell: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """dataset_id, cells (array<int> in column order) and per-dataset bin edges.
 
     A category's cell is its place in the declared domain. A continuous column gets ``bins``
-    equal-width bins between the dataset's extremes.
+    equal-width bins between the dataset's extremes, and a missing value is the cell after them
+    (an error without ``missing_cell``).
     """
     continuous = [c for c in spec.columns if c in spec.continuous]
     edges = tables.groupBy("dataset_id").agg(
@@ -49,6 +50,7 @@ def to_cells(
     )
     edges = durable(edges)
     joined = tables.join(broadcast_if_small(edges), "dataset_id")
+    missing = F.lit(bins) if missing_cell else F.raise_error(F.lit("missing values have no private cell")).cast("int")
     cells, at = [], 0
     for c in spec.columns:
         if c in spec.categorical:
@@ -60,9 +62,10 @@ def to_cells(
             cells.append(F.coalesce(places[text], F.raise_error(message).cast("int")))
         else:
             low, high = F.col("low")[at], F.col("high")[at]
-            share = F.try_divide(F.col(f"`{c}`").cast("double") - low, high - low)
-            cell = F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int")
-            cells.append(F.least(cell, F.lit(bins - 1)))
+            value = F.col(f"`{c}`").cast("double")
+            share = F.try_divide(value - low, high - low)
+            cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int"), F.lit(bins - 1))
+            cells.append(F.when(value.isNull(), missing).otherwise(cell))
             at += 1
     return joined.select("dataset_id", *extra, F.array(*cells).alias("cells")), edges
 
@@ -86,7 +89,7 @@ def from_cells(
         else:
             low, high = F.col("low")[at], F.col("high")[at]
             value = low + (cell + uniform(F.col(f"__u{i}"))) * (high - low) / F.lit(float(bins))
-            out.append(value.alias(c))
+            out.append(F.when(cell < F.lit(bins), value).alias(c))
             at += 1
     return joined.select("dataset_id", "row_no", *out)
 
@@ -255,7 +258,7 @@ def synth_bayesnet(
     combinations never seen fall back to the column's own histogram.
     """
     width = len(spec.columns)
-    cells, edges = to_cells(tables, spec, bins)
+    cells, edges = to_cells(tables, spec, bins, missing_cell=epsilon is None)
     cells = durable(cells)
     if width == 1:
         datasets = cells.select("dataset_id").distinct()

@@ -64,7 +64,7 @@ def membership_predictions(
         raise ValueError("no targets")
     if aux.join(chosen.select(ID), ID, "left_semi").limit(1).count():
         raise ValueError("targets must not be auxiliary records")
-    ids = [r[0] for r in chosen.select(ID).orderBy(ID).limit(100_000).collect()]
+    ids = [r[0] for r in chosen.select(ID).orderBy(ID).collect()]
     parts = [
         shadow_tables(aux, chosen, n_original, n_datasets, seed).withColumn(
             "phase", F.lit("train")
@@ -109,7 +109,7 @@ def membership_predictions(
     made = durable(made)
     if extractors is None:
         orders = tuple(range(1, len(spec.columns) + 1))
-        extractors = [("query", orders, 1_000_000, (1,), (3,))]
+        extractors = [("query", orders, None, (1,), (3,))]
     features = durable(extract_features(made, spec, chosen, extractors, PHASE_KEYS))
     train = features.filter("phase = 'train'")
     rest = features.filter("phase <> 'train'")

@@ -25,6 +25,7 @@ from tablerisk.operators.counts import (
 )
 from tablerisk.operators.metrics import generation_log
 from tablerisk.operators.models import fit_models, population_fitness
+from tablerisk.operators.prep import single_record
 from tablerisk.spec import ID, Mechanism
 
 PERFECT = 0.9999
@@ -56,7 +57,7 @@ class SearchConfig:
 
     @property
     def num_elites(self) -> int:
-        return 1 if self.mode == "random" else max(1, int(self.population_size * self.frac_elitism))
+        return 1 if self.mode == "random" else int(self.population_size * self.frac_elitism)
 
 
 def query_number(query: Sequence[int]) -> int:
@@ -107,9 +108,9 @@ class AnswerCache:
         columns = list(self.columns)
         reduced = _reduced(self.tables, columns, ["dataset_id"], True)
         literals = [comparable(c, True).alias(f"__t{i}") for i, c in enumerate(columns[:-1])]
-        one = self.target.select(
-            *literals, F.lit(1).cast("bigint").alias(f"__t{len(columns) - 1}")
-        ).limit(1)
+        one = single_record(
+            self.target.select(*literals, F.lit(1).cast("bigint").alias(f"__t{len(columns) - 1}"))
+        )
         beside = reduced.join(F.broadcast(one), F.lit(True))  # exactly one row
         at = [f"__t{i}" for i in range(len(columns))]
         self.states = durable(column_states(beside, columns, at, ["dataset_id"]))

@@ -136,12 +136,25 @@ def q_halve_pool(spark, folder):
     return P.halve_pool(I.customers(spark, folder))
 
 
+@register("halve_pool_large_ids")
+def q_halve_pool_large_ids(spark, folder):
+    return P.halve_pool(I.customers(spark, folder).withColumn(ID, F.col(ID) + F.lit(2**60)))
+
+
+@register("discretize_large_values")
+def q_discretize_large_values(spark, folder):
+    big = I.read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(ID), (F.col("o_custkey") + F.lit(2**60)).alias("owner"), F.col("o_totalprice").alias("price")
+    )
+    return rounded(P.discretize(big, ["owner", "price"])[0])
+
+
 @register("exclude_identical")
 def q_exclude_identical(spark, folder):
     df = I.lines(spark, folder)
     columns = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
-    first = df.agg(F.min(F.struct("l_orderkey", "l_linenumber", *columns)).alias("t"))
-    return rounded(P.exclude_identical(df, first.select("t.*"), columns))
+    orders = df.select("l_orderkey").distinct().orderBy("l_orderkey").limit(2)  # all lines of two orders
+    return rounded(P.exclude_identical(df, df.join(orders, "l_orderkey", "left_semi"), columns))
 
 
 @register("unique_records")
@@ -424,7 +437,7 @@ def q_closest_features(spark, folder):
 @register("extract_features")
 def q_extract_features(spark, folder):
     df = I.events(spark, folder)
-    wanted = ["naive", ("query", (1, 2, 3), 1_000_000, (1,), (3,)), "correlation"]
+    wanted = ["naive", ("query", (1, 2, 3), None, (1,), (3,)), "correlation"]
     return rounded(X.extract_features(df, I.EVENTS, I.event_target(df), wanted))
 
 

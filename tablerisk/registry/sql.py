@@ -19,6 +19,7 @@ from tablerisk.functions.keyed import (
     STREAM_STICKY,
     STREAM_SYNTH,
 )
+from tablerisk.operators.sampling import ROUNDS
 from tablerisk.registry.queries import PROBES
 
 ORACLE: dict[str, str] = {}
@@ -108,25 +109,25 @@ def half_filter(seed: int, bit: int, key: str = "record_id") -> str:
     return f"({hash1(seed, key, 3)} & 1) = {bit}"
 
 
-def sampled(name: str, pool: str, frames: str, n_max: str, seed: int) -> str:
-    """CTEs ending in ``name`` (frame columns + record_id): draws by dense position.
+def sampled(name: str, pool: str, frames: str, seed: int) -> str:
+    """CTEs ending in ``name`` (frame columns + record_id): places under a keyed permutation.
 
     ``frames`` is a CTE with dataset_id and wanted.
     """
-    hashed = staged(f"{name}_tries", seed, ["dataset_id", "draw"],
-                    {"high": STREAM_DRAW_HIGH, "low": STREAM_DRAW_LOW})
-    return f"""{name}_size AS (SELECT count(*)::BIGINT AS total, ({n_max})::BIGINT AS most FROM {pool}),
+    streams = {f"high{r}": STREAM_DRAW_HIGH + 1000 * r for r in range(ROUNDS)}
+    streams |= {f"low{r}": STREAM_DRAW_LOW + 1000 * r for r in range(ROUNDS)}
+    place = f"(SELECT *, unnest(range(0, wanted)) AS x FROM {name}_keys)"
+    for r in range(ROUNDS):
+        key = (f"floor((high{r} * 2097152 + (low{r} >> 11))::DOUBLE / 9007199254740992.0::DOUBLE"
+               f" * total::DOUBLE)::BIGINT")
+        pair = f"(SELECT *, ({key} - x + total) % total AS p FROM {place})"
+        turned = f"(SELECT *, (greatest(x, p) + low{r} + 1) & {MASK32} AS f FROM {pair})"
+        place = f"(SELECT * EXCLUDE (p, f) REPLACE (CASE WHEN ({mix('f')} & 1) = 1 THEN p ELSE x END AS x) FROM {turned})"
+    return f"""{name}_keys AS (SELECT * FROM {staged(frames, seed, ["dataset_id"], streams)},
+  (SELECT count(*)::BIGINT AS total FROM {pool})),
 {name}_index AS (SELECT record_id AS rid, (row_number() OVER (ORDER BY h, record_id) - 1)::BIGINT AS pos
   FROM (SELECT record_id, {hash1(seed, 'record_id', STREAM_INDEX)} AS h FROM {pool})),
-{name}_tries AS (SELECT *, least(try, 2 * most + 64) AS draw FROM (
-  SELECT f.*, s.total, s.most, unnest(range(0, 3 * s.most + 64)) AS try FROM {frames} f, {name}_size s)),
-{name}_pos AS (SELECT dataset_id, any_value(wanted) AS wanted, pos, min(try) AS try FROM (
-  SELECT *, (floor((high * 2097152 + (low >> 11))::DOUBLE / 9007199254740992.0::DOUBLE
-    * total::DOUBLE)::BIGINT + greatest(try - 2 * most - 64, 0)) % total AS pos FROM {hashed})
-  GROUP BY dataset_id, pos),
-{name} AS (SELECT dataset_id, rid AS record_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY try) AS o FROM {name}_pos)
-  JOIN {name}_index USING (pos) WHERE o <= wanted)"""
+{name} AS (SELECT dataset_id, rid AS record_id FROM (SELECT dataset_id, x AS pos FROM {place}) JOIN {name}_index USING (pos))"""
 
 
 def bits(source: str, seed: int) -> str:
@@ -178,19 +179,23 @@ WHERE r < {test} + {aux})"""
 
 _N = "(SELECT count(*) FROM customer)"
 ORACLE["random_split"] = f"WITH {CUSTOMERS} SELECT * FROM {random_split(9, f'{_N} // 5', f'{_N} // 2')}"
-ORACLE["halve_pool"] = f"""WITH {CUSTOMERS}
-SELECT *, CASE WHEN record_id < (SELECT quantile_cont(record_id, 0.5) FROM cust) THEN 'train'
-  ELSE 'eval' END AS pool FROM cust"""
+_HALVED = "CASE WHEN row_number() OVER (ORDER BY record_id) <= count(*) OVER () // 2 THEN 'train' ELSE 'eval' END AS pool"
+ORACLE["halve_pool"] = f"WITH {CUSTOMERS} SELECT *, {_HALVED} FROM cust"
+ORACLE["halve_pool_large_ids"] = f"""WITH {CUSTOMERS}
+SELECT * REPLACE (record_id + {2**60} AS record_id), {_HALVED} FROM cust"""
+ORACLE["discretize_large_values"] = f"""WITH big AS (SELECT o_orderkey AS record_id, o_custkey + {2**60} AS owner,
+  o_totalprice AS price FROM orders), {codes('big', 'owner', 'own')}, {codes('big', 'price', 'pri')}
+SELECT record_id, own.code AS owner, pri.code AS price FROM big JOIN own ON owner = own.v JOIN pri ON price = pri.v"""
 LINES = f"""{codes('lineitem', 'l_returnflag', 'fla')}, {codes('lineitem', 'l_linestatus', 'lst')},
 lin AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, fla.code AS l_returnflag,
   lst.code AS l_linestatus, l_quantity, l_discount
   FROM lineitem JOIN fla ON l_returnflag = fla.v JOIN lst ON l_linestatus = lst.v)"""
 ORACLE["exclude_identical"] = f"""WITH {LINES},
-t AS (SELECT * FROM lin ORDER BY ALL LIMIT 1)
+t AS (SELECT * FROM lin WHERE l_orderkey IN (SELECT DISTINCT l_orderkey FROM lin ORDER BY 1 LIMIT 2))
 SELECT lin.* REPLACE (round(lin.l_quantity, 6) AS l_quantity, round(lin.l_discount, 6) AS l_discount)
-FROM lin, t WHERE lin.l_returnflag IS DISTINCT FROM t.l_returnflag
-  OR lin.l_linestatus IS DISTINCT FROM t.l_linestatus OR lin.l_quantity IS DISTINCT FROM t.l_quantity
-  OR lin.l_discount IS DISTINCT FROM t.l_discount"""
+FROM lin WHERE NOT EXISTS (SELECT 1 FROM t WHERE lin.l_returnflag IS NOT DISTINCT FROM t.l_returnflag
+  AND lin.l_linestatus IS NOT DISTINCT FROM t.l_linestatus AND lin.l_quantity IS NOT DISTINCT FROM t.l_quantity
+  AND lin.l_discount IS NOT DISTINCT FROM t.l_discount)"""
 ORACLE["unique_records"] = """SELECT min(l_orderkey * 8 + l_linenumber) AS record_id FROM lineitem
 GROUP BY l_suppkey, l_returnflag, l_quantity, l_discount HAVING count(*) = 1"""
 
@@ -203,7 +208,7 @@ def numbers(n: int) -> str:
 
 ORACLE["sample_per_dataset"] = f"""WITH {CUSTOMERS},
 frames AS (SELECT dataset_id, {_N} // 10 AS wanted FROM {numbers(8)}),
-{sampled('drawn', 'cust', 'frames', f'{_N} // 10', 4)}
+{sampled('drawn', 'cust', 'frames', 4)}
 SELECT dataset_id, cust.* FROM drawn JOIN cust USING (record_id)"""
 ORACLE["randomize_sensitive"] = f"""WITH {CUSTOMERS}
 SELECT * EXCLUDE (h), h & 1 AS sensitive FROM {bits(f'(SELECT * FROM cust, {numbers(8)})', 6)}"""
@@ -221,7 +226,7 @@ def shadow(pool: str, targets: str, n: str, n_datasets: int, seed: int) -> str:
 frames AS (SELECT *, ({n}) - in_dataset::BIGINT AS wanted FROM (
   SELECT target_id, number * {n_datasets} + i AS dataset_id, i % 2 = 0 AS in_dataset
   FROM chosen, (SELECT unnest(range(0, {n_datasets})) AS i))),
-{sampled('drawn', pool, 'frames', n, seed)},
+{sampled('drawn', pool, 'frames', seed)},
 shadows AS (SELECT target_id, dataset_id, in_dataset, record_id FROM drawn JOIN frames USING (dataset_id)
   UNION ALL SELECT target_id, dataset_id, in_dataset, target_id FROM frames WHERE in_dataset)"""
 
@@ -239,7 +244,7 @@ ORACLE["shadow_tables_specific"] = f"""WITH {HALVES},
 base AS (SELECT record_id FROM pool WHERE {half_filter(18, 1)} AND record_id <> 8),
 others AS (SELECT record_id FROM pool WHERE record_id <> 8),
 frames AS (SELECT dataset_id, 1 AS wanted FROM {numbers(6)} WHERE dataset_id % 2 = 1),
-{sampled('drawn', 'others', 'frames', '1', 13)},
+{sampled('drawn', 'others', 'frames', 13)},
 every AS (SELECT dataset_id, record_id FROM base, {numbers(6)}
   UNION ALL SELECT dataset_id, record_id FROM drawn
   UNION ALL SELECT dataset_id, 8 FROM {numbers(6)} WHERE dataset_id % 2 = 0)
@@ -249,7 +254,7 @@ others AS (SELECT c.record_id FROM cust c, target t WHERE c.c_nationkey <> t.c_n
   OR c.c_mktsegment <> t.c_mktsegment OR c.band <> t.band)"""
 ORACLE["target_dataset"] = f"""WITH {CUSTOMERS}, {OTHERS},
 frames AS (SELECT dataset_id, {_N} // 10 - 1 AS wanted FROM {numbers(6)}),
-{sampled('drawn', 'others', 'frames', f'{_N} // 10 - 1', 15)},
+{sampled('drawn', 'others', 'frames', 15)},
 every AS (SELECT dataset_id, record_id, false AS is_target FROM drawn
   UNION ALL SELECT dataset_id, 5, true FROM {numbers(6)})
 SELECT dataset_id, cust.*, h & 1 AS sensitive, is_target FROM {bits('every', 15)}
@@ -261,14 +266,14 @@ def auxiliary(n_datasets: int) -> str:
     n_train = n_datasets // 2
     size = f"{_N} // 20 - 1"
     return f"""{CUSTOMERS}, {OTHERS},
-halved AS (SELECT record_id, record_id < (SELECT quantile_cont(record_id, 0.5) FROM others) AS first
+halved AS (SELECT record_id, row_number() OVER (ORDER BY record_id) <= count(*) OVER () // 2 AS first
   FROM others),
 train_pool AS (SELECT record_id FROM halved WHERE first),
 eval_pool AS (SELECT record_id FROM halved WHERE NOT first),
 train_frames AS (SELECT dataset_id, {size} AS wanted FROM {numbers(n_datasets)} WHERE dataset_id < {n_train}),
 eval_frames AS (SELECT dataset_id, {size} AS wanted FROM {numbers(n_datasets)} WHERE dataset_id >= {n_train}),
-{sampled('train_drawn', 'train_pool', 'train_frames', size, 16)},
-{sampled('eval_drawn', 'eval_pool', 'eval_frames', size, 16)},
+{sampled('train_drawn', 'train_pool', 'train_frames', 16)},
+{sampled('eval_drawn', 'eval_pool', 'eval_frames', 16)},
 members AS (SELECT dataset_id, record_id, false AS is_target FROM train_drawn
   UNION ALL SELECT dataset_id, record_id, false FROM eval_drawn
   UNION ALL SELECT dataset_id, 5, true FROM {numbers(n_datasets)}),

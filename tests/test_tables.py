@@ -10,6 +10,7 @@ from tablerisk.operators import prep as P
 from tablerisk.operators import sampling as R
 from tablerisk.operators import shadow as H
 from tablerisk.sources.results import resume_targets, run_key, write_results
+from tablerisk.functions import ranks
 from tablerisk.sources.tables import ingest_discretized, load_table, read_metadata, read_raw
 from tablerisk.spec import TableSpec
 
@@ -57,6 +58,23 @@ def test_value_codes_small_and_large_path(spark, monkeypatch, limit):
     assert mapping.count() == 8
 
 
+@pytest.mark.parametrize("limit", [50_000, 2])
+def test_value_codes_keep_large_integers_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(P, "LOCAL_VALUES", limit)
+    rows = [(0, 2**60 + 1, float("nan")), (1, 2**60, 5.0), (2, 2**60 + 2, -1e300), (3, None, None)]
+    df = spark.createDataFrame(rows, "record_id bigint, n bigint, x double")
+    coded, _ = P.discretize(df, ["n", "x"])
+    assert {r.record_id: (r.n, r.x) for r in coded.collect()} == {0: (2, 3), 1: (1, 2), 2: (3, 1), 3: (0, 0)}
+
+
+def test_exclude_identical_to_several_targets(spark):
+    df = spark.range(50).select(F.col("id").alias("record_id"), (F.col("id") % 7).alias("a"))
+    left = P.exclude_identical(df, df.filter("record_id in (3, 4)"), ["a"])
+    assert left.count() == sum(i % 7 not in (3, 4) for i in range(50))
+    with pytest.raises(ValueError):
+        P.single_record(df)
+
+
 def test_constant_column_becomes_null(spark):
     df = spark.createDataFrame([(0, 2.0, 1.0), (1, 2.0, 3.0)], "record_id bigint, a double, b double")
     rows = P.minmax_normalize(df, ["a", "b"], df).orderBy("record_id").collect()
@@ -94,6 +112,19 @@ def test_halve_pool(spark, n):
     assert got.get("train", 0) == n // 2 and got["eval"] == n - n // 2
 
 
+def test_halve_pool_of_large_ids(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SORTED_AT_ONCE", 10)
+    df = spark.range(1001).select((F.col("id") * 3 + F.lit(2**60)).alias("record_id"))
+    got = P.halve_pool(df).groupBy("pool").agg(F.count("*").alias("n"), F.max("record_id").alias("m")).collect()
+    assert {r.pool: (r.n, r.m - 2**60) for r in got} == {"train": (500, 499 * 3), "eval": (501, 1000 * 3)}
+
+
+def test_smaller_samples_are_part_of_larger_ones(spark):
+    pool = spark.range(800).withColumnRenamed("id", "record_id")
+    drawn = {n: {tuple(r) for r in R.sample_per_dataset(pool, R.dataset_ids(spark, 3), n, 5).collect()} for n in (100, 101, 799)}
+    assert drawn[100] < drawn[101] < drawn[799]
+
+
 @pytest.mark.parametrize("n", [1, 10, 60, 200])
 def test_sampling_is_exact_and_distinct(spark, n):
     pool = spark.range(200).withColumnRenamed("id", "record_id")
