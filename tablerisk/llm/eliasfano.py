@@ -43,17 +43,27 @@ def unpack(words: np.ndarray, index: np.ndarray, bits: int) -> np.ndarray:
     return (low | high) & np.uint64((1 << bits) - 1)
 
 
+def bit_places() -> np.ndarray:
+    """Place of the n-th set bit of every byte."""
+    table = np.zeros((256, 8), np.uint8)
+    for byte in range(256):
+        places = [k for k in range(8) if byte >> k & 1]
+        table[byte, : len(places)] = places
+    return table
+
+
+BIT_PLACES = bit_places()
+
+
 def nth_one(word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Place of the n-th set bit of each word, from 0."""
-    place = np.zeros(len(word), np.uint64)
-    n = n.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        w = np.uint64(width)
-        ones = np.bitwise_count((word >> place) & np.uint64((1 << width) - 1)).astype(np.int64)
-        past = ones <= n
-        n = np.where(past, n - ones, n)
-        place = np.where(past, place + w, place)
-    return place.astype(np.int64)
+    octets = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    run = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
+    n = n.astype(np.uint8)
+    octet = (run <= n[:, None]).sum(axis=1)
+    row = np.arange(len(word))
+    before = np.where(octet > 0, run[row, np.maximum(octet - 1, 0)], 0)
+    return octet * 8 + BIT_PLACES[octets[row, octet], n - before]
 
 
 class EliasFano:
@@ -73,7 +83,7 @@ class EliasFano:
         bits = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
         upper = (values >> np.uint64(bits)).astype(np.int64)
         buckets = (int(upper[-1]) if n else 0) + 1
-        flags = np.zeros((n + buckets + 63) // 64 * 64 + 64, bool)
+        flags = np.zeros((n + buckets + 63) // 64 * 64 + 128, bool)
         flags[upper + np.arange(n)] = True
         ones = np.flatnonzero(flags)
         zeros = np.flatnonzero(~flags)
@@ -110,8 +120,16 @@ class EliasFano:
             return out
         bucket = bucket[own].astype(np.int64)
         low = value[own] & np.uint64((1 << self.bits) - 1)
-        start = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) - bucket + 1, 0)
-        stop = self.select(bucket, False) - bucket
+        # The bucket begins behind the zero before it and is a run of ones.
+        at = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) + 1, 0)
+        start = at - bucket
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        window = (self.high[word] >> shift) | ((self.high[word + 1] << ONE) << (np.uint64(63) - shift))
+        size = np.bitwise_count(window & ~(window + ONE)).astype(np.int64)
+        long = np.flatnonzero(size == 64)
+        if len(long):
+            size[long] = self.select(bucket[long], False) - at[long]
+        stop = start + size
         left, right = start.copy(), stop.copy()
         open_ = np.flatnonzero(left < right)
         while len(open_):
@@ -129,26 +147,24 @@ class EliasFano:
 class Level:
     """The children of a range of contexts: pointers, context-relative children, quantised scores.
 
-    A context's children are stored as ascending numbers on top of the last value of the context
-    before it, which makes the whole level one monotone sequence; a child is found by a successor
-    search relative to that base.
+    A context's children are stored as ascending numbers on top of the context's base, which makes the
+    whole level one monotone sequence; a child is found by a successor search relative to that base.
+    Pointers tell where a context's children begin.
     """
 
     def __init__(self, load: Load, name: str):
         self.pointers, self.children = EliasFano(load, f"{name}.ptr"), EliasFano(load, f"{name}.child")
+        self.span = int(load(f"{name}.span", np.int64)[0])
         self.score, self.back = load(f"{name}.score", np.uint16), load(f"{name}.back", np.uint16)
 
     @staticmethod
     def write(context: np.ndarray, child: np.ndarray, contexts: int, store: Store, name: str) -> np.ndarray:
         """Store sorted (context, child) pairs; returns the number of children of each context."""
         degree = np.bincount(context, minlength=contexts)
-        pointers = np.concatenate(([0], np.cumsum(degree)))
-        filled = np.flatnonzero(degree)
-        span = np.zeros(contexts, np.uint64)
-        span[filled] = child[pointers[filled + 1] - 1].astype(np.uint64) + ONE
-        base = np.cumsum(span) - span
-        EliasFano.write(pointers, store, f"{name}.ptr")
-        EliasFano.write(base[context] + child.astype(np.uint64) + ONE, store, f"{name}.child")
+        span = int(child.max()) + 1 if len(child) else 1
+        EliasFano.write(np.concatenate(([0], np.cumsum(degree))), store, f"{name}.ptr")
+        EliasFano.write(context.astype(np.uint64) * np.uint64(span) + child.astype(np.uint64), store, f"{name}.child")
+        store(f"{name}.span", np.array([span], np.int64))
         return degree
 
     def start(self, context: np.ndarray) -> np.ndarray:
@@ -156,7 +172,9 @@ class Level:
 
     def find(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Index of each (context, child), -1 where the level does not hold it."""
-        begin, end = self.start(context), self.start(context + 1)
-        base = np.where(begin > 0, self.children.access(np.maximum(begin - 1, 0)), np.uint64(0)) if self.children.n else begin
-        at = self.children.find(base.astype(np.uint64) + child.astype(np.uint64) + ONE)
-        return np.where((at >= begin) & (at < end), at, -1)
+        at = self.children.find(context.astype(np.uint64) * np.uint64(self.span) + child.astype(np.uint64))
+        return np.where(child < self.span, at, -1)
+
+    def child(self, index: np.ndarray) -> np.ndarray:
+        """The child at each index."""
+        return (self.children.access(index) % np.uint64(self.span)).astype(np.int64)

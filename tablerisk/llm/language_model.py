@@ -1,7 +1,7 @@
 """Trigram language model in an Elias-Fano trie, counted by Spark and queried from mapped files.
 
 Level 1 maps word hashes to ids and keeps counts; level 2 holds the words after each word, level 3
-the words after each pair, numbered among the words that follow the pair's second word. Every
+the words after each pair. Every
 level is counted over all training documents once the level above it is written, because its contexts
 are positions there. Levels lie in shards of contexts in the shared folder; tasks map them into
 memory, so a task's own memory does not grow with the model.
@@ -137,13 +137,6 @@ class Trie:
         out[asked] = self.by_shard(shard, query, np.full(len(asked), -1, np.int64))
         return out
 
-    def starts(self, level: int, context: np.ndarray) -> np.ndarray:
-        """Entry of each context's first child."""
-        distinct, at = np.unique(context, return_inverse=True)
-        shard, local = self.context_shard(level, distinct)
-        query = lambda s, places: self.shard(level, s).start(local[places]) + self.first[level - 1][s]
-        return self.by_shard(shard, query, np.zeros(len(distinct), np.int64))[at]
-
     def scores(self, level: int, entry: np.ndarray) -> np.ndarray:
         """Log10 probability of entries."""
         query = lambda s, places: decoded(self.shard(level, s).score[entry[places] - self.first[level - 1][s]])
@@ -175,13 +168,9 @@ class Trie:
         return place, self.find(2, ids[place], ids[place + 1])
 
     def triples(self, ids: np.ndarray, place: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts' runs of three: index into ``place``, the context pair and the relative child, -1 if unknown."""
+        """For texts' runs of three: index into ``place``, the context pair and the third word, -1 if unknown."""
         follows = np.flatnonzero(place[1:] == place[:-1] + 1)
-        context, after = pair[follows], pair[follows + 1]
-        known = np.flatnonzero((context >= 0) & (after >= 0))
-        child = np.full(len(follows), -1, np.int64)
-        child[known] = after[known] - self.starts(2, ids[place[follows[known]] + 1])
-        return follows, context, child
+        return follows, pair[follows], ids[place[follows] + 2]
 
 
 def context_bounds(contexts: int, shards: int) -> np.ndarray:
@@ -334,18 +323,10 @@ def lower_scores(trie: Trie, pair: np.ndarray, child: np.ndarray) -> np.ndarray:
     distinct, at = np.unique(pair, return_inverse=True)
 
     def second(s: int, places: np.ndarray) -> np.ndarray:
-        level = trie.shard(2, s)
-        local = distinct[places] - trie.first[1][s]
-        value = level.children.access(local)
-        bounds = context_bounds(trie.sizes.words, trie.sizes.shards)
-        pointers = level.pointers.access(np.arange(bounds[s + 1] - bounds[s] + 1)).astype(np.int64)
-        owner = np.searchsorted(pointers, local, "right") - 1
-        begin = pointers[owner]
-        base = np.where(begin > 0, level.children.access(np.maximum(begin - 1, 0)), np.uint64(0))
-        return (value - base - np.uint64(1)).astype(np.int64)
+        return trie.shard(2, s).child(distinct[places] - trie.first[1][s])
 
     word = trie.by_shard(trie.sizes.of(1, distinct), second, np.zeros(len(distinct), np.int64))[at]
-    return trie.scores(2, trie.starts(2, word) + child)
+    return trie.scores(2, trie.find(2, word, child))
 
 
 SCORES = (
