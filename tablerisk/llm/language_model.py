@@ -29,8 +29,8 @@ from tablerisk.llm.text import signed, slices, words
 
 END = np.uint64(0xE7D0F7E11A5C0DE5)
 STEPS = 4096.0
-FLUSH = 3_000_000
-SLICE = 8 << 20
+FLUSH = 2_000_000
+SLICE = 4 << 20
 
 
 def coded(log10: np.ndarray) -> np.ndarray:
@@ -376,7 +376,7 @@ def model_logs(trie: Trie, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def language_model_scores(
-    documents: DataFrame, fold: int = 2, folds: int = 7, discount: float = 0.75, tokens_per_shard: int = 4_000_000
+    documents: DataFrame, fold: int = 2, folds: int = 7, discount: float = 0.75, tokens_per_shard: int = 3_000_000
 ) -> DataFrame:
     """Score every document with a model learned from those outside the fold.
 

@@ -74,6 +74,6 @@ class Folder:
         """A stored array, mapped into memory where the folder is mounted, else read."""
         if isinstance(self.fs, pafs.LocalFileSystem):
             path = f"{self.path}/{name}"
-            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+            return np.memmap(path, dtype, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, dtype)
         with self.open_input(name) as stream:
             return np.frombuffer(stream.read(), dtype)
