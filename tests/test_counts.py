@@ -155,7 +155,7 @@ def test_lattice_sizes_and_limit(spark):
     assert few.count() == 9 and few.join(both, "query_id", "left_anti").count() == 0
 
 
-def drawn_queries(seed, n=60, width=5):
+def drawn_queries(seed, n=70, width=4):
     """Random condition vectors over {-1, 0, 1} with repeats."""
     rng = np.random.default_rng(seed)
     vectors = [tuple(int(v) for v in row) for row in rng.integers(-1, 2, (n, width))]
@@ -167,8 +167,9 @@ def test_difference_pairs_equal_brute_force(spark, seed):
     vectors = drawn_queries(seed)
     distinct, text = set(vectors), lambda v: ",".join(map(str, v))
     expected, paired = set(), set()
-    for v in distinct:
-        for i in range(len(v) - 1):  # the last condition is the sensitive one
+    # a leading query has a condition on the last, sensitive column and no -1 before it
+    for v in (v for v in distinct if v[-1] and -1 not in v[:-1]):
+        for i in range(len(v) - 1):
             partner = (*v[:i], -1, *v[i + 1 :])
             if v[i] == 0 and partner in distinct:
                 expected.add((text(v), text(partner), i))
