@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablerisk.llm.text import mix, shingles, slices, words
@@ -50,7 +50,7 @@ class Index:
         value, owner = shingles(found.hashes(), found.first, size)
         count = np.bincount(owner, minlength=len(ids))
         self.items = np.flatnonzero(count)
-        self.ids = np.array(ids, np.int64)[self.items]
+        self.ids = [ids[i] for i in self.items]
         self.length = count[self.items]
         bound = np.concatenate(([0], np.cumsum(count)))
         self.shingles = [value[bound[i] : bound[i + 1]] for i in self.items]
@@ -154,20 +154,22 @@ def contaminated(
     """(doc_id, item_id, similarity, window, n_windows): documents that hold a benchmark item.
 
     Words are runs of letters and digits in lower case, shingles are ``size`` words, shorter texts
-    one shingle of all their words. Items are handled in blocks of ``items_at_once`` by item_id, so a
-    task's index has a fixed bound whatever the benchmark's size. Null or empty texts and items match
-    nothing; rows that repeat a doc_id give one row per item with the best of them; items with equal
-    texts all match; other columns are ignored. Empty tables give no rows.
+    one shingle of all their words. Distinct items are handled in blocks of ``items_at_once`` by item_id and
+    text, so a task's index has a fixed bound whatever the benchmark's size. Null or empty texts and items
+    match nothing; rows that repeat a doc_id or an item_id give one row per document and item with the best
+    of them, also those with a null id; items with equal texts all match; other columns are ignored. Empty
+    tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    # Rows alike in both columns match alike, so (item_id, text) is a position that no two items share.
+    items = items.where(F.col("text").isNotNull()).distinct()
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, similarity double, window long, n_windows long"
     found, after = None, None
-    while block := (items if after is None else items.where(F.col("item_id") > after)).orderBy("item_id").limit(
-        items_at_once
-    ).collect():
-        after = block[-1]["item_id"]
+    while block := (items if after is None else items.where(behind(after))).orderBy(
+        F.asc_nulls_first("item_id"), "text"
+    ).limit(items_at_once).collect():
+        after = block[-1]
         part = source.mapInArrow(block_search(block, threshold, size, radius), schema)
         found = part if found is None else found.unionByName(part)
         if len(block) < items_at_once:
@@ -180,6 +182,14 @@ def contaminated(
     )
 
 
+def behind(last: Row) -> Column:
+    """Items after one in the order by item_id, nulls first, and text."""
+    later = F.col("text") > F.lit(last["text"])
+    if last["item_id"] is None:
+        return F.col("item_id").isNotNull() | later
+    return (F.col("item_id") > last["item_id"]) | ((F.col("item_id") == last["item_id"]) & later)
+
+
 def block_search(block: list, threshold: float, size: int, radius: int):
     """A task function that searches documents for one block of items."""
     ids, texts = [r["item_id"] for r in block], [r["text"] for r in block]
@@ -195,7 +205,7 @@ def block_search(block: list, threshold: float, size: int, radius: int):
                 rows = []
                 for d in np.unique(owner[index.hits(value)]):
                     for i, (similar, where, n) in matches(index, value[bound[d] : bound[d + 1]], threshold).items():
-                        rows.append((docs[int(d)].as_py(), int(index.ids[i]), similar, where, n))
+                        rows.append((docs[int(d)].as_py(), index.ids[i], similar, where, n))
                 columns = list(zip(*rows)) or [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(

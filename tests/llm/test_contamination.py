@@ -56,6 +56,14 @@ def test_equals_brute_force(spark, odd_rows, at_once):
         assert r["similarity"] == pytest.approx(expected[r["doc_id"], r["item_id"]])
 
 
+def test_repeated_and_null_item_ids_across_blocks(spark):
+    items = [(1, prose(520 + k, 30)) for k in range(5)] + [(None, prose(530 + k, 30)) for k in range(3)] + [(2, prose(540, 30))] * 3
+    rows = [(k, prose(560 + k, 40) + " " + t + " " + prose(580 + k, 40)) for k, (_, t) in enumerate(items)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = contamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), items_at_once=2)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(k, i) for k, (i, _) in enumerate(items)}
+
+
 def test_index_finds_all_within_the_radius():
     import numpy as np
 
