@@ -17,32 +17,47 @@ from tablerisk.llm.store import growing, new_folder, stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own as doc_id and the given one as ``own_id``: only rows alike in doc_id, text
+    and lang share a key, so rows with a null or a repeated doc_id are judged apart."""
+    return docs.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.xxhash64("doc_id", "text", "lang"))
+
+
+def unkeyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("own_id")).select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word rules and the perplexity bands keep. Rows that repeat a doc_id fall together
-    if one of them is rejected; rows without a doc_id cannot be judged apart and go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    """Documents that the word rules and the perplexity bands keep, each row judged by its own text."""
+    docs = keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "own_id")
+    labels = labels.join(growing(docs.select("own_id", "doc_id")), "own_id").select("doc_id", "quality")
     judged = quality.quality_rules(docs, labels).groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    return docs.join(growing(judged.where("kept").select("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
+    return unkeyed(docs.join(growing(judged.where("kept").select("doc_id")), "doc_id", "left_semi"))
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring template lines; n_chars follows the text."""
-    cut = templates.drop_recurring_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = templates.drop_recurring_lines(keyed(docs))
+    return unkeyed(cut.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked by 5-word shingles at 80 %."""
-    groups = jaccard.similar_documents(docs, size=5, percent=80)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(growing(first), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The document with the smallest doc_id of each group linked by 5-word shingles at 80 %; a null doc_id comes last."""
+    docs = keyed(docs)
+    groups = jaccard.similar_documents(docs, size=5, percent=80).select("doc_id", "component_id")
+    named = groups.join(growing(docs.select("doc_id", "own_id").distinct()), "doc_id")
+    order = F.struct(F.col("own_id").isNull(), "own_id", "doc_id")
+    first = named.groupBy("component_id").agg(F.min_by("doc_id", order).alias("doc_id")).select("doc_id")
+    return unkeyed(docs.join(growing(first), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    docs = keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = contamination.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(growing(hit), "doc_id", "left_anti").select(*COLUMNS)
+    return unkeyed(docs.join(growing(hit), "doc_id", "left_anti"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,18 +62,18 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def document_sets(documents: DataFrame, size: int) -> DataFrame:
-    """(doc, key, n): each document's set key and size."""
+    """(doc, row, key, n): each document's set key and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, bound = shingle_sets(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(signed(set_keys(value, bound))), pa.array(np.diff(bound))],
-                    ["doc", "key", "n"],
+                    [part.column("doc"), part.column("row"), pa.array(signed(set_keys(value, bound))), pa.array(np.diff(bound))],
+                    ["doc", "row", "key", "n"],
                 )
 
-    return documents.mapInArrow(run, "doc long, key long, n long")
+    return documents.select("doc", "row", "text").mapInArrow(run, "doc long, row long, key long, n long")
 
 
 def write_counts(documents: DataFrame, size: int, shards: int, folder: str) -> None:
@@ -236,7 +236,9 @@ def similar_documents(
     an empty one.
     """
     folder = new_folder(documents.sparkSession, "jaccard")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    # Texts are fetched by doc_id, those of rows without one by their hash.
+    doc = F.col("doc_id").cast("long")
+    docs = documents.select(doc.alias("doc"), F.coalesce(doc, F.xxhash64("text")).alias("row"), "text")
     shards = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     write_counts(docs, size, shards, f"{folder}/counts")
     held = stored(document_sets(docs, size), f"{folder}/documents")
@@ -252,10 +254,10 @@ def similar_documents(
         F.col("head.m").alias("ma"), F.col("m").alias("mb"), F.col("head.place").alias("pa"), F.col("place").alias("pb"),
     )
     tried = stored(filtered(star, percent), f"{folder}/star-pairs")
-    # The sets of classes that met another one, each from its smallest document.
+    # The sets of classes that met another one, each from the row that comes first.
     classes = met.select("key").distinct()
-    owners = held.groupBy("key").agg(F.min("doc").alias("owner")).join(growing(classes), "key", "left_semi")
-    texts = docs.join(growing(owners.select(F.col("owner").alias("doc")).distinct()), "doc", "left_semi")
+    owners = held.groupBy("key").agg(F.min("row").alias("owner")).join(growing(classes), "key", "left_semi")
+    texts = docs.join(growing(owners.select(F.col("owner").alias("row")).distinct()), "row", "left_semi")
     sets = set_rows(texts, size).join(growing(classes), "key", "left_semi").dropDuplicates(["key"])
     sets = stored(sets, f"{folder}/sets")
     linked = stored(verified(tried, sets, percent), f"{folder}/star-links")

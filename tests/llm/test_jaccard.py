@@ -66,6 +66,13 @@ def test_second_pass_finds_links_between_components(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 3, 90)
 
 
+def test_a_class_of_null_ids_links_others(spark):
+    words = prose(11, 100).split()
+    rows = [(None if k == 1 else k, " ".join([*(f"new{j}" for j in range(3 * k)), *words[3 * k :]])) for k in range(3)]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, None: None, 2: 0}
+
+
 def test_empty_table(no_documents):
     assert jaccard.similar_documents(no_documents).count() == 0
 

@@ -27,6 +27,25 @@ def test_stages_in_order_with_effect(spark, tmp_path):
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == clean
 
 
+def test_null_and_repeated_ids_keep_their_texts(spark, tmp_path):
+    rows = [(k, prose(1000 + k, 150), "en", "s", 1) for k in range(40)]
+    rows += [(None, prose(1200, 150), "en", "s", 1), (None, prose(1201, 150), "en", "s", 1), (None, "too short", "en", "s", 1)]
+    rows += [(7, prose(1202, 150), "en", "s", 1), (8, "too short", "en", "s", 1), (None, rows[5][1], "en", "s", 1)]
+    rows = [(i, text.replace("\n", " "), *rest) for i, text, *rest in rows]  # no line recurs
+    for name, data, schema in (
+        ("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        ("labels", [(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int"),
+        ("benchmark", [(1, prose(5000, 25))], "item_id long, text string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    expected = [r[:2] for r in rows if r[1] != "too short"][:-1]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=key) == sorted(expected, key=key)
+
+
 def test_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
