@@ -1,3 +1,4 @@
+import inspect
 import re
 from collections import Counter
 
@@ -74,6 +75,33 @@ def test_index_finds_all_within_the_radius():
     assert set(window[item == 1].tolist()) == set(range(len(flips)))
 
 
+def test_windows_near_the_threshold_are_found():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    radius = inspect.signature(contamination.contaminated).parameters["radius"].default
+    total = missed = 0
+    for n, shared in ((9, 8), (27, 24), (45, 40), (50, 45)):
+        for _ in range(500):
+            value = rng.integers(0, 2**64, n + 40, dtype=np.uint64)
+            index = contamination.Index([1], ["a b"], 5, radius)
+            item = value[20 : 20 + n].copy()
+            item[rng.choice(n, n - shared, replace=False)] = rng.integers(0, 2**64, n - shared, dtype=np.uint64)
+            index.shingles, index.length = [item], np.array([n])
+            index.prints = contamination.fingerprint(contamination.bits(item).sum(axis=0, keepdims=True))
+            index.key, index.owner = np.sort(item), np.zeros(n, np.int64)
+            index.filter[:] = True
+            masks = contamination.near_keys(radius // contamination.BLOCKS) if not total else masks  # noqa: F821
+            keys = [np.sort((index.block(index.prints, b)[:, None] ^ masks[None, :]).ravel()) for b in range(contamination.BLOCKS)]
+            index.blocks = [(k, np.zeros(len(k), np.int64)) for k in keys]
+            windows = [contamination.weighted_similarity(value[k : k + n], item) for k in range(41)]
+            assert max(windows) >= 0.8
+            total += 1
+            missed += 0 not in contamination.matches(index, value, 0.8)
+    print(f"radius {radius}: {missed} of {total} missed")
+    assert missed <= total * 0.003
+
+
 def test_empty_tables(spark, no_documents):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination.contaminated(no_documents, items).count() == 0
