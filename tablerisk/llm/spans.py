@@ -1,7 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
 From every sentence a span runs over the fewest following sentences that make at least ``sentences``
-sentences and ``min_words`` words. Spans are hashed and joined over the whole corpus; sentences that a
+sentences and ``min_words`` words. Without a word minimum these are all runs of ``sentences`` sentences,
+whose unions are all longer runs; with one, repeated runs of fewer words stay, and so may the tail of a
+longer repeated run. Spans are hashed and joined over the whole corpus; sentences that a
 repeated span covers are removed, except in the document that has the span first.
 """
 

@@ -2,7 +2,7 @@ import re
 
 from corpora import prose
 
-from tablerisk.llm import spans
+from tablerisk.llm import queries, spans
 
 
 def split(text):
@@ -65,5 +65,15 @@ def test_passage_goes_from_later_documents_only(spark):
     assert len(got[5]) == len(rows[0][1]) - len(passage) - 1
 
 
+def test_query_sees_short_runs_and_tails(spark, tmp_path):
+    sized = lambda n, w: " ".join(f"{w}{k}" for k in range(n)) + "."
+    passage, short = " ".join(sized(n, w) for n, w in ((15, "a"), (10, "b"), (5, "c"), (4, "d"))), "Not long. Nor this."
+    rows = [(k, f"own{k} start.\n{passage} own{k} middle.\n{short}\nown{k} end.") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.op4_sentence_spans(spark, str(tmp_path)).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[k].split() == f"own{k} start. own{k} middle. own{k} end.".split() for k in (1, 2))
+
+
 def test_empty_table(no_documents):
     assert spans.remove_repeated_spans(no_documents).count() == 0
