@@ -16,13 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablerisk.llm.pieces import TOKEN_SLICE, TokenTable, kept, spread, woven
 from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import slices
-from tablerisk.llm.tokens import shared_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED_TOGETHER = 200_000
@@ -32,23 +31,29 @@ def pieces(documents: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
     """Cut every document's ids into pieces of ``capacity``; the first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = None
-        end = np.array([end_id], "<u4").tobytes()
+        table = None
         for batch in batches:
-            for rows in slices(batch, "text"):
-                cache = cache or shared_cache(tokenizer, keeps_space)
-                out: list[tuple] = []
-                texts = pc.fill_null(rows.column("text"), "").to_pylist()
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), cache.ids(texts)):
-                    view = memoryview(ids + end)
-                    n = len(view) // 4
-                    first = (n - 1) % capacity + 1
-                    bounds = [0, *range(first, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        out.append((doc, k, a, b - a, zlib.crc32(view[4 * a : 4 * b])))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            for rows in slices(batch, "text", TOKEN_SLICE):
+                table = table or kept(("tokens", tokenizer, keeps_space), lambda: TokenTable(tokenizer, keeps_space))
+                flat, sizes = table.encode(rows.column("text"))
+                ends = np.full(len(rows), end_id, np.uint32), np.ones(len(rows), np.int64)
+                flat, sizes = woven((flat, sizes), ends)
+                many = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(rows)), many)
+                number = spread(np.zeros(len(rows), np.int64), many)
+                first = (sizes - 1) % capacity + 1
+                begin = np.where(number, first[owner] + (number - 1) * capacity, 0)
+                length = np.where(number, capacity, first[owner])
+                view = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+                bounds = zip((4 * (begin + (np.cumsum(sizes) - sizes)[owner])).tolist(), (4 * length).tolist())
+                sums = [zlib.crc32(view[a : a + n]) for a, n in bounds]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in PIECES.split(", ")]
+                    [
+                        rows.column("doc_id").take(pa.array(owner)),
+                        *(pa.array(x) for x in (number.astype(np.int32), begin, length)),
+                        pa.array(sums, pa.int64()),
+                    ],
+                    [x.split()[0] for x in PIECES.split(", ")],
                 )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)

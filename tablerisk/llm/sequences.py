@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablerisk.llm.pieces import TOKEN_SLICE, TokenTable, kept, woven
 from tablerisk.llm.store import Folder, new_folder, stored
 from tablerisk.llm.text import slices
-from tablerisk.llm.tokens import shared_cache
 
 BATCH_SEQUENCES = 128
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -121,18 +121,16 @@ def write_sequences(
         part = TaskContext.get().partitionId()
         name, target, writer, count = f"part-{part:06d}", Folder(folder), None, 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", TOKEN_SLICE):
                 if writer is None:
-                    cache = shared_cache(tokenizer, keeps_space, dtype.str)
+                    table = kept(("tokens", tokenizer, keeps_space), lambda: TokenTable(tokenizer, keeps_space))
                     writer = SequenceWriter(target, f"{name}.arrow", length, kind)
                     stream, private = target.open_new(f"{name}.index.arrow")
                     index = pa.ipc.new_stream(stream, INDEX)
-                ids = cache.ids(pc.fill_null(rows.column("text"), "").to_pylist())
-                starts, sizes = [], []
-                for own in ids:
-                    starts.append(writer.tokens)
-                    writer.append(np.append(np.frombuffer(own, dtype), dtype.type(end_id)))
-                    sizes.append(writer.tokens - starts[-1])
+                ends = np.full(len(rows), end_id, np.uint32), np.ones(len(rows), np.int64)
+                flat, sizes = woven(table.encode(rows.column("text")), ends)
+                starts = writer.tokens + np.cumsum(sizes) - sizes
+                writer.append(flat.astype(dtype))
                 columns = [rows.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())]
                 index.write_batch(pa.RecordBatch.from_arrays(columns, schema=INDEX))
                 count += len(rows)

@@ -1,140 +1,76 @@
-"""Token ids from a public tokenizer, through a bounded cache of distinct pieces.
+"""Token ids of the pieces of texts, from a public tokenizer.
 
 Both supported kinds cut a text into pieces before they merge: at a single space between two
 characters that are not white space a new piece always begins. So a text is split there, pieces
-are looked up, and only pieces not met before go through the tokenizer. A text with a run of
-white space, or with any white space but space and line feed, goes through the tokenizer whole.
+are looked up (``pieces.py``), and only pieces not met before go through the tokenizer, many to a call. A text with a
+run of white space, or with any white space but space and line feed, goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import sys
-import types
-from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 500_000
-TAIL = re.compile(r"^([^\W\d_]+)([.,;:!?*#$%&|\-()]*)$")
+TOGETHER = 200
 
 
-class PieceCache:
-    """Ids of texts as little-endian bytes of ``dtype``.
+class PieceTokenizer:
+    """Ids of texts and of their pieces.
 
     ``keeps_space`` tells the two kinds apart: True where a piece carries its leading space
     (byte-level), False where white space is dropped and case is folded (word ends).
     """
 
-    def __init__(self, path: str, keeps_space: bool, dtype: str = "<u4"):
+    def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.keeps_space, self.dtype = keeps_space, dtype
-        self.pieces: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
+        self.keeps_space = keeps_space
+        # a piece between two of these is encoded as if alone
+        self.mark = "\n" if keeps_space else " |\n"
+        self.stop = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts straight from the tokenizer."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def split(self, text: str) -> list[str]:
-        """Pieces of a text; one that starts with a line feed has no space in front."""
-        return text.replace("\n", " \n").split(" ") if self.keeps_space else text.replace("\n", " ").split(" ")
-
-    def learn(self, pieces: set[str]) -> None:
-        """Enter pieces not met before; unsafe ones get None."""
-        if len(self.pieces) + len(pieces) > CACHE_PIECES:
-            self.pieces.clear()
-            self.parts.clear()
-        plain: dict[str, tuple[str, str]] = {}
-        others: list[str] = []
-        for p in pieces:
-            if not p:
-                self.pieces[p] = None if self.keeps_space else b""
-            elif self.unsafe(p):
-                self.pieces[p] = None
-            elif (m := TAIL.match(p)) and (head := self.head(m[1])):
-                plain[p] = (head, m[2])
-            else:
-                others.append(p)
-        new = {x for pair in plain.values() for x in pair if x and x not in self.parts}
-        self.parts.update(self.encoded(sorted(new)))
-        for p, (head, tail) in plain.items():
-            self.pieces[p] = self.parts[head] + (self.parts[tail] if tail else b"")
-        if others:
-            self.pieces.update(zip(others, self.whole([self.with_space(p) for p in others])))
+        return [np.array(x.ids, np.uint32) for x in found]
 
     def unsafe(self, piece: str) -> bool:
-        """Whether white space inside a piece could join with its neighbours'."""
+        """Whether a piece's white space could join with its neighbours', so that its text goes whole."""
+        if not piece:
+            return self.keeps_space
         body = piece[1:] if self.keeps_space and piece[0] == "\n" else piece
         return not body or (not body.isprintable() and any(c.isspace() for c in body))
 
-    def head(self, word: str) -> str | None:
-        """The key under which a run of letters is cached, or None where it needs its whole piece."""
-        if self.keeps_space:
-            return " " + word
-        return word.lower() if all(c < "ƀ" and c != "İ" for c in word) else None
-
-    def with_space(self, piece: str) -> str:
-        return piece if not self.keeps_space or piece[0] == "\n" else " " + piece
-
-    def encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of single parts, many to a call: a part between two line feeds or bars is encoded as if alone."""
-        mark = "\n" if self.keeps_space else " |\n"
-        stop = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        out: dict[str, bytes] = {}
-        alone = [p for p in parts if not p.strip(" ").isalpha()]
-        out.update(zip(alone, self.whole(alone)))
-        letters = [p for p in parts if p.strip(" ").isalpha()]
-        groups = [letters[i : i + 200] for i in range(0, len(letters), 200)]
-        joined = self.tokenizer.encode_batch_fast([mark.join(g) + mark for g in groups], add_special_tokens=False)
-        for group, found in zip(groups, joined):
-            ids = np.array(found.ids, self.dtype)
-            ends = np.flatnonzero(ids == stop[0])
-            if len(ends) != len(group) or len(stop) != 1:
-                out.update(zip(group, self.whole(group)))
-                continue
-            begins = np.concatenate(([0], ends[:-1] + 1))
-            out.update((p, ids[b:e].tobytes()) for p, b, e in zip(group, begins, ends))
+    def pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+        """The pieces in another order, their ids in a row, the number of ids of each, and how many unsafe ones are last.
+
+        A piece has a space in front of it, but for one that begins with a line feed; unsafe ones have no ids.
+        """
+        odd = {p for p in pieces if self.unsafe(p)}
+        lines = [p for p in pieces if p[:1] == "\n" and p not in odd]
+        plain = [p for p in pieces if p[:1] != "\n" and p and p not in odd]
+        order = [*plain, *lines, *(p for p in pieces if not p and p not in odd), *odd]
+        space = " " if self.keeps_space else ""
+        parts = [self.joined([space + p for p in plain], self.mark, False), self.joined(lines, "", True)]
+        flat = [x for found in parts for x, _ in found]
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for found in parts for _, c in found)])
+        none = np.zeros(len(order) - len(counts), np.int64)
+        return order, np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate((counts, none)), len(odd)
+
+    def joined(self, pieces: list[str], mark: str, leads: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and counts, group by group. The stop id ends each piece and isn't its own, or leads it and is (``leads``)."""
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        texts = [mark.join(g) + mark for g in groups]
+        out = []
+        for group, ids in zip(groups, self.whole(texts)):
+            stops = np.flatnonzero(ids == self.stop[0])
+            if len(stops) != len(group) or len(self.stop) != 1:
+                alone = self.whole(group)
+                out.append((np.concatenate(alone), np.array([len(x) for x in alone], np.int64)))
+            elif leads:
+                out.append((ids, np.diff(np.append(stops, len(ids)))))
+            else:
+                out.append((ids[ids != self.stop[0]], np.diff(stops, prepend=-1) - 1))
         return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, equal to what the tokenizer gives for it."""
-        skip = int(self.keeps_space)  # the first piece has no space in front
-        split = [self.split(t) for t in texts]
-        missing = set(chain.from_iterable(p[skip:] for p in split)).difference(self.pieces)
-        if missing:
-            self.learn(missing)
-        return [self.text_ids(text, pieces, skip) for text, pieces in zip(texts, split)]
-
-    def text_ids(self, text: str, pieces: list[str], skip: int) -> bytes:
-        tail = b""
-        if skip and len(pieces) > 1 and pieces[-1] == "\n" and not text[-2:-1].isspace():
-            tail = self.parts.get("\n") or self.parts.setdefault("\n", self.whole(["\n"])[0])
-            pieces = pieces[:-1]
-        found = list(map(self.pieces.get, pieces[skip:]))
-        first = self.first(pieces[0]) if skip else b""
-        if first is None or None in found:
-            return self.whole([text])[0]
-        return first + b"".join(found) + tail
-
-    def first(self, piece: str) -> bytes | None:
-        """Ids of a text's first piece, which has no space in front."""
-        if not piece:
-            return b""
-        return None if any(c.isspace() for c in piece) else self.whole([piece])[0]
-
-
-def shared_cache(path: str, keeps_space: bool, dtype: str = "<u4") -> PieceCache:
-    """The cache of a worker process, kept from one of its tasks to the next.
-
-    Functions of this package travel to workers by value, so what a worker keeps lives in a module made there.
-    """
-    kept = sys.modules.setdefault("tablerisk_kept", types.ModuleType("tablerisk_kept"))
-    key = (path, keeps_space, dtype)
-    if getattr(kept, "key", None) != key:
-        kept.key, kept.cache = key, PieceCache(path, keeps_space, dtype)
-    return kept.cache

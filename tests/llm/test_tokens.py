@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 
 from tablerisk.llm import packing, sequences
+from tablerisk.llm.pieces import TokenTable
 from tablerisk.llm.store import new_folder, stored
-from tablerisk.llm.tokens import PieceCache
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -26,11 +26,14 @@ def odd_texts():
 
 
 @pytest.mark.parametrize("path,keeps_space", [(WORD, False), (BYTE, True)])
-def test_cache_equals_tokenizer(path, keeps_space):
-    cache = PieceCache(path, keeps_space)
-    texts = odd_texts()
-    assert cache.ids(texts) == cache.whole(texts)
-    assert cache.ids(texts[::-1]) == cache.whole(texts[::-1])
+@pytest.mark.parametrize("limit", [1_000_000, 700])
+def test_table_equals_tokenizer(path, keeps_space, limit):
+    table = TokenTable(path, keeps_space, limit)
+    texts = [*odd_texts(), None]
+    for own in (texts, texts[::-1], texts[:1], []):
+        flat, counts = table.encode(pa.array(own, pa.string()))
+        expected = table.tokenizer.whole([t or "" for t in own])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])][: len(own)] == [x.tolist() for x in expected]
 
 
 def direct(path, rows, end):
