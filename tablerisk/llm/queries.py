@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import contamination, jaccard, language_model, packing, quality, sequences, spans, substrings, templates, warc
+from tablerisk.llm import alignment, contamination, factorisation, jaccard, language_model, packing, quality, sequences, spans, substrings, templates, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,17 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped_lines", "text")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of aligned tokens of two public tokenizers in all documents, and counts of their links."""
+    byte_level, pieces = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.aligned_documents(table(spark, folder, "documents"), byte_level, pieces)
+
+
+def op13_factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents by a factorisation machine learned from four of five folds of the labels."""
+    return factorisation.classified(table(spark, folder, "documents"), table(spark, folder, "labels"), fold=0, folds=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_substrings": op1_suffix_substrings,
     "op2_warc_revisits": op2_warc_revisits,
@@ -90,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_templates": op10_line_templates,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_factorisation_machine": op13_factorisation_machine,
 }
 
 ORACLE: dict[str, str] = {}
