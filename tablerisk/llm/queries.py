@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerisk.llm import alignment, contamination, factorisation, jaccard, language_model, packing, quality, sequences, spans, substrings, templates, warc
+from tablerisk.llm import alignment, contamination, conversations, factorisation, jaccard, language_model, packing, quality, sequences, spans, substrings, templates, warc
+from tablerisk.llm.sql import ORACLE  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +80,11 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped_lines", "text")
 
 
+def op11_bidirectional_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text's hash of all conversations, damaged by rule."""
+    return conversations.repaired(table(spark, folder, "conversations"), damage=True)
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of aligned tokens of two public tokenizers in all documents, and counts of their links."""
     byte_level, pieces = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -101,8 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_templates": op10_line_templates,
+    "op11_bidirectional_repair": op11_bidirectional_repair,
     "op12_token_alignment": op12_token_alignment,
     "op13_factorisation_machine": op13_factorisation_machine,
 }
-
-ORACLE: dict[str, str] = {}
