@@ -3,7 +3,8 @@
 A query is one condition code per column; the literals come from a value row. Each record is
 reduced to its three-way state per column (below / equal / above the literal), records are counted
 by state *before* they meet the queries, and a query matches a state when the state has no bit the
-query forbids. The match therefore runs over distinct states, never over rows.
+query forbids. The match therefore runs over distinct states, never over rows. Many value rows, and users
+who ask with their own rows, are answered from counts per projection instead (``projections.py``).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from tablerisk.functions.keyed import (
     uniform_integer,
     with_hashes,
 )
+from tablerisk.operators.projections import projection_counts
 from tablerisk.spec import ID, Mechanism
 
 COLUMNS_PER_WORD = 21
@@ -142,55 +144,35 @@ def count_queries(
 ) -> DataFrame:
     """Answer every query with every value row -> keys, value_id, query_id, cnt, set_hash.
 
-    ``values`` holds value_id and ``columns``. Value rows are query literals: they are read in
-    batches of at most 1000 and all batches are answered.
+    ``values`` holds value_id and ``columns``. Up to 1000 value rows are literals that every record is compared with once;
+    more of them are joined to counts per projection. Both ways give the same answers.
     """
     columns = list(columns)
     reduced = _reduced(df, columns, keys, int_domain)
+    literals = values.select("value_id", *[comparable(c, int_domain).alias(c) for c in columns])
+    few = literals.limit(VALUE_ROWS + 1).collect()
+    if len(few) > VALUE_ROWS:
+        return projection_counts(reduced, columns, queries, literals, keys)
+    if len({r["value_id"] for r in few}) < len(few):
+        raise ValueError("value_id must be unique")
     masks = query_masks(queries, len(columns))
-    literal_rows = values.select(
-        "value_id", *[comparable(c, int_domain).alias(c) for c in columns]
-    )
     field_type = "bigint" if int_domain else "double"
     fields = ", ".join(f"v{i}: {field_type}" for i in range(len(columns)))
-    frames, states = [], []
-    base_frames = df.select(*keys).distinct() if keys else None
-    for batch in _literal_batches(literal_rows):
-        packed = F.array(
-            *[
-                F.struct(
-                    F.lit(r["value_id"]).cast("bigint").alias("value_id"),
-                    *[F.lit(r[c]).alias(f"v{i}") for i, c in enumerate(columns)],
-                ).cast(f"struct<value_id: bigint, {fields}>")
-                for r in batch
-            ]
-        )
-        asked = reduced.withColumn("__v", F.explode(packed))
-        literals = [f"__v.v{i}" for i in range(len(columns))]
-        asked = asked.withColumn("value_id", F.col("__v.value_id"))
-        states.append(column_states(asked, columns, literals, [*keys, "value_id"]))
-        ids = F.explode(F.array(*[F.lit(r["value_id"]).cast("bigint") for r in batch]))
-        spark = df.sparkSession
-        frame = base_frames if keys else spark.range(1).select()
-        frames.append(frame.select("*", ids.alias("value_id")))
-    every_state = reduce(DataFrame.unionByName, states)
-    every_frame = reduce(DataFrame.unionByName, frames)
-    return match_queries(every_state, masks, every_frame, [*keys, "value_id"])
-
-
-def _literal_batches(values: DataFrame):
-    """Value rows as driver-side literals, in batches by id."""
-    last = None
-    while True:
-        rest = values if last is None else values.filter(F.col("value_id") > F.lit(last))
-        batch = rest.orderBy("value_id").limit(VALUE_ROWS).collect()
-        if batch:
-            if len({r["value_id"] for r in batch} | {last}) <= len(batch):
-                raise ValueError("value_id must be unique")
-            yield batch
-            last = batch[-1]["value_id"]
-        if len(batch) < VALUE_ROWS:
-            return
+    packed = F.array(
+        *[
+            F.struct(
+                F.lit(r["value_id"]).cast("bigint").alias("value_id"),
+                *[F.lit(r[c]).alias(f"v{i}") for i, c in enumerate(columns)],
+            ).cast(f"struct<value_id: bigint, {fields}>")
+            for r in few
+        ]
+    ).cast(f"array<struct<value_id: bigint, {fields}>>")
+    asked = reduced.withColumn("__v", F.explode(packed)).withColumn("value_id", F.col("__v.value_id"))
+    places = [f"__v.v{i}" for i in range(len(columns))]
+    states = column_states(asked, columns, places, [*keys, "value_id"])
+    frames = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    frames = frames.select("*", F.explode(packed["value_id"]).alias("value_id"))
+    return match_queries(states, masks, frames, [*keys, "value_id"])
 
 
 def structured_counts(
@@ -212,9 +194,12 @@ def structured_counts(
     wanted = users.select(F.col("user_id").alias(ID))
     rows = df.join(wanted, ID, "left_semi").dropDuplicates([ID])
     values = rows.select(
-        F.col(ID).alias("value_id"), *columns[:-1], F.lit(1).alias(sensitive)
+        F.col(ID).alias("value_id"),
+        *[comparable(c, int_domain).alias(c) for c in columns[:-1]],
+        F.lit(1).cast("bigint" if int_domain else "double").alias(sensitive),
     )
-    answers = count_queries(df, columns, queries, values, keys, int_domain)
+    reduced = _reduced(df, columns, keys, int_domain)
+    answers = projection_counts(reduced, columns, queries, values, keys)
     return answers.withColumnRenamed("value_id", "user_id")
 
 

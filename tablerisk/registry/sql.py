@@ -370,8 +370,7 @@ FROM few, vals, lat GROUP BY value_id, query_id"""
 _FULL = ["c_nationkey", "c_mktsegment", "band", "sensitive"]
 ORACLE["structured_counts"] = f"""WITH {CUSTOMERS}, {FIXED},
 {lattice(_FULL, [_CAT] * 4, [1, 2, 3, 4])},
-vals AS (SELECT record_id AS user_id, * REPLACE (1 AS sensitive) FROM fixed
-  WHERE record_id IN (SELECT min(record_id) FROM fixed GROUP BY c_mktsegment))
+vals AS (SELECT record_id AS user_id, * REPLACE (1 AS sensitive) FROM fixed)
 SELECT user_id, query_id, count(*) FILTER ({matches(_FULL, 'fixed', 'vals')}) AS cnt
 FROM fixed, vals, lat GROUP BY user_id, query_id"""
 _ORD = ["o_orderstatus", "o_orderpriority", "band"]

@@ -191,3 +191,64 @@ def test_multiplicity_occurrences_shares(spark):
         (1, 0), (2, 0), (1, 1), (3, 0),
     ]
     assert S.budget_shares(df).agg(F.sum("budget")).first()[0] == pytest.approx(1.0)
+
+
+def many_ways(spark, rows, vectors, values, keys, int_domain, monkeypatch):
+    """The same counts by states and by projections -> (keys, value_id, query_id, cnt, set_hash) sets."""
+    width = len(vectors[0])
+    columns = [f"c{i}" for i in range(width)]
+    fields = ", ".join(f"{c} double" for c in columns)
+    df = spark.createDataFrame(rows, f"record_id bigint, dataset_id bigint, {fields}")
+    literals = spark.createDataFrame(values, f"value_id bigint, {fields}")
+    out = []
+    for limit in (1000, 0):
+        monkeypatch.setattr(C, "VALUE_ROWS", limit)
+        got = C.count_queries(df, columns, queries_table(spark, vectors), literals, keys, int_domain)
+        out.append(sorted(map(tuple, got.select(*keys, "value_id", "query_id", "cnt", "set_hash").collect())))
+    return out
+
+
+@pytest.mark.parametrize("keys", [(), ("dataset_id",)])
+@pytest.mark.parametrize("int_domain", [True, False])
+def test_projections_equal_states(spark, monkeypatch, keys, int_domain):
+    rng = np.random.default_rng(4)
+    pick = lambda: None if rng.random() < 0.1 else float(rng.choice([-3, -0.0, 0.0, 0.5, 1, 2, 7, 1e6]))
+    rows = [(i, i % 3, pick(), pick()) for i in range(120)]
+    values = [(100 + i, pick(), pick()) for i in range(25)] + [(1, None, None), (2, 2.5, -1e9), (3, 2.5, -1e9)]
+    vectors = list(itertools.product([0, 1, -1, 2, 3, -2, -3], repeat=2))
+    states, projections = many_ways(spark, rows, vectors, values, keys, int_domain, monkeypatch)
+    assert states == projections and len(states) == 49 * 28 * (3 if keys else 1)
+
+
+def test_projections_of_an_empty_table_and_of_bad_queries(spark, monkeypatch):
+    monkeypatch.setattr(C, "VALUE_ROWS", 0)
+    df = spark.createDataFrame([], "record_id bigint, a int")
+    values = spark.createDataFrame([(0, 1)], "value_id bigint, a int")
+    got = C.count_queries(df, ["a"], queries_table(spark, [[0], [1], [-2]]), values)
+    assert [r.cnt for r in got.collect()] == [0, 0, 0]
+    with pytest.raises(PySparkException):
+        C.count_queries(df, ["a"], queries_table(spark, [[5]]), values).collect()
+    with pytest.raises(ValueError):
+        C.count_queries(df, ["a"], queries_table(spark, [[0]]), values.union(values))
+
+
+def test_structured_counts_of_all_users_join_by_keys_alone(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "record_id bigint, a int, b int, sensitive int")
+    vectors = [v for v in itertools.product([0, 1, -1], [0, 1, -1, 2, -3], [0, 1, -1])]
+    users = df.select(F.col("record_id").alias("user_id"))
+    got = C.structured_counts(df, ["a", "b", "sensitive"], users, queries_table(spark, vectors))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    table = np.array(rows)
+    answers = {(r.user_id, r.query_id): r.cnt for r in got.collect()}
+    assert len(answers) == 300 * len(vectors)
+    for user in range(0, 300, 7):
+        for q, vector in enumerate(vectors):
+            hit = np.ones(300, bool)
+            for c, condition in enumerate(vector):
+                value = 1 if c == 2 else table[user, c + 1]
+                if condition:
+                    hit &= OPS[condition](table[:, c + 1], value)
+            assert answers[user, q] == hit.sum()
