@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +39,3 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def stored_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Compute a reduced join side once, store it, and broadcast it if it turned out small."""
     return broadcast_if_small(durable(df), rows)
-
-
-class GrowingTable:
-    """A stored table that grows by whole batches; a repeated batch replaces itself."""
-
-    def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.schema = spark, schema
-        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/growing-{uuid.uuid4()}"
-        self.batches = 0
-
-    def append(self, df: DataFrame) -> DataFrame:
-        """Store one more batch and return the whole table."""
-        df.write.mode("overwrite").parquet(f"{self.folder}/batch={self.batches}")
-        self.batches += 1
-        return self.spark.read.schema(self.schema).parquet(self.folder).drop("batch")

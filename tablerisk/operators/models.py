@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerisk.functions.keyed import STREAM_RANK, keyed_hash
+from tablerisk.operators.small_models import FITS, scaled
 
 # Fixed parameter grids of the cross-validated variants.
 LOGISTIC_C = [1e-6, 1e-5, 1e-4, 0.001, 0.01, 0.1, 1, 10]
@@ -147,47 +148,33 @@ def fit_models(
     return out
 
 
-def logistic_weights(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Newton steps for a small L2 logistic fit; the last weight is the (free) intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], 1.0 / c)
-    penalty[-1] = 1e-9
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x.T * np.maximum(p * (1 - p), 1e-9)) @ x + np.diag(penalty)
-        move = np.linalg.solve(curve, slope)
-        w -= move
-        if np.abs(move).max() < 1e-8:
-            break
-    return w
-
-
-def population_fitness(members: DataFrame, answers: DataFrame, labels: DataFrame) -> DataFrame:
+def population_fitness(
+    members: DataFrame, answers: DataFrame, labels: DataFrame, model: str = "logreg", seed: int = 0
+) -> DataFrame:
     """Score candidate query sets -> solution_id, fitness_train, fitness_eval, fitness_min.
 
-    members: solution_id, pos, query_id, variant; answers: dataset_id, query_id, variant, answer;
-    labels: dataset_id, phase, label. Each solution's answers are standardised on the train
-    datasets and a logistic model is fitted; one group is (datasets x queries of one solution),
-    both set by the search parameters.
+    members: solution_id, pos, query_id, variant; answers: query_id, variant, answers (an array in the order of the
+    dataset ids); labels: dataset_id, phase, label. Each solution's answers are standardised on the train datasets
+    and the model fitted; one group is (datasets x queries of one solution), both set by the search parameters. What
+    is shuffled is one row per query of a solution, and the labels once per solution.
     """
-    rows = (
-        answers.join(F.broadcast(members), ["query_id", "variant"])
-        .join(labels, "dataset_id")
-        .select("solution_id", "dataset_id", "pos", "answer", "phase", "label")
+    listed = F.array_sort(F.collect_list(F.struct("dataset_id", (F.col("phase") == "train").alias("train"), "label")))
+    packed = labels.agg(listed.alias("l")).select("l.train", "l.label")
+    rows = members.join(answers.select("query_id", "variant", "answers"), ["query_id", "variant"])
+    rows = rows.join(F.broadcast(packed), F.lit(True))  # exactly one row
+    first = F.col("pos") == 0
+    rows = rows.select(
+        "solution_id", "pos", "answers", *[F.when(first, F.col(c)).alias(c) for c in ("train", "label")]
     )
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["dataset_id", "pos"])
-        width = group["pos"].nunique()
-        x = group["answer"].to_numpy(dtype=float).reshape(-1, width)
-        y = group["label"].to_numpy(dtype=float)[::width]
-        train = (group["phase"] == "train").to_numpy()[::width]
-        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
-        x = (x - mean) / np.where(sd == 0, 1.0, sd)
-        w = logistic_weights(x[train], y[train])
-        right = ((x @ w[:-1] + w[-1]) > 0) == (y == 1)
+    fit = FITS[model]
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        x = np.stack(group["answers"].to_numpy()).T.astype(float)
+        train = np.asarray(group["train"].iloc[0], bool)
+        y = np.asarray(group["label"].iloc[0], float)
+        x = scaled(x, train)
+        right = (fit(x[train], y[train], seed)(x) > 0.5) == (y == 1)
         fit_train, fit_eval = float(right[train].mean()), float(right[~train].mean())
         return pd.DataFrame(
             {
@@ -199,4 +186,28 @@ def population_fitness(members: DataFrame, answers: DataFrame, labels: DataFrame
         )
 
     schema = "solution_id bigint, fitness_train double, fitness_eval double, fitness_min double"
-    return rows.groupBy("solution_id").applyInPandas(fit, schema)
+    return rows.groupBy("solution_id").applyInPandas(score, schema)
+
+
+def grouped_fits(matrix: DataFrame, keys: Sequence[str], models: dict[str, str], seed: int = 0) -> DataFrame:
+    """Fit every named model once per group and score all its rows -> matrix columns but features, model, probability.
+
+    ``matrix``: keys, phase, features, label and other columns; models maps display names to ``small_models.FITS``. A
+    group is one attacked target's datasets, as many as the audit draws; features are standardised on its train rows.
+    """
+    kept = [c for c in matrix.columns if c != "features"]
+    types = dict(matrix.dtypes)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["phase", "dataset_id"])
+        x = np.stack(group["features"].to_numpy()).astype(float)
+        train = (group["phase"] == "train").to_numpy()
+        x, y = scaled(x, train), group["label"].to_numpy(float)
+        parts = []
+        for name, kind in models.items():
+            probability = FITS[kind](x[train], y[train], seed)(x)
+            parts.append(group[kept].assign(model=name, probability=probability))
+        return pd.concat(parts)
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", model string, probability double"
+    return matrix.groupBy(*keys).applyInPandas(run, schema)

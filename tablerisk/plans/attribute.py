@@ -2,37 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import asdict
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import durable
+from tablerisk.functions.durable import checkpoint_folder, durable
 from tablerisk.functions.keyed import mix_int
 from tablerisk.operators.metrics import binary_metrics
-from tablerisk.operators.models import fit_models
+from tablerisk.operators.models import grouped_fits
 from tablerisk.operators.prep import unique_records
 from tablerisk.operators.sampling import dataset_ids, exact_shadow
 from tablerisk.operators.shadow import auxiliary_shadow, target_dataset
-from tablerisk.plans.query_search import (
-    AnswerCache,
-    SearchConfig,
-    answer_matrix,
-    dataset_labels,
-    formatted,
-    members_table,
-    query_search,
-    scaled_by_train,
-)
+from tablerisk.plans.answer_store import AnswerStore, answer_matrix, dataset_labels, formatted, members_table
+from tablerisk.plans.query_search import SearchConfig, query_search
+from tablerisk.sources.results import resume_targets, run_key, write_results
 from tablerisk.spec import ID, Mechanism
 
 PARALLEL_TARGETS = 4
 
-# Display names of the two final models and their training functions.
-FINAL_MODELS = {"logistic_regression": "logreg", "mlp": "mlp"}
-FINAL_OPTIONS = {"logistic_regression": {"c": 1.0}, "mlp": {"hidden": (50, 20)}}
+# Display names of the two final models and their fits.
+FINAL_MODELS = {"logreg": "logreg", "mlp": "mlp"}
+PREDICTIONS = ("target_id", "model", "phase", "dataset_id", "label", "probability", "asked")
 
 
 def choose_targets(test: DataFrame, columns: Sequence[str], n: int) -> list[int]:
@@ -50,9 +44,13 @@ def audit_one_target(
     n_rows: int,
     n_datasets: int,
     n_tests: int,
+    folder: str | None = None,
 ) -> DataFrame:
     """Search, train the final models, test them on fresh target datasets -> predictions.
 
+    ``asked`` is the number of queries that were put to each shadow dataset's interface. What the search has stored under
+    ``folder`` is continued.
+
     ``split`` holds record_id, integer columns and split in {test, aux}. In the "auxiliary"
     scenario shadow datasets come from aux; in the "exact" one they are the target dataset itself
     with only the target's sensitive value redrawn. Test datasets use other noise seeds.
@@ -85,35 +83,22 @@ def audit_one_target(
     else:
         raise ValueError(f"unknown scenario {scenario!r}")
     shadows, tests = durable(shadows), durable(tests.withColumn("phase", F.lit("test")))
-    found = query_search(shadows, asked, target, target_id, mechanism, config)
+    found = query_search(shadows, asked, target, target_id, mechanism, config, folder and f"{folder}/search")
     best = formatted(found.population[0], mechanism)
     members = members_table(spark, [best])
-    unseen = AnswerCache(tests, asked, target, mechanism, seed + 4)
+    unseen = AnswerStore(tests, asked, target, mechanism, seed + 4, folder and f"{folder}/tests")
     unseen.update(set(best))
     parts = [
-        answer_matrix(members, cache.answers, dataset_labels(tables, target_id))
-        for cache, tables in ((found.cache, shadows), (unseen, tests))
+        answer_matrix(members, store.answers(members), dataset_labels(tables, target_id))
+        for store, tables in ((found.store, shadows), (unseen, tests))
     ]
-    matrix = durable(scaled_by_train(parts[0].unionByName(parts[1])))
-    scored = fit_models(
-        matrix.filter("phase = 'train'"),
-        matrix,
-        list(FINAL_MODELS),
-        seed=config.seed,
-        params=FINAL_OPTIONS,
-    )
-    names = F.create_map(*[F.lit(x) for pair in FINAL_MODELS.items() for x in pair])
-    return scored.select(
-        F.lit(target_id).cast("bigint").alias("target_id"),
-        names[F.col("model")].alias("model"),
-        "phase",
-        "dataset_id",
-        "label",
-        "probability",
-    )
+    matrix = parts[0].unionByName(parts[1]).drop("solution_id")
+    matrix = matrix.withColumn("target_id", F.lit(target_id).cast("bigint"))
+    scored = grouped_fits(matrix, ["target_id"], FINAL_MODELS, config.seed)
+    return scored.withColumn("asked", F.lit(found.store.asked).cast("bigint")).select(*PREDICTIONS)
 
 
-def attribute_audit(
+def attribute_predictions(
     split: DataFrame,
     columns: Sequence[str],
     targets: Sequence[int],
@@ -123,23 +108,54 @@ def attribute_audit(
     n_rows: int = 1000,
     n_datasets: int = 1000,
     n_tests: int = 500,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Audit several targets -> target_id, model, acc_train, acc_eval, acc_test, auc_test."""
+    """Predictions for several targets, stored target by target -> target_id, model, phase, dataset_id, label, ...
+
+    Results lie under ``folder`` in a directory named after the parameters. A target with stored predictions is not
+    audited again, and one whose audit was cut off continues from its last generation. ``split`` must be the same table.
+    """
     config = config or SearchConfig()
     if not targets:
         raise ValueError("no targets")
+    spark = split.sparkSession
+    parameters = {
+        "columns": list(columns), "mechanism": asdict(mechanism), "scenario": scenario, "config": asdict(config),
+        "n_rows": n_rows, "n_datasets": n_datasets, "n_tests": n_tests,
+    }
+    folder = folder or f"{checkpoint_folder(spark).rstrip('/')}/attribute-{uuid.uuid4()}"
+    run = f"{folder.rstrip('/')}/{run_key(parameters)}"
+    wanted = spark.createDataFrame([(t,) for t in targets], "target_id bigint").distinct()
+    missing = resume_targets(wanted, f"{run}/predictions", "target_id")
+    todo = sorted(r["target_id"] for r in missing.collect())  # some of the given targets
 
-    def audit(target_id: int) -> DataFrame:
-        return audit_one_target(
-            split, columns, target_id, mechanism, scenario, config, n_rows, n_datasets, n_tests
+    def audit(target_id: int) -> None:
+        scored = audit_one_target(
+            split, columns, target_id, mechanism, scenario, config, n_rows, n_datasets, n_tests, f"{run}/{target_id}"
         )
+        write_results(scored, f"{run}/predictions", ["target_id"])
 
     # searches for different targets are independent: their jobs share the cluster
-    with ThreadPool(min(PARALLEL_TARGETS, len(targets))) as threads:
-        scored = reduce(DataFrame.unionByName, threads.map(audit, targets))
+    if todo:
+        with ThreadPool(min(PARALLEL_TARGETS, len(todo))) as threads:
+            threads.map(audit, todo)
+    stored = spark.read.parquet(f"{run}/predictions").withColumn("target_id", F.col("target_id").cast("bigint"))
+    return stored.join(wanted, "target_id", "left_semi").select(*PREDICTIONS)
+
+
+def attribute_audit(
+    split: DataFrame, columns: Sequence[str], targets: Sequence[int], mechanism: Mechanism, *args, **options
+) -> DataFrame:
+    """Audit several targets -> target_id, model, acc_train, acc_eval, acc_test, auc_test, asked.
+
+    Takes the arguments of ``attribute_predictions``.
+    """
+    scored = attribute_predictions(split, columns, targets, mechanism, *args, **options)
     metrics = binary_metrics(scored, ["target_id", "model", "phase"], strict=False)
     at = {p: F.max(F.when(F.col("phase") == p, F.col("accuracy"))) for p in ("train", "eval", "test")}
-    return metrics.groupBy("target_id", "model").agg(
+    out = metrics.groupBy("target_id", "model").agg(
         *[value.alias(f"acc_{p}") for p, value in at.items()],
         F.max(F.when(F.col("phase") == "test", F.col("auc"))).alias("auc_test"),
     )
+    asked = scored.groupBy("target_id").agg(F.max("asked").alias("asked"))
+    return out.join(asked, "target_id")

@@ -1,36 +1,30 @@
 """Searching for the set of count queries that best reveals a sensitive attribute.
 
-The search itself handles a few hundred small solutions and runs as a plain loop; every
-generation's answers and fitness are Spark jobs over all shadow datasets.
+The search itself handles a few hundred small solutions and runs as a plain loop; every generation's answers and fitness
+are Spark jobs over all shadow datasets. Each generation is stored with the loop's random state before the next one
+begins, so a search whose driver is lost goes on from its last generation and asks nothing twice.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import GrowingTable, durable
-from tablerisk.operators.counts import (
-    _reduced,
-    apply_mechanism,
-    column_states,
-    comparable,
-    match_queries,
-    query_masks,
-)
+from tablerisk.functions.durable import checkpoint_folder, durable
 from tablerisk.operators.metrics import generation_log
-from tablerisk.operators.models import fit_models, population_fitness
-from tablerisk.operators.prep import single_record
-from tablerisk.spec import ID, Mechanism
+from tablerisk.operators.models import population_fitness
+from tablerisk.plans.answer_store import AnswerStore, dataset_labels, formatted, members_table
+from tablerisk.sources.batches import BatchTable
+from tablerisk.spec import Mechanism
 
 PERFECT = 0.9999
 PERFECT_GENERATIONS = 10
-BUDGET_UNITS = 1_000_000
+GENERATION = "rank int, queries array<array<int>>, fitness_train double, fitness_eval double, fitness_min double"
 
 
 @dataclass(frozen=True)
@@ -60,145 +54,18 @@ class SearchConfig:
         return 1 if self.mode == "random" else int(self.population_size * self.frac_elitism)
 
 
-def query_number(query: Sequence[int]) -> int:
-    """Stable id of a condition vector over {-1, 0, 1}: its base-3 number."""
-    number = 0
-    for code in query:
-        number = number * 3 + code + 1
-    return number
-
-
-def formatted(solution: Sequence[tuple], mechanism: Mechanism) -> list[tuple[tuple, int]]:
-    """A solution as (query, variant): the budget share, the occurrence number, or 0.
-
-    Noisy systems answer each repetition anew; the private one answers once with the summed
-    budget; deterministic ones repeat themselves.
-    """
-    if mechanism.kind == "dp-laplace":
-        counts = Counter(solution)
-        return [(q, round(n * BUDGET_UNITS / len(solution))) for q, n in counts.items()]
-    if mechanism.deterministic:
-        return [(q, 0) for q in solution]
-    seen: Counter = Counter()
-    out = []
-    for q in solution:
-        out.append((q, seen[q]))
-        seen[q] += 1
-    return out
-
-
-@dataclass
-class AnswerCache:
-    """Answers of every asked query on every dataset; a query is computed once.
-
-    The datasets are reduced to counted states when the cache is created: the literals are the
-    target's own values, with 1 for the sensitive column. Each update joins only the new queries
-    with those states and appends to the stored answers.
-    """
-
-    tables: DataFrame
-    columns: Sequence[str]
-    target: DataFrame
-    mechanism: Mechanism
-    seed: int
-    answers: DataFrame | None = None
-    asked: set = field(default_factory=set)
-
-    def __post_init__(self):
-        columns = list(self.columns)
-        reduced = _reduced(self.tables, columns, ["dataset_id"], True)
-        literals = [comparable(c, True).alias(f"__t{i}") for i, c in enumerate(columns[:-1])]
-        one = single_record(
-            self.target.select(*literals, F.lit(1).cast("bigint").alias(f"__t{len(columns) - 1}"))
-        )
-        beside = reduced.join(F.broadcast(one), F.lit(True))  # exactly one row
-        at = [f"__t{i}" for i in range(len(columns))]
-        self.states = durable(column_states(beside, columns, at, ["dataset_id"]))
-        self.frames = self.states.select("dataset_id").distinct()
-        self.store = GrowingTable(
-            self.tables.sparkSession,
-            "dataset_id bigint, query_id bigint, variant bigint, answer bigint",
-        )
-
-    def update(self, wanted: set[tuple[tuple, int]]) -> int:
-        """Answer the queries that are not stored yet; returns how many were new."""
-        new = sorted(wanted - self.asked)
-        if not new:
-            return 0
-        spark = self.tables.sparkSession
-        rows = [(query_number(q), list(q), variant) for q, variant in new]
-        batch = spark.createDataFrame(
-            rows, "query_id bigint, conditions array<int>, variant bigint"
-        )
-        masks = query_masks(batch.dropDuplicates(["query_id"]), len(self.columns))
-        exact = match_queries(self.states, masks, self.frames, ["dataset_id"])
-        variants = F.broadcast(batch.select("query_id", "variant"))  # this generation's queries
-        exact = exact.join(variants, "query_id").withColumn(
-            "budget", F.col("variant") / F.lit(float(BUDGET_UNITS))
-        )
-        keys = ["dataset_id", "query_id", "variant"]
-        fresh = apply_mechanism(exact, self.mechanism, self.seed, keys)
-        self.answers = self.store.append(fresh)
-        self.asked.update(new)
-        return len(new)
-
-
-def members_table(spark, solutions: Sequence[Sequence[tuple[tuple, int]]]) -> DataFrame:
-    """solution_id, pos, query_id, variant."""
-    rows = [
-        (s, pos, query_number(q), variant)
-        for s, solution in enumerate(solutions)
-        for pos, (q, variant) in enumerate(solution)
-    ]
-    return spark.createDataFrame(
-        rows, "solution_id bigint, pos bigint, query_id bigint, variant bigint"
-    )
-
-
-def answer_matrix(members: DataFrame, answers: DataFrame, labels: DataFrame) -> DataFrame:
-    """Answers in query order -> solution_id, dataset_id, phase, features, label."""
-    joined = answers.join(F.broadcast(members), ["query_id", "variant"])
-    entry = F.struct("pos", F.col("answer").cast("double").alias("answer"))
-    packed = joined.groupBy("solution_id", "dataset_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries")
-    )
-    return packed.join(labels, "dataset_id").select(
-        "solution_id",
-        "dataset_id",
-        "phase",
-        F.transform("entries", lambda e: e["answer"]).alias("features"),
-        "label",
-    )
-
-
-def scaled_by_train(matrix: DataFrame) -> DataFrame:
-    """Standardise every feature by its train mean and population deviation (0 -> 1)."""
-    long = matrix.select("*", F.posexplode("features").alias("pos", "x"))
-    sd = F.stddev_pop("x")
-    fitted = long.filter("phase = 'train'").groupBy("pos").agg(
-        F.avg("x").alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("sd")
-    )
-    packed = fitted.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "mean", "sd"))),
-            lambda e: F.struct(e["mean"].alias("mean"), e["sd"].alias("sd")),
-        ).alias("fit")
-    )
-    scaled = F.zip_with("features", "fit", lambda x, f: (x - f["mean"]) / f["sd"])
-    joined = matrix.join(F.broadcast(packed), F.lit(True))  # exactly one row
-    return joined.withColumn("features", scaled).drop("fit")
-
-
 class QuerySearch:
     """Evolutionary (or purely random) search over solutions = lists of queries."""
 
-    def __init__(self, cache: AnswerCache, labels: DataFrame, config: SearchConfig):
-        self.cache, self.labels, self.config = cache, durable(labels), config
+    def __init__(self, store: AnswerStore, labels: DataFrame, config: SearchConfig, folder: str | None = None):
+        self.store, self.labels, self.config = store, durable(labels), config
         self.rng = random.Random(config.seed)
-        self.width = len(cache.columns)
+        self.width = len(store.columns)
         self.population: list[list[tuple]] = []
         self.scores: list[tuple[float, float, float]] = []
-        self.history: list[tuple[int, int, float, float, float]] = []
+        self.perfect = 0
+        folder = folder or f"{checkpoint_folder(store.spark).rstrip('/')}/search-{uuid.uuid4()}"
+        self.generations = BatchTable(store.spark, folder, GENERATION)
 
     def random_solution(self) -> list[tuple]:
         return [
@@ -208,27 +75,15 @@ class QuerySearch:
 
     def score(self, solutions: list[list[tuple]]) -> list[tuple[float, float, float]]:
         """Fitness of new solutions: one job for the missing answers, one for all the fits."""
-        listed = [formatted(s, self.cache.mechanism) for s in solutions]
-        self.cache.update({entry for s in listed for entry in s})
-        members = members_table(self.cache.tables.sparkSession, listed)
-        if self.config.model == "logreg":
-            fitness = population_fitness(members, self.cache.answers, self.labels)
-            found = {r["solution_id"]: r for r in fitness.collect()}  # one row per solution
-            return [
-                (found[i]["fitness_train"], found[i]["fitness_eval"], found[i]["fitness_min"])
-                for i in range(len(solutions))
-            ]
-        return [self._score_mlp(members.filter(F.col("solution_id") == i)) for i in range(len(solutions))]
-
-    def _score_mlp(self, members: DataFrame) -> tuple[float, float, float]:
-        matrix = scaled_by_train(answer_matrix(members, self.cache.answers, self.labels))
-        train = matrix.filter("phase = 'train'")
-        scored = fit_models(
-            train, matrix, ["mlp"], seed=self.config.seed, params={"mlp": {"hidden": (50, 20)}}
+        listed = [formatted(s, self.store.mechanism) for s in solutions]
+        self.store.update({entry for s in listed for entry in s})
+        members = members_table(self.store.spark, listed)
+        fitness = population_fitness(
+            members, self.store.rows(members), self.labels, self.config.model, self.config.seed
         )
-        right = ((F.col("probability") > 0.5).cast("int") == F.col("label")).cast("double")
-        found = {r["phase"]: r["r"] for r in scored.groupBy("phase").agg(F.avg(right).alias("r")).collect()}
-        return found["train"], found["eval"], min(found["train"], found["eval"])
+        found = {r["solution_id"]: r for r in fitness.collect()}  # one row per solution
+        names = ("fitness_train", "fitness_eval", "fitness_min")
+        return [tuple(found[i][n] for n in names) for i in range(len(solutions))]
 
     def add(self, kept: int, solutions: list[list[tuple]]) -> None:
         """Keep the first ``kept`` scored solutions, score the new ones, sort by the lower score."""
@@ -253,7 +108,7 @@ class QuerySearch:
         for query in parent:
             kind = self.rng.random()
             if kind < c.p_copy:
-                changed = self.cache.mechanism.deterministic or self.rng.random() < 0.5
+                changed = self.store.mechanism.deterministic or self.rng.random() < 0.5
                 out += [query, self.modified(query) if changed else query]
             elif kind < c.p_copy + c.p_modify:
                 out.append(self.modified(query))
@@ -278,26 +133,48 @@ class QuerySearch:
         return tuple(out)
 
     def run(self) -> "QuerySearch":
-        """Search until the last generation or a run of perfect ones."""
-        perfect = 0
-        for generation in range(self.config.num_generations + 1):
+        """Search until the last generation or a run of perfect ones, from the last stored generation on."""
+        self.restore()
+        for generation in range(len(self.generations.batches), self.config.num_generations + 1):
+            if self.perfect == PERFECT_GENERATIONS:
+                break
             if generation == 0:
                 self.add(0, [self.random_solution() for _ in range(self.config.population_size)])
             else:
                 self.add(self.config.num_elites, self.offspring())
-            self.history += [(generation, i, *s) for i, s in enumerate(self.scores)]
             best = max(s[1] for s in self.scores)
-            perfect = perfect + 1 if best >= PERFECT else 0
-            if perfect == PERFECT_GENERATIONS:
-                break
+            self.perfect = self.perfect + 1 if best >= PERFECT else 0
+            self.keep()
         return self
 
+    def keep(self) -> None:
+        """Store the generation, its scores and the random state that the next one starts from."""
+        rows = [(i, [list(q) for q in p], *s) for i, (p, s) in enumerate(zip(self.population, self.scores))]
+        version, state, gauss = self.rng.getstate()
+        note = {"random": [version, list(state), gauss], "perfect": self.perfect, "asked": self.store.asked}
+        self.generations.append(self.store.spark.createDataFrame(rows, GENERATION).coalesce(1), note)
+
+    def restore(self) -> None:
+        """Continue from the last stored generation, if there is one."""
+        if not self.generations.batches:
+            return
+        last = self.generations.batches[-1]
+        note = self.generations.notes[last]
+        rows = sorted(self.generations.read([last]).collect(), key=lambda r: r["rank"])  # the population
+        self.population = [[tuple(q) for q in r["queries"]] for r in rows]
+        self.scores = [(r["fitness_train"], r["fitness_eval"], r["fitness_min"]) for r in rows]
+        version, state, gauss = note["random"]
+        self.rng.setstate((version, tuple(state), gauss))
+        self.perfect = note["perfect"]
+
     def fitness_table(self) -> DataFrame:
-        """generation, rank, fitness_train, fitness_eval, fitness_min."""
-        return self.cache.tables.sparkSession.createDataFrame(
-            self.history,
-            "generation bigint, rank bigint, fitness_train double, fitness_eval double, "
-            "fitness_min double",
+        """generation, rank, fitness_train, fitness_eval, fitness_min, as stored."""
+        return self.generations.read().select(
+            F.col("batch").cast("bigint").alias("generation"),
+            F.col("rank").cast("bigint").alias("rank"),
+            "fitness_train",
+            "fitness_eval",
+            "fitness_min",
         )
 
     def log(self) -> DataFrame:
@@ -308,20 +185,13 @@ class QuerySearch:
         """The best solution -> pos, conditions, variant."""
         rows = [
             (pos, list(q), variant)
-            for pos, (q, variant) in enumerate(formatted(self.population[0], self.cache.mechanism))
+            for pos, (q, variant) in enumerate(formatted(self.population[0], self.store.mechanism))
         ]
-        return self.cache.tables.sparkSession.createDataFrame(
+        return self.store.spark.createDataFrame(
             rows, "pos bigint, conditions array<int>, variant bigint"
         )
 
 
-def dataset_labels(tables: DataFrame, target_id: int) -> DataFrame:
-    """phase, dataset_id and the target's sensitive value."""
-    return tables.filter(F.col(ID) == F.lit(target_id)).select(
-        "dataset_id", "phase", F.col("sensitive").cast("int").alias("label")
-    )
-
-
 def query_search(
     tables: DataFrame,
     columns: Sequence[str],
@@ -329,7 +199,12 @@ def query_search(
     target_id: int,
     mechanism: Mechanism,
     config: SearchConfig,
+    folder: str | None = None,
 ) -> QuerySearch:
-    """Run a search on shadow datasets (phase, dataset_id, record_id, columns..., sensitive)."""
-    cache = AnswerCache(tables, columns, target, mechanism, config.seed)
-    return QuerySearch(cache, dataset_labels(tables, target_id), config).run()
+    """Run a search on shadow datasets (phase, dataset_id, record_id, columns..., sensitive).
+
+    Answers and generations lie under ``folder``; a search with the same inputs and folder continues there.
+    """
+    store = AnswerStore(tables, columns, target, mechanism, config.seed, folder and f"{folder}/answers")
+    labels = dataset_labels(tables, target_id)
+    return QuerySearch(store, labels, config, folder and f"{folder}/generations").run()

@@ -21,16 +21,10 @@ from tablerisk.operators import sampling as R
 from tablerisk.operators import shadow as H
 from tablerisk.operators import synthesis as Y
 from tablerisk.operators.models import fit_models, population_fitness
+from tablerisk.plans.answer_store import AnswerStore, answer_matrix, dataset_labels, members_table
 from tablerisk.plans.attribute import attribute_audit, choose_targets
 from tablerisk.plans.membership import membership_audit
-from tablerisk.plans.query_search import (
-    AnswerCache,
-    SearchConfig,
-    answer_matrix,
-    dataset_labels,
-    members_table,
-    query_search,
-)
+from tablerisk.plans.query_search import SearchConfig, query_search
 from tablerisk.plans.vulnerability import vulnerability_ranking
 from tablerisk.registry import inputs as I
 from tablerisk.sources.results import resume_targets, run_key, write_results
@@ -605,18 +599,20 @@ PROBES = [
 ]
 
 
-def _cache(spark, folder, mechanism):
+def _cache(spark, folder, mechanism, stored=None):
     tables = durable(_auxiliary(spark, folder))
     target = I.one_record(I.customers(spark, folder))
-    return tables, AnswerCache(tables, [*I.CUSTOMER_COLUMNS, "sensitive"], target, mechanism, 41)
+    return tables, AnswerStore(tables, [*I.CUSTOMER_COLUMNS, "sensitive"], target, mechanism, 41, stored)
 
 
 @register("answer_cache")
 def q_answer_cache(spark, folder):
-    _, cache = _cache(spark, folder, Mechanism("table-builder", threshold=4, c=2))
-    cache.update({(q, 0) for q in PROBES[:10]})
-    cache.update({(q, 0) for q in PROBES[5:]})
-    return cache.answers
+    """Two batches of overlapping queries; the second is asked after a restart, by a store opened on the same folder."""
+    mechanism, stored = Mechanism("table-builder", threshold=4, c=2), f"{_fresh_folder(spark)}/answers"
+    for batch in (PROBES[:10], PROBES[5:]):
+        _, cache = _cache(spark, folder, mechanism, stored)
+        cache.update({(q, 0) for q in batch})
+    return cache.answers()
 
 
 @register("answer_matrix")
@@ -624,7 +620,7 @@ def q_answer_matrix(spark, folder):
     tables, cache = _cache(spark, folder, Mechanism("simple"))
     cache.update({(q, 0) for q in PROBES})
     members = members_table(spark, [[(q, 0) for q in PROBES]])
-    matrix = answer_matrix(members, cache.answers, dataset_labels(tables, 5))
+    matrix = answer_matrix(members, cache.answers(members), dataset_labels(tables, 5))
     text = F.array_join(
         F.transform("features", lambda x: x.cast("bigint").cast("string")), ","
     )
@@ -636,13 +632,13 @@ def q_answer_matrix(spark, folder):
 def q_population_fitness(spark, folder):
     tables = durable(_auxiliary(spark, folder, 40))
     target = I.one_record(I.customers(spark, folder))
-    cache = AnswerCache(
+    cache = AnswerStore(
         tables, [*I.CUSTOMER_COLUMNS, "sensitive"], target, Mechanism("simple"), 42
     )
     cache.update({(q, 0) for q in PROBES})
     solutions = [[(q, 0) for q in PROBES[i : i + 8]] for i in range(8)]
     members = members_table(spark, solutions)
-    return rounded(population_fitness(members, cache.answers, dataset_labels(tables, 5)))
+    return rounded(population_fitness(members, cache.rows(members), dataset_labels(tables, 5)))
 
 
 SMALL_SEARCH = SearchConfig(population_size=8, num_queries=6, num_generations=2, seed=3)
@@ -663,6 +659,28 @@ def q_query_search(spark, folder):
 
 
 
+@register("search_restart")
+def q_search_restart(spark, folder):
+    """Per generation: solutions of a search that was cut off and continued, how many equal an uncut one's, repeated queries."""
+    tables = durable(_auxiliary(spark, folder, 40))
+    target = I.one_record(I.customers(spark, folder))
+    columns, mechanism = [*I.CUSTOMER_COLUMNS, "sensitive"], Mechanism("simple", scale=1.0)
+    cut, whole = f"{_fresh_folder(spark)}/cut", f"{_fresh_folder(spark)}/whole"
+    for place, generations in ((cut, 1), (cut, 3), (whole, 3)):
+        config = SearchConfig(**{**SMALL_SEARCH.__dict__, "num_generations": generations})
+        found = query_search(tables, columns, target, 5, mechanism, config, place)
+        if place == cut:
+            resumed, store = found.generations.read(), found.store
+    keys = ["batch", "rank", "queries", "fitness_train", "fitness_eval", "fitness_min"]
+    same = resumed.join(found.generations.read().withColumn("same", F.lit(1)), keys, "left")
+    repeated = store.rows().groupBy("query_id", "variant").count().filter("count > 1").count()
+    return same.groupBy(F.col("batch").cast("bigint").alias("generation")).agg(
+        F.count(F.lit(1)).alias("n_solutions"),
+        F.count("same").alias("n_same"),
+        F.lit(repeated).cast("bigint").alias("n_repeated"),
+    )
+
+
 @register("attribute_audit")
 def q_attribute_audit(spark, folder):
     df = I.customers(spark, folder)

@@ -647,3 +647,6 @@ ORACLE["answer_matrix"] = f"""WITH {ANSWERS},
 labs AS (SELECT dataset_id, phase, sensitive AS label FROM auxs WHERE record_id = 5)
 SELECT dataset_id, phase, string_agg(cnt::VARCHAR, ',' ORDER BY pos) AS features, any_value(label) AS label
 FROM cnts JOIN labs USING (dataset_id) GROUP BY dataset_id, phase"""
+# A search of 8 solutions and 4 generations, cut after the second, goes on as if it had not been cut.
+ORACLE["search_restart"] = """SELECT range AS generation, 8::BIGINT AS n_solutions, 8::BIGINT AS n_same, 0::BIGINT AS n_repeated
+FROM range(4)"""

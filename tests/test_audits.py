@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from tablerisk.operators import features as X
 from tablerisk.operators import metrics as M
 from tablerisk.operators import models as L
+from tablerisk.operators import small_models as S
 from tablerisk.operators import synthesis as Y
 from tablerisk.operators.shadow import auxiliary_shadow
+from tablerisk.plans import answer_store as A
 from tablerisk.plans import query_search as Q
+from tablerisk.plans import attribute as T
 from tablerisk.plans.attribute import attribute_audit
 from tablerisk.plans.membership import membership_audit
 from tablerisk.spec import Mechanism, TableSpec
@@ -112,17 +115,17 @@ def test_small_logistic_fit_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
     y = (x[:, 0] - x[:, 1] > 0).astype(float)
-    w = L.logistic_weights(x, y)
+    w = S.logistic_weights(x, y)
     assert (((x @ w[:-1] + w[-1]) > 0) == (y == 1)).mean() > 0.95
 
 
 def test_solution_formats():
     a, b = (1, 0), (0, 1)
-    assert Q.formatted([a, b, a], Mechanism("simple", scale=1.0)) == [(a, 0), (b, 0), (a, 1)]
-    assert Q.formatted([a, b, a], Mechanism("table-builder")) == [(a, 0), (b, 0), (a, 0)]
-    shares = dict(Q.formatted([a, b, a, a], Mechanism("dp-laplace")))
+    assert A.formatted([a, b, a], Mechanism("simple", scale=1.0)) == [(a, 0), (b, 0), (a, 1)]
+    assert A.formatted([a, b, a], Mechanism("table-builder")) == [(a, 0), (b, 0), (a, 0)]
+    shares = dict(A.formatted([a, b, a, a], Mechanism("dp-laplace")))
     assert shares == {a: 750000, b: 250000}
-    assert Q.query_number((-1, -1)) == 0 and Q.query_number((1, 1)) == 8
+    assert A.query_number((-1, -1)) == 0 and A.query_number((1, 1)) == 8
 
 
 @pytest.mark.parametrize("mode", ["evolutionary", "random"])
@@ -147,23 +150,111 @@ def test_answers_are_cached(spark):
     df = people(spark).withColumn("x", F.floor(F.col("x") / 10))
     target = df.filter("record_id = 7")
     tables = auxiliary_shadow(df, target, ["a", "b", "x"], 20, 4, 1)
-    cache = Q.AnswerCache(tables, ["a", "b", "x", "sensitive"], target, Mechanism("table-builder", 4), 1)
+    cache = A.AnswerStore(tables, ["a", "b", "x", "sensitive"], target, Mechanism("table-builder", 4), 1)
     first = {((1, 0, 0, 1), 0), ((0, 0, 0, -1), 0)}
     assert cache.update(first) == 2 and cache.update(first) == 0
     assert cache.update({((0, 0, 0, 0), 0)} | first) == 1
-    assert cache.answers.count() == 4 * 3
+    assert cache.answers().count() == 4 * 3 and cache.asked == 3
 
 
-def test_attribute_audit_finds_an_open_secret(spark):
+def small_search(spark, tmp_path, name, generations, seed=2, scale=0.5):
+    df = people(spark).withColumn("x", F.floor(F.col("x") / 10))
+    target = df.filter("record_id = 7")
+    tables = auxiliary_shadow(df, target, ["a", "b", "x"], 20, 12, 1)
+    config = Q.SearchConfig(5, 4, generations, p_copy=0.2, p_modify=0.4, p_switch=0.3, p_swap=0.3, seed=seed)
+    mechanism = Mechanism("simple", scale=scale)
+    return Q.query_search(tables, ["a", "b", "x", "sensitive"], target, 7, mechanism, config, str(tmp_path / name))
+
+
+def test_search_goes_on_after_its_driver_is_lost(spark, tmp_path, monkeypatch):
+    whole = small_search(spark, tmp_path, "whole", 4)
+    asked, answered = [], A.AnswerStore.update
+
+    def counting(self, wanted):
+        count = answered(self, wanted)
+        asked.append(count)
+        if len(asked) == 3:  # the third generation's answers are stored, its scores are not
+            raise RuntimeError("driver lost")
+        return count
+
+    monkeypatch.setattr(A.AnswerStore, "update", counting)
+    with pytest.raises(RuntimeError):
+        small_search(spark, tmp_path, "cut", 4)
+    resumed = small_search(spark, tmp_path, "cut", 4)
+    order = ["generation", "rank"]
+    logs = [f.fitness_table().orderBy(*order).collect() for f in (whole, resumed)]
+    assert logs[0] == logs[1] and len(logs[0]) == 25
+    assert whole.population == resumed.population
+    assert resumed.store.asked == whole.store.asked == sum(asked) and asked[3] == 0
+    again = small_search(spark, tmp_path, "cut", 4)
+    assert "states" not in again.store.__dict__ and again.population == whole.population  # nothing was computed
+
+
+def test_rows_without_a_marker_are_not_read(spark, tmp_path):
+    from tablerisk.sources.batches import BatchTable
+
+    table = BatchTable(spark, str(tmp_path / "t"), "a int")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "a int")
+    assert table.read().count() == 0
+    table.append(rows(1, 2), {"n": 2})
+    rows(9).write.parquet(str(tmp_path / "t/rows/batch=1"))  # a job that was killed before its marker
+    again = BatchTable(spark, str(tmp_path / "t"), "a int")
+    assert again.notes == {0: {"n": 2}} and [r.a for r in again.read().orderBy("a").collect()] == [1, 2]
+    again.append(rows(3))
+    assert sorted(r.a for r in again.read().collect()) == [1, 2, 3]
+    assert [r.a for r in again.read([1]).collect()] == [3] and again.read([]).count() == 0
+
+
+def test_readers_open_the_batches_of_their_queries(spark, tmp_path):
+    df = people(spark).withColumn("x", F.floor(F.col("x") / 10))
+    target = df.filter("record_id = 7")
+    tables = auxiliary_shadow(df, target, ["a", "b", "x"], 20, 4, 1)
+    store = A.AnswerStore(tables, ["a", "b", "x", "sensitive"], target, Mechanism("simple"), 1, str(tmp_path))
+    queries = [((1, 0, 0, 1), 0), ((0, 0, 0, -1), 0), ((0, 1, 0, 0), 0)]
+    for query in queries:
+        store.update([query])
+    rows = store.rows(A.members_table(spark, [queries[1:2]]))
+    assert rows.count() == 1 and all("batch=1/" in f for f in rows.inputFiles())
+
+
+def test_perceptron_learns_what_no_line_separates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    fit = S.perceptron(x[:500], y[:500], seed=3, rate=1e-2)
+    assert ((fit(x[500:]) > 0.5) == (y[500:] == 1)).mean() > 0.9
+    strong = S.perceptron(x[:500], y[:500], seed=3, rate=1e-2, alpha=1e4)
+    assert np.ptp(strong(x)) < 0.2  # a strong penalty leaves nothing to tell rows apart
+
+
+def test_population_is_scored_by_either_model(spark):
+    labels = spark.createDataFrame([(d, "train" if d < 900 else "eval", d % 2) for d in range(1200)], "dataset_id long, phase string, label int")
+    told = [[d % 2 * 5 for d in range(1200)], [d * 7 % 11 for d in range(1200)]]
+    answers = spark.createDataFrame([(q, 0, told[q]) for q in (0, 1)], "query_id long, variant long, answers array<long>")
+    members = spark.createDataFrame([(0, 0, 1, 0), (0, 1, 0, 0), (1, 0, 1, 0)], "solution_id long, pos long, query_id long, variant long")
+    for model in ("logreg", "mlp"):
+        got = {r.solution_id: r for r in L.population_fitness(members, answers, labels, model).collect()}
+        assert got[0].fitness_min > 0.95 > 0.8 > got[1].fitness_min
+
+
+def test_attribute_audit_finds_an_open_secret(spark, tmp_path, monkeypatch):
     df = people(spark, 300).withColumn("x", F.floor(F.col("x") / 10))
     split = df.withColumn("split", F.when(F.col("record_id") % 2 == 0, "aux").otherwise("test"))
     # exact counts and a fixed dataset: the sensitive count itself gives the bit away
     got = attribute_audit(
         split, ["a", "b", "x"], [7], Mechanism("simple"), "exact",
-        Q.SearchConfig(6, 6, 1), n_rows=40, n_datasets=30, n_tests=10,
+        Q.SearchConfig(6, 6, 1), n_rows=40, n_datasets=30, n_tests=10, folder=str(tmp_path),
     ).toPandas()
     assert set(got["model"]) == {"logreg", "mlp"}
     assert got["acc_test"].between(0, 1).all() and got["auc_test"].max() > 0.9
+    assert (got["asked"] > 6).all()
+    # predictions are stored: the rerun audits nobody
+    monkeypatch.setattr(T, "audit_one_target", None)
+    again = attribute_audit(
+        split, ["a", "b", "x"], [7], Mechanism("simple"), "exact",
+        Q.SearchConfig(6, 6, 1), n_rows=40, n_datasets=30, n_tests=10, folder=str(tmp_path),
+    ).toPandas()
+    assert again.sort_values("model").reset_index(drop=True).equals(got.sort_values("model").reset_index(drop=True))
 
 
 def test_membership_audit_identity_is_detected(spark):
