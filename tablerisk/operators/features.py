@@ -379,11 +379,18 @@ def extract_features(
     return out.select(*keys, "extractor", "feature_pos", "feature", "value")
 
 
+def _feature_key(df: DataFrame, groups: Sequence[str]) -> list[str]:
+    """What tells features apart: the extractor's number and the position where they are known, else the name."""
+    if {"extractor", "feature_pos"} <= set(df.columns):
+        return [*groups, "extractor", "feature_pos"]
+    return [*groups, "feature"]
+
+
 def drop_zero_features(
     train: DataFrame, test: DataFrame, groups: Sequence[str] = ("target_id",)
 ) -> tuple[DataFrame, DataFrame]:
     """Drop features whose sum over the train datasets is 0 (cancelling signs included)."""
-    features = [*groups, "feature"]
+    features = _feature_key(train, groups)
     kept = train.groupBy(*features).agg(F.sum("value").alias("s")).filter("s <> 0").select(*features)
     return train.join(kept, features, "left_semi"), test.join(kept, features, "left_semi")
 
@@ -392,7 +399,7 @@ def standardize_features(
     train: DataFrame, test: DataFrame, groups: Sequence[str] = ("target_id",)
 ) -> tuple[DataFrame, DataFrame]:
     """Centre and scale by the train mean and population deviation (0 -> 1)."""
-    features = [*groups, "feature"]
+    features = _feature_key(train, groups)
     sd = F.stddev_pop("value")
     fitted = train.groupBy(*features).agg(
         F.avg("value").alias("__mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("__sd")

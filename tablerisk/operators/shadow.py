@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablerisk.functions.durable import durable
+from tablerisk.functions.keyed import STREAM_RANK, keyed_hash
 from tablerisk.functions.ranks import bucketed_rank
 from tablerisk.operators.prep import exclude_identical, halve_pool, single_record
 from tablerisk.operators.sampling import (
     dataset_ids,
-    dataset_numbers,
     sample_per_dataset,
     sensitive_bit,
 )
@@ -30,16 +30,17 @@ def shadow_tables(
     """Training tables of size ``n`` for every target -> target_id, dataset_id, in_dataset, columns.
 
     Even datasets hold the target and n-1 pool records, odd ones n pool records. ``dataset_id`` is
-    unique over targets: it is the dataset's number plus n_datasets times the target's position.
+    unique over targets: it is the dataset's number plus n_datasets times the target's position,
+    or times its ``number`` where the targets carry one.
     """
     targets = durable(targets)
-    numbered = _numbered_targets(targets)
+    numbered = target_numbers(targets)
     frames = numbered.select(
         F.col(ID).alias("target_id"),
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(n_datasets - 1)),
-                lambda i: F.col("__number") * n_datasets + i,
+                lambda i: F.col("number") * n_datasets + i,
             )
         ).alias("dataset_id"),
     )
@@ -52,10 +53,11 @@ def shadow_tables(
     return drawn.unionByName(members)
 
 
-def _numbered_targets(targets: DataFrame) -> DataFrame:
-    """Targets with a position by id."""
-    bucket = F.shiftright(ID, 16)
-    return bucketed_rank(targets.select(ID), [], bucket, [F.col(ID)], "__number")
+def target_numbers(targets: DataFrame) -> DataFrame:
+    """record_id and number: the given one, or the target's position by id."""
+    if "number" in targets.columns:
+        return targets.select(ID, "number")
+    return bucketed_rank(targets.select(ID), [], F.shiftright(ID, 16), [F.col(ID)], "number")
 
 
 def _with_record(frames: DataFrame, record: DataFrame) -> DataFrame:
@@ -65,29 +67,47 @@ def _with_record(frames: DataFrame, record: DataFrame) -> DataFrame:
 
 def shadow_tables_specific(
     target_table: DataFrame,
-    target: DataFrame,
+    targets: DataFrame,
     eval_pool: DataFrame,
     n_datasets: int,
     seed: int,
 ) -> DataFrame:
-    """Evaluation tables: the fixed target table with the target (even) or a random other record.
+    """Evaluation tables of every target: the fixed target table with the target (even) or a random other record.
 
-    The target is taken out of the table and of the reference pool first.
+    -> target_id, dataset_id, in_dataset, columns. The target is taken out of the table and of the reference pool
+    first. ``targets`` are the few that are audited together (their ids become literals); dataset_ids are numbered as
+    in ``shadow_tables``. Two references are drawn and the one that is not the target is taken, so one pool and one draw serve
+    all targets.
     """
-    target_id = target.select(F.col(ID).alias("__target"))
-    rest = target_table.join(F.broadcast(target_id), F.col(ID) == F.col("__target"), "left_anti")
-    others = eval_pool.join(F.broadcast(target_id), F.col(ID) == F.col("__target"), "left_anti")
-    frames = dataset_ids(rest.sparkSession, n_datasets).withColumn(
-        "in_dataset", F.col("dataset_id") % 2 == 0
+    columns = target_table.columns
+    targets = durable(targets)
+    known = target_numbers(targets).collect()  # the targets of one round
+    both = F.array(
+        *[F.struct(F.lit(r[ID]).cast("bigint").alias("target_id"), F.lit(r["number"]).cast("bigint").alias("number")) for r in known]
     )
-    base = rest.withColumn("dataset_id", dataset_numbers(n_datasets)).withColumn("in_dataset", F.col("dataset_id") % 2 == 0)
-    references = sample_per_dataset(others, frames.filter("not in_dataset"), 1, seed)
-    members = _with_record(frames.filter("in_dataset"), target.select(*rest.columns))
-    return (
-        base.unionByName(references.select(*base.columns))
-        .unionByName(members.select(*base.columns))
-        .select("dataset_id", "in_dataset", *target_table.columns)
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(n_datasets - 1)), lambda i: i.cast("bigint"))
+
+    def frames(rows: DataFrame, *kept: str) -> DataFrame:
+        beside = rows.withColumn("__t", F.explode(both)).withColumn("__i", F.explode(numbers))
+        return beside.select(
+            F.col("__t.target_id").alias("target_id"),
+            (F.col("__t.number") * n_datasets + F.col("__i")).alias("dataset_id"),
+            (F.col("__i") % 2 == 0).alias("in_dataset"),
+            *kept,
+        )
+
+    wanted = frames(target_table.sparkSession.range(1))
+    base = frames(target_table, *columns).filter(F.col(ID) != F.col("target_id"))
+    pool_size = eval_pool.count()
+    drawn = sample_per_dataset(eval_pool, wanted.filter("not in_dataset"), min(2, pool_size), seed, pool_size=pool_size)
+    drawn = drawn.filter(F.col(ID) != F.col("target_id")).withColumn("__h", keyed_hash(seed, ID, STREAM_RANK))
+    place = F.row_number().over(Window.partitionBy("target_id", "dataset_id").orderBy("__h", ID))
+    references = drawn.withColumn("__k", place).filter("__k = 1")
+    members = wanted.filter("in_dataset").join(
+        targets.select(*columns).withColumn("target_id", F.col(ID)), "target_id"
     )
+    order = ["target_id", "dataset_id", "in_dataset", *columns]
+    return base.select(*order).unionByName(references.select(*order)).unionByName(members.select(*order))
 
 
 def shadow_tables_average(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import durable
+from tablerisk.functions.durable import checkpoint_folder, durable
 from tablerisk.operators.features import (
     drop_zero_features,
     extract_features,
@@ -21,15 +22,20 @@ from tablerisk.operators.shadow import (
     shadow_tables,
     shadow_tables_average,
     shadow_tables_specific,
+    target_numbers,
 )
 from tablerisk.operators.synthesis import synthesize
+from tablerisk.sources.results import resume_targets, run_key, write_results
 from tablerisk.spec import ID, TableSpec
 
 PARALLEL_TARGETS = 4
+TARGETS_AT_ONCE = 20
+PHASES = ("train", "average", "specific")
 PHASE_KEYS = ("target_id", "phase", "dataset_id")
+PREDICTIONS = (*PHASE_KEYS, "label", "model", "probability")
 
 
-def membership_predictions(
+def attack_vectors(
     split: DataFrame,
     spec: TableSpec,
     targets: DataFrame,
@@ -39,107 +45,102 @@ def membership_predictions(
     n_datasets: int = 1000,
     n_eval: int | None = None,
     epsilon: float | None = None,
-    models: Sequence[str] = ("random_forest",),
     evaluations: Sequence[str] = ("specific",),
     extractors: Sequence | None = None,
     seed: int = 0,
+) -> DataFrame:
+    """Features of the synthesised tables of all these targets -> target_id, phase, dataset_id, label, features.
+
+    ``targets`` carry their number among all targets. The shadow tables of every target and phase are built, synthesised
+    and turned into features together, as one long table in a fixed number of jobs.
+    """
+    n_eval = n_datasets if n_eval is None else n_eval
+    columns = [ID, *spec.columns]
+    aux, pool, base = (split.filter(F.col("split") == name).select(*columns) for name in ("aux", "eval", "target"))
+    parts = {"train": shadow_tables(aux, targets, n_original, n_datasets, seed)}
+    if "average" in evaluations:
+        parts["average"] = shadow_tables_average(pool, targets, n_original, n_eval, seed + 1)
+    if "specific" in evaluations:
+        parts["specific"] = shadow_tables_specific(base, targets, pool, n_eval, seed + 2)
+    # one running number per (target, phase, dataset) keys the synthesizer: the phases' numbers take turns
+    tables = None
+    for place, (phase, part) in enumerate(parts.items()):
+        number = (F.col("dataset_id") * len(PHASES) + PHASES.index(phase)).cast("bigint")
+        part = part.select("target_id", F.lit(phase).alias("phase"), number.alias("dataset_id"), "in_dataset", *columns)
+        tables = part if place == 0 else tables.unionByName(part)
+    tables = durable(tables)
+    labels = durable(tables.select(*PHASE_KEYS, F.col("in_dataset").cast("int").alias("label")).distinct())
+    made = synthesize(tables.drop("target_id", "phase", "in_dataset"), spec, synthesizer, n_synth, seed, epsilon)
+    made = durable(made.join(labels.drop("label"), "dataset_id").withColumnRenamed("row_no", ID))
+    if extractors is None:
+        orders = tuple(range(1, len(spec.columns) + 1))
+        extractors = [("query", orders, None, (1,), (3,))]
+    features = durable(extract_features(made, spec, targets.select(*columns), extractors, PHASE_KEYS))
+    train, rest = features.filter("phase = 'train'"), features.filter("phase <> 'train'")
+    train, rest = drop_zero_features(train, rest)
+    train, rest = standardize_features(train, rest)
+    return feature_vectors(train.unionByName(rest), PHASE_KEYS).join(labels, list(PHASE_KEYS))
+
+
+def membership_predictions(
+    split: DataFrame,
+    spec: TableSpec,
+    targets: DataFrame,
+    models: Sequence[str] = ("random_forest",),
     cv: bool = False,
     params: dict | None = None,
+    seed: int = 0,
+    folder: str | None = None,
+    **tables,
 ) -> DataFrame:
     """Attack predictions -> target_id, phase, dataset_id, label, model, probability.
 
-    ``split`` is the prepared table with its ``split`` column (aux / target / eval); ``targets``
-    are chosen records of it outside aux. All shadow tables of all targets and phases are built,
-    synthesised and turned into features together as one long table; only the model fits go
-    target by target.
+    ``split`` is the prepared table with its ``split`` column (aux / target / eval); ``targets`` are chosen records of it
+    outside aux, any number of them. Rounds of at most TARGETS_AT_ONCE targets share all jobs but the model fits, and store
+    their predictions (of the train tables, too) under ``folder``, in a directory named after the parameters. Targets with stored predictions are not
+    audited again, so a job that was cut off goes on with the first round it lacks. ``tables`` are the options of ``attack_vectors``.
     """
-    n_eval = n_datasets if n_eval is None else n_eval
+    spark = split.sparkSession
     columns = [ID, *spec.columns]
     split = split.select(*columns, "split")
-    aux = split.filter("split = 'aux'").select(*columns)
-    pool = split.filter("split = 'eval'").select(*columns)
-    base = split.filter("split = 'target'").select(*columns)
     chosen = durable(targets.select(*columns))
     if chosen.isEmpty():
         raise ValueError("no targets")
+    aux = split.filter("split = 'aux'")
     if aux.join(chosen.select(ID), ID, "left_semi").limit(1).count():
         raise ValueError("targets must not be auxiliary records")
-    ids = [r[0] for r in chosen.select(ID).orderBy(ID).collect()]
-    parts = [
-        shadow_tables(aux, chosen, n_original, n_datasets, seed).withColumn(
-            "phase", F.lit("train")
-        )
-    ]
-    if "average" in evaluations:
-        parts.append(
-            shadow_tables_average(pool, chosen, n_original, n_eval, seed + 1).withColumn(
-                "phase", F.lit("average")
-            )
-        )
-    if "specific" in evaluations:
-        for place, target in enumerate(ids):
-            one = chosen.filter(F.col(ID) == target)
-            tables = shadow_tables_specific(base, one, pool, n_eval, seed + 2 + place)
-            parts.append(
-                tables.withColumn("target_id", F.lit(target).cast("bigint"))
-                .withColumn("dataset_id", F.col("dataset_id") + n_eval * place)
-                .withColumn("phase", F.lit("specific"))
-            )
-    order = ["target_id", "phase", "dataset_id", "in_dataset", *columns]
-    tables = parts[0].select(*order)
-    for part in parts[1:]:
-        tables = tables.unionByName(part.select(*order))
-    # one running number per (phase, dataset) keys the synthesizer
-    offsets = F.create_map(
-        *[
-            x
-            for i, phase in enumerate(("train", "average", "specific"))
-            for x in (F.lit(phase), F.lit(i * max(n_datasets, n_eval) * max(len(ids), 1)))
-        ]
-    )
-    number = (F.col("dataset_id") + offsets[F.col("phase")]).cast("bigint")
-    tables = durable(tables.withColumn("dataset_id", number))
-    labels = durable(
-        tables.select(*PHASE_KEYS, F.col("in_dataset").cast("int").alias("label")).distinct()
-    )
-    made = synthesize(
-        tables.drop("target_id", "phase", "in_dataset"), spec, synthesizer, n_synth, seed, epsilon
-    )
-    made = made.join(labels.drop("label"), "dataset_id").withColumnRenamed("row_no", ID)
-    made = durable(made)
-    if extractors is None:
-        orders = tuple(range(1, len(spec.columns) + 1))
-        extractors = [("query", orders, None, (1,), (3,))]
-    features = durable(extract_features(made, spec, chosen, extractors, PHASE_KEYS))
-    train = features.filter("phase = 'train'")
-    rest = features.filter("phase <> 'train'")
-    train, rest = drop_zero_features(train, rest)
-    train, rest = standardize_features(train, rest)
-    both = feature_vectors(train.unionByName(rest), PHASE_KEYS).join(labels, list(PHASE_KEYS))
-    both = durable(both)
-
-    def fit(target: int) -> DataFrame:
-        mine = both.filter(F.col("target_id") == target)
-        return fit_models(
-            mine.filter("phase = 'train'"),
-            mine.filter("phase <> 'train'"),
-            models,
-            cv_key="dataset_id" if cv else None,
-            seed=seed,
-            params=params,
-        )
-
-    # the fits of different targets are independent Spark jobs
-    with ThreadPool(min(PARALLEL_TARGETS, len(ids))) as threads:
-        scored = threads.map(fit, ids)
-    out = scored[0]
-    for part in scored[1:]:
-        out = out.unionByName(part)
-    return out.select(*PHASE_KEYS, "label", "model", "probability")
+    chosen = durable(chosen.join(target_numbers(chosen), ID))
+    parameters = {"columns": columns, "models": list(models), "cv": cv, "params": params, "seed": seed, **tables}
+    folder = folder or f"{checkpoint_folder(spark).rstrip('/')}/membership-{uuid.uuid4()}"
+    path = f"{folder.rstrip('/')}/{run_key(parameters)}"
+    while True:
+        left = resume_targets(chosen.withColumn("target_id", F.col(ID)), path, "target_id")
+        ids = [r[0] for r in left.select(ID).orderBy(ID).limit(TARGETS_AT_ONCE).collect()]  # one round
+        if not ids:
+            break
+        audited = chosen.filter(F.col(ID).isin(ids))
+        vectors = durable(attack_vectors(split, spec, audited, seed=seed, **tables))
+
+        def fit(target: int) -> None:
+            mine = vectors.filter(F.col("target_id") == target)
+            train = mine.filter("phase = 'train'")
+            key = "dataset_id" if cv else None
+            scored = fit_models(train, mine, models, cv_key=key, seed=seed, params=params)
+            write_results(scored.select(*PREDICTIONS), path, ["target_id"])
+
+        # the fits of different targets are independent Spark jobs
+        with ThreadPool(min(PARALLEL_TARGETS, len(ids))) as threads:
+            threads.map(fit, ids)
+    stored = spark.read.parquet(path).withColumn("target_id", F.col("target_id").cast("bigint"))
+    return stored.join(chosen.select(F.col(ID).alias("target_id")), "target_id", "left_semi").select(*PREDICTIONS)
 
 
 def membership_audit(split: DataFrame, spec: TableSpec, targets: DataFrame, **options) -> DataFrame:
-    """Quality of the membership attack -> record_id, evaluation, model, auc, accuracy."""
+    """Quality of the membership attack -> record_id, evaluation, model, auc, accuracy.
+
+    The evaluation "train" is the attack's quality on the tables it was fitted on. Takes the options of
+    ``membership_predictions``.
+    """
     predictions = membership_predictions(split, spec, targets, **options)
     metrics = binary_metrics(predictions, ["target_id", "phase", "model"])
     return metrics.select(

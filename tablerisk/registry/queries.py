@@ -196,10 +196,9 @@ def q_shadow_tables(spark, folder):
 
 @register("shadow_tables_specific")
 def q_shadow_tables_specific(spark, folder):
-    df, _, pool, n = _halves(spark, folder)
+    _, _, pool, _ = _halves(spark, folder)
     base = I.half(pool, 18, 1)
-    target = P.target_record(df, 8)
-    return H.shadow_tables_specific(base, target, pool, 6, 13)
+    return H.shadow_tables_specific(base, I.one_of_each(base, "c_mktsegment"), pool, 6, 13)
 
 
 @register("shadow_tables_average")
@@ -711,7 +710,7 @@ def q_membership_audit(spark, folder):
     turn = keyed_hash(61, ID, 3) % 4
     ids = df.select(ID, F.when(turn < 2, "aux").when(turn == 2, "target").alias("split"))
     split = durable(P.split_table(df, ids.filter("split is not null")))
-    targets = split.filter("split = 'target'").orderBy(ID).limit(2)
+    targets = I.one_of_each(split.filter("split = 'target'"), "c_mktsegment")
     return rounded(
         membership_audit(
             split,

@@ -241,14 +241,21 @@ targets AS (SELECT min(record_id) AS record_id FROM aux GROUP BY c_mktsegment),
 others AS (SELECT * FROM pool WHERE record_id NOT IN (SELECT record_id FROM targets)),
 {shadow('others', 'targets', f'{_N} // 20', 4, 14)} {_SHADOW_OUT}"""
 ORACLE["shadow_tables_specific"] = f"""WITH {HALVES},
-base AS (SELECT record_id FROM pool WHERE {half_filter(18, 1)} AND record_id <> 8),
-others AS (SELECT record_id FROM pool WHERE record_id <> 8),
-frames AS (SELECT dataset_id, 1 AS wanted FROM {numbers(6)} WHERE dataset_id % 2 = 1),
-{sampled('drawn', 'others', 'frames', 13)},
-every AS (SELECT dataset_id, record_id FROM base, {numbers(6)}
-  UNION ALL SELECT dataset_id, record_id FROM drawn
-  UNION ALL SELECT dataset_id, 8 FROM {numbers(6)} WHERE dataset_id % 2 = 0)
-SELECT dataset_id, dataset_id % 2 = 0 AS in_dataset, cust.* FROM every JOIN cust USING (record_id)"""
+base AS (SELECT * FROM pool WHERE {half_filter(18, 1)}),
+targets AS (SELECT record_id AS target_id, row_number() OVER (ORDER BY record_id) - 1 AS number
+  FROM (SELECT min(record_id) AS record_id FROM base GROUP BY c_mktsegment)),
+frames AS (SELECT target_id, number * 6 + i.dataset_id AS dataset_id, i.dataset_id % 2 = 0 AS in_dataset, 2 AS wanted
+  FROM targets, {numbers(6)} i),
+odd AS (SELECT dataset_id, wanted FROM frames WHERE NOT in_dataset),
+{sampled('drawn', 'pool', 'odd', 13)},
+refs AS (SELECT f.target_id, f.dataset_id, d.record_id FROM drawn d JOIN frames f USING (dataset_id)
+  WHERE d.record_id <> f.target_id
+  QUALIFY row_number() OVER (PARTITION BY f.target_id, f.dataset_id
+    ORDER BY {hash1(13, 'd.record_id', STREAM_RANK)}, d.record_id) = 1),
+every AS (SELECT f.target_id, f.dataset_id, f.in_dataset, b.record_id FROM base b, frames f WHERE b.record_id <> f.target_id
+  UNION ALL SELECT target_id, dataset_id, false, record_id FROM refs
+  UNION ALL SELECT target_id, dataset_id, true, target_id FROM frames WHERE in_dataset)
+SELECT target_id, dataset_id, in_dataset, cust.* FROM every JOIN cust USING (record_id)"""
 OTHERS = """target AS (SELECT * FROM cust WHERE record_id = 5),
 others AS (SELECT c.record_id FROM cust c, target t WHERE c.c_nationkey <> t.c_nationkey
   OR c.c_mktsegment <> t.c_mktsegment OR c.band <> t.band)"""

@@ -12,6 +12,7 @@ from tablerisk.plans import answer_store as A
 from tablerisk.plans import query_search as Q
 from tablerisk.plans import attribute as T
 from tablerisk.plans.attribute import attribute_audit
+from tablerisk.plans import membership as B
 from tablerisk.plans.membership import membership_audit
 from tablerisk.spec import Mechanism, TableSpec
 
@@ -257,7 +258,7 @@ def test_attribute_audit_finds_an_open_secret(spark, tmp_path, monkeypatch):
     assert again.sort_values("model").reset_index(drop=True).equals(got.sort_values("model").reset_index(drop=True))
 
 
-def test_membership_audit_identity_is_detected(spark):
+def test_membership_audit_identity_is_detected(spark, tmp_path, monkeypatch):
     df = people(spark, 300).withColumn(
         "split",
         F.when(F.col("record_id") < 150, "aux").when(F.col("record_id") % 3 == 0, "target").otherwise("eval"),
@@ -267,10 +268,40 @@ def test_membership_audit_identity_is_detected(spark):
     )
     # an outlying target released as is: its own query count tells membership apart
     odd = both.withColumn("x", F.when(F.col("record_id") == 201, 900.0).otherwise(F.col("x")))
-    got = membership_audit(
-        odd, SPEC, odd.filter("record_id = 201 and split = 'target'"), synthesizer="identity",
-        n_original=30, n_datasets=20, models=("logistic_regression",),
-        evaluations=("specific", "average"),
-    ).toPandas()
-    assert set(got["evaluation"]) == {"specific", "average"}
-    assert (got["auc"] > 0.95).all()
+    chosen = odd.filter("record_id in (201, 204, 207) and split = 'target'")
+    options = dict(
+        synthesizer="identity", n_original=30, n_datasets=20, models=("logistic_regression",),
+        evaluations=("specific", "average"), folder=str(tmp_path),
+    )
+    first = membership_audit(odd, SPEC, chosen.filter("record_id = 201"), **options).toPandas()
+    assert set(first["evaluation"]) == {"train", "specific", "average"}
+    assert (first["auc"] > 0.95).all()
+    # more targets in rounds of one: the stored one is kept, and a complete rerun computes nothing
+    monkeypatch.setattr(B, "TARGETS_AT_ONCE", 1)
+    rounds, vectors = [], B.attack_vectors
+    monkeypatch.setattr(B, "attack_vectors", lambda *a, **k: rounds.append(1) or vectors(*a, **k))
+    for _ in range(2):
+        got = membership_audit(odd, SPEC, chosen, **options).toPandas()
+        assert len(rounds) == 3 - 1 and len(got) == 3 * 3
+    # alone or among others, alike but for the numbers that name its tables
+    assert (got[got["record_id"] == 201]["auc"] > 0.95).all()
+
+
+def test_specific_tables_of_several_targets(spark):
+    from tablerisk.operators.shadow import shadow_tables_specific
+
+    df = people(spark, 60)
+    base, pool = df.filter("record_id < 30"), df.filter("record_id >= 25")
+    targets = df.filter("record_id in (3, 27, 29)")
+    rows = shadow_tables_specific(base, targets, pool, 8, 5).toPandas()
+    for k, target in enumerate((3, 27, 29)):
+        mine = rows[rows["target_id"] == target]
+        assert set(mine["dataset_id"]) == set(range(8 * k, 8 * k + 8))
+        for dataset, own in mine.groupby("dataset_id"):
+            ids = set(own["record_id"])
+            assert (target in ids) == (dataset % 2 == 0) == own["in_dataset"].all()
+            assert len(own) == 30 and set(range(30)) - {target} <= ids
+            extra = list(own["record_id"])
+            for x in set(range(30)) - {target}:
+                extra.remove(x)
+            assert len(extra) == 1 and (extra[0] == target if dataset % 2 == 0 else 25 <= extra[0] != target)
