@@ -25,12 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.llm.pieces import PieceTable, Ragged, cut, grown, kept, row_sums
+from tablerisk.llm.pieces import PieceTable, Ragged, cut, grown, kept, row_sums, spread
 from tablerisk.llm.store import Folder, new_folder, stored
 from tablerisk.llm.text import slices
 from tablerisk.llm.tokens import PieceTokenizer
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 700_000
+#: A text with a longer word is divided whole.
+LONG_WORD = 1000
 SHARDS = 64
 MERGED_PAIRS = 4_000_000
 ROWS_OUT = 200_000
@@ -88,6 +90,42 @@ def spelled(groups: list[tuple[int, int, int, int]], a: list[str], b: list[str])
     return ";".join([f"{','.join(a[a0:a1])}|{','.join(b[b0:b1])}" for a0, a1, b0, b1 in groups])
 
 
+def leaves_of_words(ends_a: np.ndarray, first_a: np.ndarray, ends_b: np.ndarray, first_b: np.ndarray) -> np.ndarray:
+    """Groups (first a, past a, first b, past b), in order, of many words in a row, all divided at the same time.
+
+    As in ``leaf_groups``: each round divides every open interval at the shared end nearest to its middle.
+    """
+    open_ = np.stack((first_a[:-1], first_a[1:], first_b[:-1], first_b[1:]), axis=1)
+    leaves = []
+    while len(open_):
+        a0, a1, b0, b1 = open_.T
+        shared = np.full((len(open_), 2), -1)
+        searched = np.flatnonzero((a1 - a0 > 1) & (b1 - b0 > 1))
+        away = 0
+        while len(searched):
+            middle = (a0[searched] + a1[searched] - 2) // 2
+            inside = np.zeros(len(searched), bool)
+            for i in (middle - away, middle + away + 1):
+                usable = (i >= a0[searched]) & (i < a1[searched] - 1)
+                inside |= usable
+                usable &= shared[searched, 0] < 0
+                own, place = searched[usable], i[usable]
+                j = np.searchsorted(ends_b, ends_a[place])
+                hit = ends_b[j] == ends_a[place]
+                shared[own[hit]] = np.stack((place[hit] + 1, j[hit] + 1), axis=1)
+            searched = searched[inside & (shared[searched, 0] < 0)]
+            away += 1
+        divided = shared[:, 0] >= 0
+        leaves.append(open_[~divided])
+        i, j = shared[divided].T
+        left, right = open_[divided].copy(), open_[divided].copy()
+        left[:, 1], left[:, 3] = i, j
+        right[:, 0], right[:, 2] = i, j
+        open_ = np.concatenate((left, right))
+    found = np.concatenate(leaves) if leaves else np.zeros((0, 4), np.int64)
+    return found[np.argsort(found[:, 0], kind="stable")]
+
+
 class Tokenizers:
     """Ids and byte lengths of both tokenizers' tokens."""
 
@@ -107,30 +145,29 @@ class Tokenizers:
         self.bytes_b = [
             bytes([int(t[3:5], 16)]) if self.pieces.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)
         ]
-        self.starts_word = [t.startswith("▁") for t in names]
+        self.starts_word = np.array([t.startswith("▁") for t in names])
         self.length_a, self.length_b = ([len(x) for x in side] for side in (self.bytes_a, self.bytes_b))
+        self.lengths = np.array(self.length_a), np.array(self.length_b)
         self.name = [str(i) for i in range(max(n_a, n_b))]
+        self.spelling = [mark + i.encode() for mark in (b"", b";", b",", b"|") for i in self.name]
 
-    def words_a(self, words: list[str]) -> tuple[list[str], list[list[int]]]:
-        """Words in another order and their ids with a space in front; the last ones have none and need their whole text."""
-        order, flat, counts, unsafe = self.first.pieces(words)
-        ends = np.cumsum(counts[: len(order) - unsafe]).tolist()
-        ids = flat.tolist()
-        return order, [ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
-
-    def words_b(self, words: list[str]) -> list[list[int]]:
-        """Ids of words with a space in front. They are encoded many at once: each begins with the only space it has."""
-        out: list[list[int]] = []
+    def words_b(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space in front, and their numbers. They are encoded many at once: each begins with its only space."""
+        flat, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 5000):
             own = words[at : at + 5000]
-            ids = self.pieces.encode(" ".join(own), num_threads=1)
-            begins = [k for k, i in enumerate(ids) if self.starts_word[i]]
+            ids = np.array(self.pieces.encode(" ".join(own), num_threads=1), np.int64)
+            begins = np.flatnonzero(self.starts_word[ids])
             if len(begins) != len(own):
-                out += self.pieces.encode(own, num_threads=1)
-                continue
-            out += [ids[s:e] for s, e in zip(begins, [*begins[1:], len(ids)])]
-        # a word that begins with a line feed has no space in front: its lone space is dropped
-        return [x[1:] if w[0] == "\n" else x for w, x in zip(words, out)]
+                each = self.pieces.encode(own, num_threads=1)
+                ids = np.array([i for x in each for i in x], np.int64)
+                begins = np.cumsum([0, *map(len, each[:-1])])
+            size = np.diff(np.append(begins, len(ids)))
+            # a word that begins with a line feed has no space in front: its lone space is dropped
+            line = np.fromiter((w[0] == "\n" for w in own), bool, len(own))
+            counts.append(size - line)
+            flat.append(np.delete(ids, begins[line]))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def whole(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of a whole text by both; empty where either does not spell a space and the text."""
@@ -173,27 +210,61 @@ class WordTable(PieceTable):
         self.valued: tuple = ()
 
     def learn(self, pieces: list[str]) -> list[str]:
-        t, begin = self.tokenizers, len(self.rows)
-        self.numbers = grown(self.numbers, begin + len(pieces))
-        keys, times, sizes = [], [], np.zeros(len(pieces), np.int64)
-        order, a_ids = t.words_a(pieces)
-        for k, (word, a, b) in enumerate(zip(order, a_ids, t.words_b(order[: len(a_ids)]))):
-            expected = (word if word[0] == "\n" else " " + word).encode()
-            if b"".join(map(t.bytes_b.__getitem__, b)) != expected:
-                self.text.append(None)
-                continue
-            groups = t.groups(a, b)
-            pairs = linked_pairs(groups, a, b)
-            self.numbers[begin + k] = len(a), len(b), len(groups), sum(pairs.values())
-            self.text.append(t.spell(groups, a, b))
-            keys.extend(pairs)
-            times.extend(pairs.values())
-            sizes[k] = len(pairs)
-        self.text += [None] * (len(order) - len(a_ids))
-        self.pairs.append(np.array(keys, np.uint32), sizes)
-        self.times.append(np.array(times, np.int32), sizes)
+        t, begin, end = self.tokenizers, len(self.rows), len(self.rows) + len(pieces)
+        self.numbers = grown(self.numbers, end)
+        self.numbers[begin:end] = 0
+        short = [p for p in pieces if len(p) <= LONG_WORD]
+        order, a, count_a, unsafe = t.first.pieces(short)
+        usable = len(order) - unsafe
+        order += [p for p in pieces if len(p) > LONG_WORD]
+        b, count_b = t.words_b(order[:usable])
+        sizes = np.zeros(len(pieces), np.int64)
+        spelled_out: list[bytes | None] = [None] * len(pieces)
+        same = self.same_bytes(order[:usable], b, count_b)
+        a, b = a[np.repeat(same, count_a[:usable])].astype(np.int64), b[np.repeat(same, count_b)]
+        count_a, count_b, word = count_a[:usable][same], count_b[same], np.flatnonzero(same)
+        first_a, first_b = (np.concatenate(([0], np.cumsum(c))) for c in (count_a, count_b))
+        groups = leaves_of_words(np.cumsum(t.lengths[0][a]), first_a, np.cumsum(t.lengths[1][b]), first_b)
+        a0, a1, b0, b1 = groups.T
+        owner = np.searchsorted(first_a, a0, "right") - 1
+        links = (a1 - a0) * (b1 - b0)
+        n_links = np.bincount(owner, links, len(word)).astype(np.int64)
+        self.numbers[begin + word] = np.stack((count_a, count_b, np.bincount(owner, minlength=len(word)), n_links), axis=1)
+        # every pair of a group: its numbers run over the group's b ids first
+        group = np.repeat(np.arange(len(groups)), links)
+        inside = spread(np.zeros(len(groups), np.int64), links)
+        x, y = a[a0[group] + inside // (b1 - b0)[group]], b[b0[group] + inside % (b1 - b0)[group]]
+        key = np.sort(owner[group] << 32 | x << 16 | y)
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        sizes[word] = np.bincount(key[at] >> 32, minlength=len(word))
+        self.pairs.append((key[at] & 0xFFFFFFFF).astype(np.uint32), sizes)
+        self.times.append(np.diff(np.append(at, len(key))).astype(np.int32), sizes)
+        # the groups' text: each a id stands after the b ids of earlier groups, each b id after the a ids of its own
+        step, mark = len(t.name), np.zeros(len(a) + len(b), np.int64)
+        of_a, of_b = np.repeat(np.arange(len(groups)), a1 - a0), np.repeat(np.arange(len(groups)), b1 - b0)
+        mark[np.arange(len(a)) + b0[of_a]] = a + step * np.where(np.arange(len(a)) == a0[of_a], 1, 2)
+        mark[np.arange(len(b)) + a1[of_b]] = b + step * np.where(np.arange(len(b)) == b0[of_b], 3, 2)
+        first = first_a + first_b
+        mark[first[:-1]] -= step
+        parts = list(map(t.spelling.__getitem__, mark.tolist()))
+        for w, s, e in zip(word.tolist(), first[:-1].tolist(), first[1:].tolist()):
+            spelled_out[w] = b"".join(parts[s:e])
+        self.text += spelled_out
         return order
 
+    def same_bytes(self, words: list[str], b: np.ndarray, count_b: np.ndarray) -> np.ndarray:
+        """Which words the b ids spell; all of them are compared at once, and one by one only where that fails."""
+        t = self.tokenizers
+        expected = [(w if w[0] == "\n" else " " + w).encode() for w in words]
+        tokens = list(map(t.bytes_b.__getitem__, b.tolist()))
+        ends = np.cumsum(count_b)
+        length = row_sums(t.lengths[1][b], np.concatenate(([0], ends)))
+        same = length == np.fromiter(map(len, expected), np.int64, len(expected))
+        if not same.all() or b"".join(tokens) != b"".join(expected):
+            bounds = zip((ends - count_b).tolist(), ends.tolist())
+            same = np.array([b"".join(tokens[s:e]) == x for (s, e), x in zip(bounds, expected)], bool)
+        return same
+
     def values(self, index: "PairIndex") -> np.ndarray:
         """Links of the best count and sum of counts, per word, by a table of counts."""
         folder, done, held = self.valued if self.valued and self.valued[0] == index.folder else ("", 0, np.zeros((1 << 10, 2), np.int64))
@@ -216,7 +287,7 @@ class Aligned:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         names, place, self.first = cut(texts, before_lines=True)
         row = table.find(names)
-        whole = np.fromiter((table.text[r] is None for r in row), bool, len(row))
+        whole = table.numbers[row, 2] == 0
         special = np.logical_or.reduceat(whole[place], self.first[:-1])
         self.row = row[place]
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -231,15 +302,21 @@ class Aligned:
     def pair_counts(self, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of the slice and the number of documents that hold each."""
         width = np.int64(table.pairs.rows + 1)
-        own = np.unique(self.doc[self.plain] * width + self.row[self.plain])
+        own = distinct(self.doc[self.plain] * width + self.row[self.plain])
         flat, sizes = table.pairs.gather(own % width)
         keys = [(flat.astype(np.uint64) << np.uint64(32)) | np.repeat(own // width, sizes).astype(np.uint64)]
         keys += [(np.array(list(x[3]), np.uint64) << np.uint64(32)) | np.uint64(k) for k, x in self.whole.items()]
-        pairs = np.unique(np.concatenate(keys)) >> np.uint64(32)
+        pairs = distinct(np.concatenate(keys)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
         return pairs[at], np.diff(np.append(at, len(pairs)))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(1, bool), values[1:] != values[:-1]))[: len(values)]]
+
+
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and summed counts."""
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)

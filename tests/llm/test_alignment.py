@@ -104,3 +104,23 @@ def test_leaves_are_cut_at_every_shared_end(seed):
     groups = alignment.leaf_groups(a, b)
     assert [a[g[1] - 1] for g in groups] == [b[g[3] - 1] for g in groups] == sorted(set(a) & set(b))
     assert [g[0] for g in groups] == [0, *(g[1] for g in groups[:-1])] and [g[2] for g in groups] == [0, *(g[3] for g in groups[:-1])]
+
+
+def test_words_divided_together_are_divided_alike():
+    import numpy as np
+
+    rng = random.Random(9)
+    words = []
+    for _ in range(300):
+        size = rng.randint(1, 40)
+        words.append([sorted({*rng.sample(range(1, size + 1), rng.randint(0, size)), size}) for _ in range(2)])
+    base = np.cumsum([0, *(a[-1] for a, _ in words)])
+    ends = [np.concatenate([np.array(w[k]) + n for w, n in zip(words, base)]) for k in (0, 1)]
+    first = [np.cumsum([0, *(len(w[k]) for w in words)]) for k in (0, 1)]
+    expected = [
+        (x + i, y + i, z + j, t + j)
+        for (a, b), i, j in zip(words, *(f.tolist() for f in first))
+        for x, y, z, t in alignment.leaf_groups(a, b)
+    ]
+    got = alignment.leaves_of_words(ends[0], first[0], ends[1], first[1])
+    assert [tuple(g) for g in got.tolist()] == expected
