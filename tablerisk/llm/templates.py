@@ -3,6 +3,9 @@
 Lines are parsed at fixed depth: by token count, then by their leading tokens, with tokens that
 hold digits taken as variable. In a leaf, lines that agree in enough positions share a template
 whose other positions are variable. Lines whose template occurs in many documents are dropped.
+
+A template cannot recur in many documents unless its leaf does. So leaves are counted first, by hash, and only lines of
+leaves that recur leave the scan that reads them; the hashes of these leaves lie in mapped files.
 """
 
 from __future__ import annotations
@@ -10,50 +13,78 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerisk.llm.hashindex import HashIndex, write_index
 from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import slices
 
 VARIABLE = "<*>"
 DIGITS = set("0123456789")
+SHARD_LEAVES = 2_000_000
 
 
-def masked(line: str, max_tokens: int) -> list[str] | None:
-    """The line's tokens, variable where they hold a digit; None if it is no template line."""
-    tokens = line.split(None, max_tokens)
-    if not tokens or len(tokens) > max_tokens:
-        return None
+def masked(tokens: list[str]) -> list[str]:
+    """Tokens, variable where they hold a digit."""
     return [VARIABLE if not DIGITS.isdisjoint(t) else t for t in tokens]
 
 
 def leaf_of(tokens: list[str], depth: int) -> str:
-    return f"{len(tokens)} {' '.join(tokens[:depth])}"
+    return f"{len(tokens)} {' '.join(masked(tokens[:depth]))}"
+
+
+def lines_of(text: str | None, depth: int) -> list[tuple[str, list[str]]]:
+    """Leaf and tokens of every line that has a token, whatever its length."""
+    split = (line.split() for line in (text or "").split("\n"))
+    return [(leaf_of(tokens, depth), tokens) for tokens in split if tokens]
+
+
+def leaf_hash(leaves: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in leaves], np.uint64)
+
+
+def write_busy_leaves(documents: DataFrame, depth: int, min_docs: int, folder: str) -> int:
+    """Index of the leaves that at least ``min_docs`` rows have; returns the number of its files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                own = [leaf for text in texts for leaf in {leaf for leaf, _ in lines_of(text, depth)}]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf_hash(own).view(np.int64))], ["leaf"])
+
+    def entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.sort(pdf["leaf"].to_numpy().view(np.uint64))
+        return hashes, np.ones(len(hashes), np.uint8)
+
+    counted = documents.select("text").mapInArrow(run, "leaf long").groupBy("leaf").count()
+    busy = stored(counted.where(F.col("count") >= min_docs).select("leaf"), f"{folder}/busy")
+    shards = 1 + busy.count() // SHARD_LEAVES
+    shard = F.shiftright(F.shiftrightunsigned("leaf", 32) * shards, 32).cast("int")
+    write_index(busy.withColumn("shard", shard), entries, shards, f"{folder}/busy-index")
+    return shards
 
 
-def template_lines(documents: DataFrame, depth: int, max_tokens: int) -> DataFrame:
-    """(doc, leaf, line): every distinct masked line of every document."""
+def template_lines(documents: DataFrame, depth: int, folder: str, shards: int) -> DataFrame:
+    """(doc, leaf, line): every distinct masked line of every document in a leaf that recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = HashIndex(f"{folder}/busy-index", shards)
         for batch in batches:
             for part in slices(batch, "text"):
-                docs, leaves, lines = [], [], []
-                for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
-                    seen = set()
-                    for line in (text or "").split("\n"):
-                        tokens = masked(line, max_tokens)
-                        if tokens and (key := " ".join(tokens)) not in seen:
-                            seen.add(key)
-                            docs.append(doc)
-                            leaves.append(leaf_of(tokens, depth))
-                            lines.append(key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(leaves, pa.string()), pa.array(lines, pa.string())],
-                    ["doc", "leaf", "line"],
-                )
+                texts = zip(part.column("doc").to_pylist(), part.column("text").to_pylist())
+                found = [(doc, leaf, tokens) for doc, text in texts for leaf, tokens in lines_of(text, depth)]
+                met = index.numbers(leaf_hash([leaf for _, leaf, _ in found]))
+                rows = {(found[k][0], found[k][1], " ".join(masked(found[k][2]))): None for k in np.flatnonzero(met)}
+                columns = list(zip(*rows)) or [[], [], []]
+                types = (pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "leaf", "line"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(
         run, "doc long, leaf string, line string"
@@ -120,10 +151,11 @@ def parse_leaves(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
 
 
 def recurring_lines(
-    documents: DataFrame, min_docs: int, depth: int, similarity: float, max_tokens: int, folder: str
+    documents: DataFrame, min_docs: int, depth: int, similarity: float, folder: str
 ) -> DataFrame:
     """(doc, line): the masked lines of each document whose template occurs in ``min_docs`` documents."""
-    lines = stored(template_lines(documents, depth, max_tokens), f"{folder}/lines")
+    shards = write_busy_leaves(documents, depth, min_docs, folder)
+    lines = stored(template_lines(documents, depth, folder, shards), f"{folder}/lines")
     distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     # A leaf with less support cannot hold a recurring template.
     busy = distinct.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
@@ -141,12 +173,10 @@ def drop_recurring_lines(
     min_docs: int = 10,
     depth: int = 3,
     similarity: float = 0.7,
-    max_tokens: int = 32,
 ) -> DataFrame:
     """Documents without their recurring template lines; adds n_lines and n_dropped_lines.
 
-    A template line has at most ``max_tokens`` tokens; longer lines are prose and left to the
-    operators on passages. All lines of a recurring template go, from every document, so copies of a
+    Lines of any length are parsed. All lines of a recurring template go, from every document, so copies of a
     document stay copies of each other. A document that consists of recurring lines only is a copy and
     not a frame around content; it keeps its text. Null text stays null with 0 lines; lines without a token stay;
     rows that repeat a doc_id are one document to the count and are cut alike; other columns
@@ -155,7 +185,7 @@ def drop_recurring_lines(
     folder = new_folder(documents.sparkSession, "templates")
     added = ["n_lines", "n_dropped_lines"]
     documents = documents.drop(*added)
-    found = recurring_lines(documents, min_docs, depth, similarity, max_tokens, folder)
+    found = recurring_lines(documents, min_docs, depth, similarity, folder)
     cut = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines"))
     cut = stored(cut, f"{folder}/cut")
     met = documents["doc_id"].cast("long").eqNullSafe(cut["__doc"])
@@ -171,7 +201,7 @@ def drop_recurring_lines(
                 kept = lines
                 if gone:
                     gone = set(gone)
-                    kept = [x for x in lines if not (t := masked(x, max_tokens)) or " ".join(t) not in gone]
+                    kept = [x for x in lines if " ".join(masked(x.split())) not in gone]
                     if not any(x.strip() for x in kept):
                         kept = lines
                 texts.append("\n".join(kept) if text is not None else None)

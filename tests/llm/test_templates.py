@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from corpora import prose
@@ -34,7 +35,7 @@ def test_nulls_ties_and_clashing_names(odd_documents, odd_rows):
     held = defaultdict(set)
     for r in odd_rows:
         for line in (r[1] or "").split("\n"):
-            if t := templates.masked(line, 32):
+            if t := templates.masked(line.split()):
                 held[" ".join(t)].add(r[0])
     rows = got.collect()
     assert len(rows) == len(odd_rows)
@@ -57,3 +58,54 @@ def test_leaf_order_does_not_depend_on_partitions(spark):
 
 def test_empty_table(no_documents):
     assert templates.drop_recurring_lines(no_documents).count() == 0
+
+
+def plain(rows, min_docs, depth=3, similarity=0.7):
+    """The method line by line: leaves, templates in order of support, documents per template."""
+    held = defaultdict(lambda: defaultdict(set))
+    for doc, text in rows:
+        for line in text.split("\n"):
+            tokens = ["<*>" if any(c.isdigit() for c in t) else t for t in line.split()]
+            if tokens:
+                held[(len(tokens), *tokens[:depth])][tuple(tokens)].add(doc)
+    gone = set()
+    for lines in held.values():
+        made = []  # (template, lines)
+        for tokens in sorted(lines, key=lambda t: (-len(lines[t]), " ".join(t))):
+            score = lambda own: sum(a == b and a != "<*>" for a, b in zip(own[0], tokens))  # noqa: B023, E731
+            best = max(made, key=score, default=None)
+            if best is None or score(best) < similarity * len(tokens):
+                made.append((list(tokens), [tokens]))
+                continue
+            best[1].append(tokens)
+            best[0][:] = [a if a == b else "<*>" for a, b in zip(best[0], tokens)]
+        for _, own in made:
+            if len(set().union(*(lines[t] for t in own))) >= min_docs:
+                gone.update(own)
+    out = {}
+    for doc, text in rows:
+        lines = text.split("\n")
+        kept = [x for x in lines if tuple("<*>" if any(c.isdigit() for c in t) else t for t in x.split()) not in gone]
+        out[doc] = "\n".join(kept if any(x.strip() for x in kept) else lines)
+    return out
+
+
+def test_equals_plain_version_with_long_lines(spark):
+    rng = random.Random(4)
+    words = "alpha beta gamma delta omega sigma kappa".split()
+    notice = " ".join(rng.choice(words) for _ in range(90))
+    rows = []
+    for k in range(80):
+        lines = [prose(k, 30).replace("\n", " ")]
+        for _ in range(6):
+            lines.append(" ".join(rng.choice(words[:3]) for _ in range(3)) + " " + " ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 9]))))
+        if k % 2:
+            lines.append(notice if k % 4 == 1 else notice.replace("sigma", f"s{k}", 1) + "")
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = result(templates.drop_recurring_lines(frame, min_docs=6))
+    expected = plain(rows, 6)
+    assert {k: v[0] for k, v in got.items()} == expected
+    assert not any(notice in text for text in expected.values())
+    assert sum(v[2] for v in got.values()) > 80
