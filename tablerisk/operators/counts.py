@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablerisk.functions.durable import BROADCAST_ROWS, broadcast_if_small
+from tablerisk.functions.durable import BROADCAST_ROWS, broadcast_if_small, durable
 from tablerisk.functions.keyed import (
     STREAM_LAPLACE,
     STREAM_NORMAL_1,
@@ -125,12 +125,16 @@ def match_queries(
 def _reduced(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str], int_domain: bool
 ) -> DataFrame:
-    """Count rows (and XOR their id hashes) per distinct combination of the queried columns."""
+    """Count rows (and XOR their id hashes) per distinct combination of the queried columns.
+
+    Rows with a ``weight`` count as often; XOR cancels a row that is lost and gained.
+    """
+    weight = F.col("weight").cast("bigint") if "weight" in df.columns else F.lit(1).cast("bigint")
     user = mixed_id(f"({ID} + 1)") if ID in df.columns else F.lit(0).cast("bigint")
     return (
-        df.select(*keys, *[comparable(c, int_domain).alias(c) for c in columns], user.alias("__u"))
+        df.select(*keys, *[comparable(c, int_domain).alias(c) for c in columns], user.alias("__u"), weight.alias("__n"))
         .groupBy(*keys, *columns)
-        .agg(F.count(F.lit(1)).alias("cnt"), F.bit_xor("__u").alias("set_hash"))
+        .agg(F.sum("__n").alias("cnt"), F.bit_xor("__u").alias("set_hash"))
     )
 
 
@@ -226,6 +230,23 @@ def target_counts(
     return match_queries(states, masks, df.select(*keys).distinct(), list(keys))
 
 
+def overlay_counts(base_states: DataFrame, delta_states: DataFrame, masks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Answers on datasets that share a base -> dataset_id, query_id, cnt, set_hash.
+
+    The base is asked once; each dataset adds its own few rows (their counts may be negative).
+    """
+    keys = ["dataset_id"]
+    shared = match_queries(base_states, masks, base_states.sparkSession.range(1).select(), [])
+    shared = shared.select("query_id", F.col("cnt").alias("__cnt"), F.col("set_hash").alias("__hash"))
+    own = match_queries(delta_states, masks, frames, keys)
+    return own.join(broadcast_if_small(durable(shared)), "query_id").select(
+        *keys,
+        "query_id",
+        (F.col("cnt") + F.col("__cnt")).alias("cnt"),
+        F.col("set_hash").bitwiseXOR(F.col("__hash")).alias("set_hash"),
+    )
+
+
 def _finish(answer: Column) -> Column:
     """Round half away from zero and clamp at zero."""
     return F.greatest(F.round(answer), F.lit(0.0)).cast("bigint")

@@ -17,8 +17,10 @@ from tablerisk.operators.counts import (
     column_states,
     comparable,
     match_queries,
+    overlay_counts,
     query_masks,
 )
+from tablerisk.operators.overlay import Overlay
 from tablerisk.operators.prep import single_record
 from tablerisk.sources.batches import BatchTable
 from tablerisk.spec import ID, Mechanism
@@ -66,8 +68,10 @@ def members_table(spark, solutions: Sequence[Sequence[tuple[tuple, int]]]) -> Da
     return spark.createDataFrame(rows, "solution_id bigint, pos bigint, query_id bigint, variant bigint")
 
 
-def dataset_labels(tables: DataFrame, target_id: int) -> DataFrame:
+def dataset_labels(tables: DataFrame | Overlay, target_id: int) -> DataFrame:
     """phase, dataset_id and the target's sensitive value."""
+    if isinstance(tables, Overlay):
+        tables = tables.deltas.filter("weight = 1")
     return tables.filter(F.col(ID) == F.lit(target_id)).select(
         "dataset_id", "phase", F.col("sensitive").cast("int").alias("label")
     )
@@ -78,13 +82,13 @@ class AnswerStore:
 
     A row holds one query's answers on all datasets, in the order of their ids. Rows lie in the batch in which they were
     asked; what is new is found by an anti join with the stored (query, variant) columns, and a reader opens the batches
-    that hold its queries only. The datasets are reduced to counted states against the target's own values (1 for the sensitive
+    that hold its queries only. Datasets that differ from one table in a few rows are given as an overlay. The datasets are reduced to counted states against the target's own values (1 for the sensitive
     column) when the first new query comes: a store that knows all answers computes nothing.
     """
 
     def __init__(
         self,
-        tables: DataFrame,
+        tables: DataFrame | Overlay,
         columns: Sequence[str],
         target: DataFrame,
         mechanism: Mechanism,
@@ -93,7 +97,7 @@ class AnswerStore:
     ):
         self.tables, self.columns, self.target = tables, list(columns), target
         self.mechanism, self.seed = mechanism, seed
-        self.spark = tables.sparkSession
+        self.spark = (tables.base if isinstance(tables, Overlay) else tables).sparkSession
         folder = folder or f"{checkpoint_folder(self.spark).rstrip('/')}/answers-{uuid.uuid4()}"
         self.table = BatchTable(
             self.spark, folder, "query_id bigint, variant bigint, datasets array<bigint>, answers array<bigint>"
@@ -101,13 +105,27 @@ class AnswerStore:
 
     @cached_property
     def states(self) -> DataFrame:
+        """Counted states of every dataset, or of what it adds to the base."""
+        overlay = isinstance(self.tables, Overlay)
+        return durable(self._states(self.tables.deltas if overlay else self.tables, ["dataset_id"]))
+
+    @cached_property
+    def base_states(self) -> DataFrame:
+        return durable(self._states(self.tables.base, []))
+
+    def _states(self, df: DataFrame, keys: list[str]) -> DataFrame:
         columns = self.columns
-        reduced = _reduced(self.tables, columns, ["dataset_id"], True)
+        reduced = _reduced(df, columns, keys, True)
         literals = [comparable(c, True).alias(f"__t{i}") for i, c in enumerate(columns[:-1])]
         one = single_record(self.target.select(*literals, F.lit(1).cast("bigint").alias(f"__t{len(columns) - 1}")))
         beside = reduced.join(F.broadcast(one), F.lit(True))  # exactly one row
-        at = [f"__t{i}" for i in range(len(columns))]
-        return durable(column_states(beside, columns, at, ["dataset_id"]))
+        return column_states(beside, columns, [f"__t{i}" for i in range(len(columns))], keys)
+
+    def _counts(self, masks: DataFrame) -> DataFrame:
+        frames = self.states.select("dataset_id").distinct()
+        if isinstance(self.tables, Overlay):
+            return overlay_counts(self.base_states, self.states, masks, frames)
+        return match_queries(self.states, masks, frames, ["dataset_id"])
 
     @property
     def asked(self) -> int:
@@ -124,8 +142,7 @@ class AnswerStore:
         if not count:
             return 0
         masks = query_masks(new.dropDuplicates(["query_id"]), len(self.columns))
-        frames = self.states.select("dataset_id").distinct()
-        exact = match_queries(self.states, masks, frames, ["dataset_id"])
+        exact = self._counts(masks)
         variants = broadcast_if_small(new.select(*keys))
         exact = exact.join(variants, "query_id").withColumn("budget", F.col("variant") / F.lit(float(BUDGET_UNITS)))
         fresh = apply_mechanism(exact, self.mechanism, self.seed, ["dataset_id", *keys])

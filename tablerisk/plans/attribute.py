@@ -14,8 +14,9 @@ from tablerisk.functions.durable import checkpoint_folder, durable
 from tablerisk.functions.keyed import mix_int
 from tablerisk.operators.metrics import binary_metrics
 from tablerisk.operators.models import grouped_fits
+from tablerisk.operators.overlay import Overlay, exact_overlay
 from tablerisk.operators.prep import unique_records
-from tablerisk.operators.sampling import dataset_ids, exact_shadow
+from tablerisk.operators.sampling import dataset_ids
 from tablerisk.operators.shadow import auxiliary_shadow, target_dataset
 from tablerisk.plans.answer_store import AnswerStore, answer_matrix, dataset_labels, formatted, members_table
 from tablerisk.plans.query_search import SearchConfig, query_search
@@ -64,25 +65,23 @@ def audit_one_target(
     asked = [*columns, "sensitive"]
     if scenario == "auxiliary":
         aux = rows.filter("split = 'aux'").drop("split")
-        shadows = auxiliary_shadow(aux, target, columns, n_rows, n_datasets, seed)
+        shadows = durable(auxiliary_shadow(aux, target, columns, n_rows, n_datasets, seed))
         tests = target_dataset(test, target, columns, n_rows, dataset_ids(spark, n_tests), seed + 1)
+        tests = durable(tests.withColumn("phase", F.lit("test")))
     elif scenario == "exact":
         fixed = target_dataset(test, target, columns, n_rows, dataset_ids(spark, 1), seed + 1)
         fixed = durable(fixed.drop("dataset_id"))
-        n_train = n_datasets // 2
-        shadows = exact_shadow(fixed, n_datasets, seed + 2, target_id).withColumn(
-            "phase", F.when(F.col("dataset_id") < n_train, "train").otherwise("eval")
-        )
+        # one table and a bit a dataset: the target's value is all that differs
+        phase = F.when(F.col("dataset_id") < n_datasets // 2, "train").otherwise("eval")
+        shadows = exact_overlay(fixed, n_datasets, seed + 2, target_id)
+        shadows = Overlay(fixed, durable(shadows.deltas.withColumn("phase", phase)))
+        tests = exact_overlay(fixed, n_tests, seed + 3, target_id)
         # half of the test datasets carry each value of the sensitive bit
-        tests = exact_shadow(fixed, n_tests, seed + 3, target_id).withColumn(
-            "sensitive",
-            F.when(F.col(ID) == F.lit(target_id), (F.col("dataset_id") % 2).cast("int")).otherwise(
-                F.col("sensitive")
-            ),
-        )
+        balanced = F.when(F.col("weight") == 1, (F.col("dataset_id") % 2).cast("int")).otherwise(F.col("sensitive"))
+        deltas = tests.deltas.withColumn("sensitive", balanced).withColumn("phase", F.lit("test"))
+        tests = Overlay(fixed, durable(deltas))
     else:
         raise ValueError(f"unknown scenario {scenario!r}")
-    shadows, tests = durable(shadows), durable(tests.withColumn("phase", F.lit("test")))
     found = query_search(shadows, asked, target, target_id, mechanism, config, folder and f"{folder}/search")
     best = formatted(found.population[0], mechanism)
     members = members_table(spark, [best])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tablerisk.functions.durable import checkpoint_folder, durable
 from tablerisk.operators.metrics import generation_log
 from tablerisk.operators.models import population_fitness
+from tablerisk.operators.overlay import Overlay
 from tablerisk.plans.answer_store import AnswerStore, dataset_labels, formatted, members_table
 from tablerisk.sources.batches import BatchTable
 from tablerisk.spec import Mechanism
@@ -193,7 +194,7 @@ class QuerySearch:
 
 
 def query_search(
-    tables: DataFrame,
+    tables: DataFrame | Overlay,
     columns: Sequence[str],
     target: DataFrame,
     target_id: int,

@@ -21,6 +21,7 @@ from tablerisk.operators import sampling as R
 from tablerisk.operators import shadow as H
 from tablerisk.operators import synthesis as Y
 from tablerisk.operators.models import fit_models, population_fitness
+from tablerisk.operators.overlay import exact_overlay
 from tablerisk.plans.answer_store import AnswerStore, answer_matrix, dataset_labels, members_table
 from tablerisk.plans.attribute import attribute_audit, choose_targets
 from tablerisk.plans.membership import membership_audit
@@ -614,6 +615,19 @@ def q_answer_cache(spark, folder):
     return cache.answers()
 
 
+@register("overlay_answers")
+def q_overlay_answers(spark, folder):
+    """All probes on 64 versions of the whole table that differ in the target's sensitive bit, kept as one table and 128 rows."""
+    df = I.customers(spark, folder)
+    fixed = durable(R.randomize_sensitive(df, 1, 8).drop("dataset_id"))
+    store = AnswerStore(
+        exact_overlay(fixed, 64, 6, 5), [*I.CUSTOMER_COLUMNS, "sensitive"], I.one_record(df),
+        Mechanism("table-builder", threshold=4, c=2), 41,
+    )
+    store.update({(q, 0) for q in PROBES})
+    return store.answers()
+
+
 @register("answer_matrix")
 def q_answer_matrix(spark, folder):
     tables, cache = _cache(spark, folder, Mechanism("simple"))

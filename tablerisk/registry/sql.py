@@ -654,6 +654,14 @@ ORACLE["answer_matrix"] = f"""WITH {ANSWERS},
 labs AS (SELECT dataset_id, phase, sensitive AS label FROM auxs WHERE record_id = 5)
 SELECT dataset_id, phase, string_agg(cnt::VARCHAR, ',' ORDER BY pos) AS features, any_value(label) AS label
 FROM cnts JOIN labs USING (dataset_id) GROUP BY dataset_id, phase"""
+_COPIES = f"""(SELECT * EXCLUDE (h) REPLACE (CASE WHEN record_id = 5 THEN h & 1 ELSE sensitive END AS sensitive),
+  {mix('record_id + 1')} AS user_hash FROM {bits(f'(SELECT * FROM fixed, {numbers(64)})', 6)})"""
+ORACLE["overlay_answers"] = f"""WITH {CUSTOMERS}, {FIXED}, {probes()},
+vals AS (SELECT *, 1 AS sensitive FROM cust WHERE record_id = 5),
+cnts AS (SELECT dataset_id, query_id, count(*) FILTER ({_ANSWER_MATCH}) AS cnt,
+  coalesce(bit_xor(user_hash) FILTER ({_ANSWER_MATCH}), 0) AS set_hash
+  FROM {_COPIES} a, vals, pro GROUP BY dataset_id, query_id)
+{sticky('cnts', 41, 'dataset_id, query_id, 0::BIGINT AS variant')}"""
 # A search of 8 solutions and 4 generations, cut after the second, goes on as if it had not been cut.
 ORACLE["search_restart"] = """SELECT range AS generation, 8::BIGINT AS n_solutions, 8::BIGINT AS n_same, 0::BIGINT AS n_repeated
 FROM range(4)"""

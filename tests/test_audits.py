@@ -305,3 +305,21 @@ def test_specific_tables_of_several_targets(spark):
             for x in set(range(30)) - {target}:
                 extra.remove(x)
             assert len(extra) == 1 and (extra[0] == target if dataset % 2 == 0 else 25 <= extra[0] != target)
+
+
+def test_overlay_is_the_copies(spark):
+    from tablerisk.operators.overlay import exact_overlay
+    from tablerisk.operators.sampling import exact_shadow
+
+    df = people(spark, 90).withColumn("x", F.floor(F.col("x") / 10)).withColumn("sensitive", (F.col("record_id") % 5 > 2).cast("int"))
+    overlay, copies = exact_overlay(df, 12, 4, 7), exact_shadow(df, 12, 4, 7)
+    order = ["dataset_id", *df.columns]
+    assert sorted(overlay.tables().select(*order).collect()) == sorted(copies.select(*order).collect())
+    target, columns = df.filter("record_id = 7"), ["a", "b", "x", "sensitive"]
+    queries = [((x, y, z, s), 0) for x in (0, 1) for y in (0, -1) for z in (0, 1) for s in (0, 1, -1)]
+    answers = []
+    for tables in (overlay, copies):
+        store = A.AnswerStore(tables, columns, target, Mechanism("table-builder", 1), 1)
+        store.update(queries)
+        answers.append(sorted(map(tuple, store.answers().collect())))
+    assert answers[0] == answers[1] and len(answers[0]) == 12 * len(queries)
