@@ -7,7 +7,9 @@ with keyed hashes, and bins turn back into values uniformly inside the bin.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ from tablerisk.functions.keyed import (
     uniform,
     with_hashes,
 )
+from tablerisk.functions.privacy import PrivacyLedger, information_sensitivity
+from tablerisk.functions.ranks import bucketed_rank
 from tablerisk.spec import ID, TableSpec
 
 BINS = 20
@@ -206,9 +210,10 @@ def network(
 ) -> DataFrame:
     """Greedy structure per dataset -> dataset_id, step, child, parents.
 
-    Columns join one by one, the one with the largest information with a placed column first; its
-    parents are the ``max_parents`` best placed columns. With ``epsilon`` the scores get Gumbel
-    noise scaled for the exponential mechanism. A group holds one row per column pair.
+    The first column is drawn; then columns join one by one. Without ``epsilon`` the one with the largest information with
+    a placed column comes first, and its parents are the ``max_parents`` best placed columns. Otherwise each step is one
+    choice by the exponential mechanism among all pairs of an open column and a set of placed ones, by their mean information, and
+    spends ``epsilon``; every candidate of every step has noise of its own. A group holds one row per column pair.
     """
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -216,18 +221,20 @@ def network(
         score = np.full((n_columns, n_columns), -np.inf)
         a, b = group["a"].to_numpy(), group["b"].to_numpy()
         score[a, b] = score[b, a] = group["mi"].to_numpy()
-        if epsilon is not None:
-            n = max(float(group["t"].max()), 2.0)
-            change = 2 / n * np.log((n + 1) / 2) + (n - 1) / n * np.log((n + 1) / (n - 1))
-            rng = np.random.default_rng([seed, dataset])
-            noise = rng.gumbel(size=score.shape) * 2 * max(n_columns - 1, 1) * change / epsilon
-            score = score + noise
-        placed, steps = [mix_int(mix_int(seed + 1) + dataset + 1) % n_columns], []
-        steps.append((0, placed[0], []))
+        rng = np.random.default_rng([seed, dataset])
+        placed = [mix_int(mix_int(seed + 1) + dataset + 1) % n_columns]
+        steps = [(0, placed[0], [])]
         while len(placed) < n_columns:
             open_ = [c for c in range(n_columns) if c not in placed]
-            child = max(open_, key=lambda c: (score[c, placed].max(), -c))
-            parents = sorted(placed, key=lambda p: (-score[child, p], p))[:max_parents]
+            if epsilon is None:
+                child = max(open_, key=lambda c: (score[c, placed].max(), -c))
+                parents = sorted(placed, key=lambda p: (-score[child, p], p))[:max_parents]
+            else:
+                sets = list(combinations(sorted(placed), min(max_parents, len(placed))))
+                utility = np.stack([score[open_][:, s].mean(axis=1) for s in sets], axis=1)
+                scale = 2 * information_sensitivity(float(group["t"].max())) / epsilon
+                best = int(np.argmax(utility + scale * rng.gumbel(size=utility.shape)))
+                child, parents = open_[best // len(sets)], list(sets[best % len(sets)])
             steps.append((len(placed), child, sorted(parents)))
             placed.append(child)
         return pd.DataFrame(
@@ -243,6 +250,17 @@ def network(
     return information.groupBy("dataset_id").applyInPandas(grow, schema)
 
 
+def private_network_budget(epsilon: float, n_columns: int) -> tuple[PrivacyLedger, float, float]:
+    """The ledger of a private network, and what one structure choice and one table of counts may spend.
+
+    Half goes to the choices of all columns but the first, half to the tables of all columns; a single column
+    leaves everything to its table.
+    """
+    ledger, choices = PrivacyLedger(epsilon), n_columns - 1
+    choice = ledger.spend("structure choice", epsilon / 2, choices) if choices else math.inf
+    return ledger, choice, ledger.spend("table of counts", epsilon - ledger.spent, n_columns)
+
+
 def synth_bayesnet(
     tables: DataFrame,
     spec: TableSpec,
@@ -260,6 +278,8 @@ def synth_bayesnet(
     width = len(spec.columns)
     cells, edges = to_cells(tables, spec, bins, missing_cell=epsilon is None)
     cells = durable(cells)
+    if epsilon is not None:
+        _, choice, table = private_network_budget(epsilon, width)
     if width == 1:
         datasets = cells.select("dataset_id").distinct()
         nets = datasets.select(
@@ -269,8 +289,7 @@ def synth_bayesnet(
             F.array().cast("array<int>").alias("parents"),
         )
     else:
-        half = None if epsilon is None else epsilon / 2
-        nets = network(pair_information(cells), width, max_parents, seed, half)
+        nets = network(pair_information(cells), width, max_parents, seed, None if epsilon is None else choice)
     nets = durable(nets)
     key = F.array_join(F.transform("parents", lambda p: F.get("cells", p).cast("string")), ",")
     links = cells.join(broadcast_if_small(nets), "dataset_id").select(
@@ -279,7 +298,7 @@ def synth_bayesnet(
     counts = links.groupBy("dataset_id", "child", "key", "cell").agg(F.count(F.lit(1)).alias("n"))
     marginal = column_counts(cells).withColumnRenamed("column", "child")
     if epsilon is not None:
-        counts = _noisy_counts(counts, nets, spec, bins, seed, epsilon / 2)
+        counts = _noisy_counts(counts, nets, spec, bins, seed, table)
         marginal = counts.groupBy("dataset_id", "child", "cell").agg(F.sum("n").alias("n"))
     tables_given = durable(_distribution(counts, ["dataset_id", "child", "key"]))
     alone = _distribution(marginal, ["dataset_id", "child"]).withColumnsRenamed(
@@ -317,7 +336,10 @@ def _domain_sizes(spec: TableSpec, bins: int) -> Column:
 def _noisy_counts(
     counts: DataFrame, nets: DataFrame, spec: TableSpec, bins: int, seed: int, epsilon: float
 ) -> DataFrame:
-    """Laplace noise on every cell of every joint domain, empty cells included; negatives -> 0."""
+    """Laplace noise on every cell of every joint domain, empty cells included; negatives -> 0.
+
+    Each column's table spends ``epsilon``; a replaced record moves two of its cells by one.
+    """
     sizes = _domain_sizes(spec, bins)
 
     def every(column: Column) -> Column:
@@ -344,7 +366,7 @@ def _noisy_counts(
     joint = grid.join(counts, ["dataset_id", "child", "key", "cell"], "left")
     place = "xxhash64(child, key, cell)"
     hashed = with_hashes(joint, seed, ["dataset_id", place], {"__h": STREAM_NET})
-    scale = F.lit(2.0 * len(spec.columns) / epsilon)
+    scale = F.lit(2.0 / epsilon)
     noisy = F.coalesce(F.col("n"), F.lit(0)) + laplace(F.col("__h")) * scale
     return hashed.select(
         "dataset_id", "child", "key", "cell", F.greatest(noisy, F.lit(0.0)).alias("n")
@@ -360,9 +382,9 @@ def synth_privbayes(
     max_parents: int = 2,
     bins: int = BINS,
 ) -> DataFrame:
-    """Differentially private Bayesian network: half of epsilon for structure, half for counts.
+    """Differentially private Bayesian network; ``private_network_budget`` says what spends epsilon.
 
-    The bin edges of continuous columns are the data's own extremes and not covered by epsilon.
+    Tables that differ in one replaced record are neighbours, so their size is public. The bin edges of continuous columns are the data's own extremes and not covered by epsilon.
     """
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
@@ -383,15 +405,19 @@ def synth_sequential_tree(
     The trees of all datasets grow together, one level per pass: records report (dataset, node,
     feature, cell, child cell) counts with map-side combining, the best Gini split of every node is
     found on those counts, and records move down by a join on the node. Drawn rows walk the same
-    splits and take a cell from their leaf's counts.
+    splits and take the value of a record of their leaf, so only values that occur are drawn: the leaf's records
+    are ranked by id, and a row's hash picks a rank, which an equi-join turns into the donor.
     """
-    cells, edges = to_cells(tables, spec, bins)
+    cells, _ = to_cells(tables, spec, bins, [ID, *spec.columns])
     cells = durable(cells)
     datasets = cells.select("dataset_id").distinct()
     drawn = row_frames(datasets, size).withColumn("cells", F.array().cast("array<int>"))
-    for child in range(len(spec.columns)):
+    leaf = ["dataset_id", "node"]
+    for child, column in enumerate(spec.columns):
         records = cells.select(
             "dataset_id",
+            ID,
+            F.col(f"`{column}`").alias("value"),
             F.slice("cells", 1, child).alias("cells") if child else F.array().cast("array<int>").alias("cells"),
             F.get("cells", F.lit(child)).alias("y"),
             F.lit(1).cast("bigint").alias("node"),
@@ -403,17 +429,17 @@ def synth_sequential_tree(
                 break
             records = _descend(records, splits)
             drawn = _descend(drawn, splits)
-        counts = records.groupBy("dataset_id", "node", F.col("y").alias("cell")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        leaves = stored_side(_distribution(counts, ["dataset_id", "node"]))
-        at = drawn.join(leaves, ["dataset_id", "node"])
+        sizes = stored_side(records.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")))
+        donors = bucketed_rank(records.select(*leaf, ID, "value", "y"), leaf, F.shiftright(ID, 16), [F.col(ID)], "rank")
+        at = drawn.join(sizes, leaf)
         at = with_hashes(at, seed, ["dataset_id", "row_no"], {"__h": STREAM_SYNTH + 200 + child})
-        pick = _pick("values", "upto", uniform(F.col("__h")))
-        drawn = durable(
-            at.select("dataset_id", "row_no", F.concat("cells", F.array(pick)).alias("cells"))
-        )
-    return from_cells(drawn, edges, spec, bins, seed)
+        rank = F.least(F.floor(uniform(F.col("__h")) * F.col("n")), F.col("n") - 1)
+        at = at.withColumn("rank", rank.cast("bigint")).join(donors.drop(ID), [*leaf, "rank"])
+        kept = [c for c in drawn.columns if c not in ("node", "cells")]
+        longer = F.concat("cells", F.array("y")).alias("cells")
+        drawn = durable(at.select(*kept, longer, F.col("value").alias(f"__v{child}")))
+    values = [F.col(f"__v{i}").alias(c) for i, c in enumerate(spec.columns)]
+    return drawn.select("dataset_id", "row_no", *values)
 
 
 def _best_splits(records: DataFrame, min_leaf: int) -> DataFrame:

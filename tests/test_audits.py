@@ -323,3 +323,51 @@ def test_overlay_is_the_copies(spark):
         store.update(queries)
         answers.append(sorted(map(tuple, store.answers().collect())))
     assert answers[0] == answers[1] and len(answers[0]) == 12 * len(queries)
+
+
+def test_trees_draw_values_of_leaf_records(spark):
+    rows = [(d, i, i % 3, i % 4, None if i % 50 == 7 else float(i % 3 * 1000 + i * i % 97)) for d in (0, 1) for i in range(200)]
+    tables = spark.createDataFrame(rows, "dataset_id long, record_id long, a long, b long, x double")
+    got = Y.synth_sequential_tree(tables, SPEC, 500, 3).toPandas()
+    for d in (0, 1):
+        seen = {(r[2], r[4]) for r in rows if r[0] == d}
+        mine = got[got["dataset_id"] == d]
+        drawn = {(r.a, None if np.isnan(r.x) else r.x) for r in mine.itertuples()}
+        assert len(mine) == 500 and {x for _, x in drawn} <= {x for _, x in seen}
+        # x depends on a: the tree splits on it, so nearly every drawn pair occurs
+        share = np.mean([(r.a, None if np.isnan(r.x) else r.x) in seen for r in mine.itertuples()])
+        assert share > 0.9
+        assert abs(mine["a"].value_counts(normalize=True)[0] - 67 / 200) < 0.08
+
+
+def test_private_network_spends_its_budget():
+    from tablerisk.functions.privacy import PrivacyLedger
+
+    for epsilon in (0.5, 3.0):
+        for width in (1, 2, 7):
+            ledger, choice, table = Y.private_network_budget(epsilon, width)
+            assert ledger.spent == pytest.approx(epsilon)
+            assert [n for _, n, _ in ledger.entries] == ([width - 1, width] if width > 1 else [1])
+            assert table == ledger.entries[-1][2] and (width == 1 or choice == ledger.entries[0][2])
+    ledger = PrivacyLedger(1.0)
+    ledger.spend("all", 1.0, 3)
+    with pytest.raises(ValueError):
+        ledger.spend("more", 0.1, 1)
+    with pytest.raises(ValueError):
+        PrivacyLedger(0.0)
+
+
+def test_private_choices_follow_the_budget(spark):
+    pairs = [(0, 1, 0.9), (0, 2, 0.05), (0, 3, 0.01), (1, 2, 0.02), (1, 3, 0.6), (2, 3, 0.3)]
+    rows = [(d, a, b, mi, 5000) for d in range(200) for a, b, mi in pairs]
+    information = spark.createDataFrame(rows, "dataset_id long, a int, b int, mi double, t long")
+
+    def nets(epsilon):
+        found = Y.network(information, 4, 1, 1, epsilon).toPandas()
+        for _, net in found.groupby("dataset_id"):
+            assert sorted(net["child"]) == [0, 1, 2, 3] and all(len(p) == (s > 0) for p, s in zip(net["parents"], net["step"]))
+        return {d: tuple(zip(net["child"], map(tuple, net["parents"]))) for d, net in found.groupby("dataset_id")}
+
+    best, rich, poor = nets(None), nets(1e6), nets(1e-6)
+    assert rich == best  # without noise each step takes the best pair
+    assert sum(poor[d] == best[d] for d in best) < 60 and len(set(poor.values())) > 20
