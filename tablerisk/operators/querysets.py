@@ -48,7 +48,8 @@ def query_lattice(
     """All condition vectors of the given orders -> query_id, conditions, name.
 
     ``query_id`` is the mixed-radix number of the vector: digit i is 0 for no condition on column
-    i, else the option's position + 1. If ``limit`` is given and exceeded, ``limit`` vectors are sampled.
+    i, else the option's position + 1. Vectors are built column by column, so no more of them arise on the way
+    than there are with at most the highest order's conditions. If ``limit`` is given and exceeded, ``limit`` vectors are sampled.
     """
     columns = spec.columns
     options = [cat_options if c in spec.categorical else cont_options for c in columns]
@@ -56,26 +57,23 @@ def query_lattice(
     for choice in options:
         weights.append(total)
         total *= len(choice) + 1
+    if total > 1 << 63:
+        raise ValueError("query_id has 64 bits: fewer columns or options")
     n_cat, n_cont = len(cat_options), len(cont_options)
-    if max(n_cat, n_cont) == 1:
-        lattice = spark.range(2 ** len(columns)).withColumnRenamed("id", "query_id")
-        lattice = lattice.filter(F.bit_count("query_id").isin(*orders))
-        digits = [F.shiftright("query_id", i).bitwiseAND(F.lit(1)) for i in range(len(columns))]
-    else:
-        masks = spark.range(2 ** len(columns)).filter(F.bit_count("id").isin(*orders))
-        lattice = masks.withColumn("query_id", F.lit(0).cast("bigint"))
-        for i, choice in enumerate(options):
-            chosen = F.sequence(F.lit(1), F.lit(len(choice)))
-            bit = F.shiftright("id", i).bitwiseAND(F.lit(1)) == 1
-            lattice = lattice.withColumn(
-                "__d", F.explode(F.when(bit, chosen).otherwise(F.array(F.lit(0))))
-            )
-            lattice = lattice.withColumn("query_id", F.col("query_id") + F.col("__d") * weights[i])
-        lattice = lattice.select("query_id")
-        digits = [
-            (F.floor(F.col("query_id") / weights[i]) % (len(choice) + 1)).cast("int")
-            for i, choice in enumerate(options)
-        ]
+    lowest, highest = min(orders, default=0), max(orders, default=-1)
+    lattice = spark.range(1).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).alias("n"))
+    for i, choice in enumerate(options):
+        # no more conditions than the highest order, and enough columns left for the lowest
+        more = F.sequence(F.lit(0), F.lit(len(choice)))
+        lattice = lattice.withColumn("__d", F.explode(F.when(F.col("n") < highest, more).otherwise(F.array(F.lit(0)))))
+        lattice = lattice.select(
+            (F.col("query_id") + F.col("__d") * F.lit(weights[i]).cast("bigint")).alias("query_id"),
+            (F.col("n") + (F.col("__d") > 0).cast("int")).alias("n"),
+        ).filter(F.col("n") + (len(columns) - 1 - i) >= lowest)
+        if i == len(columns) // 2:
+            lattice = lattice.repartition(spark.sparkContext.defaultParallelism)
+    lattice = lattice.filter(F.col("n").isin(*orders)).select("query_id")
+    digits = [F.expr(f"query_id div {weights[i]}L % {len(choice) + 1}") for i, choice in enumerate(options)]
     codes = [
         F.element_at(F.array(*[F.lit(v) for v in (0, *choice)]), digits[i].cast("int") + 1)
         for i, choice in enumerate(options)

@@ -155,6 +155,20 @@ def test_lattice_sizes_and_limit(spark):
     assert few.count() == 9 and few.join(both, "query_id", "left_anti").count() == 0
 
 
+def test_wide_lattices_of_low_order(spark):
+    columns = tuple(f"c{i}" for i in range(60))
+    wide = S.query_lattice(spark, TableSpec(columns, ()), [2])
+    rows = wide.select("query_id", "conditions").collect()
+    assert len(rows) == 60 * 59 // 2
+    for r in rows:
+        held = [i for i, c in enumerate(r.conditions) if c]
+        assert r.query_id == sum(1 << i for i in held) and len(held) == 2
+    mixed = S.query_lattice(spark, TableSpec(columns[:20], columns[20:35]), [1, 3], (1, -1), (2,))
+    assert mixed.count() == S.lattice_size(TableSpec(columns[:20], columns[20:35]), [1, 3], 2, 1)
+    with pytest.raises(ValueError):
+        S.query_lattice(spark, TableSpec(columns, ()), [2], (1, -1))
+
+
 def drawn_queries(seed, n=70, width=4):
     """Random condition vectors over {-1, 0, 1} with repeats."""
     rng = np.random.default_rng(seed)
