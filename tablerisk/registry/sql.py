@@ -191,7 +191,7 @@ lin AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, fla.code AS l_r
   lst.code AS l_linestatus, l_quantity, l_discount
   FROM lineitem JOIN fla ON l_returnflag = fla.v JOIN lst ON l_linestatus = lst.v)"""
 ORACLE["exclude_identical"] = f"""WITH {LINES},
-t AS (SELECT * FROM lin WHERE l_orderkey IN (SELECT DISTINCT l_orderkey FROM lin ORDER BY 1 LIMIT 2))
+t AS (SELECT * FROM lin WHERE l_linenumber = 7)
 SELECT lin.* REPLACE (round(lin.l_quantity, 6) AS l_quantity, round(lin.l_discount, 6) AS l_discount)
 FROM lin WHERE NOT EXISTS (SELECT 1 FROM t WHERE lin.l_returnflag IS NOT DISTINCT FROM t.l_returnflag
   AND lin.l_linestatus IS NOT DISTINCT FROM t.l_linestatus AND lin.l_quantity IS NOT DISTINCT FROM t.l_quantity
