@@ -63,6 +63,7 @@ def value_rank(
 
 
 SORTED_AT_ONCE = 100_000
+ZONE_BANDS = 1024
 
 
 def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
@@ -117,7 +118,8 @@ def grouped_quantile(
 
     An approximate bracket around the wanted rank splits each group into below / inside / above.
     Only the zones that really hold the two neighbouring ranks are looked at, as distinct values
-    with counts; if the bracket misses, the zone beside it is used, so the answer is always exact.
+    with counts; if the bracket misses, the zone beside it is used, so the answer is always exact. No task holds a whole
+    zone: its values are ranked in bands.
     """
     rows = df.select(*groups, F.col(value).cast("double").alias("__v")).filter("__v is not null")
     bracket = rows.groupBy(*groups).agg(
@@ -137,6 +139,8 @@ def grouped_quantile(
         F.count(F.lit(1)).alias("__n"),
         F.count(F.when(F.col("__zone") == 0, 1)).alias("__n0"),
         F.count(F.when(F.col("__zone") <= 1, 1)).alias("__n1"),
+        F.array(*[F.min(F.when(F.col("__zone") == z, F.col("__v"))) for z in range(3)]).alias("__mins"),
+        F.array(*[F.max(F.when(F.col("__zone") == z, F.col("__v"))) for z in range(3)]).alias("__maxs"),
     )
     exact_rank = F.lit(q) * (F.col("__n") - 1)
     low, high = F.floor(exact_rank), F.ceil(exact_rank)
@@ -152,6 +156,8 @@ def grouped_quantile(
         zone_of(low).alias("__zlow"),
         zone_of(high).alias("__zhigh"),
         F.array(F.lit(0).cast("bigint"), F.col("__n0"), F.col("__n1")).alias("__starts"),
+        "__mins",
+        "__maxs",
     )
     counted = zoned.groupBy(*groups, "__zone", "__v").agg(F.count(F.lit(1)).alias("__c"))
     if groups:
@@ -161,11 +167,20 @@ def grouped_quantile(
     picked = joined.filter(F.col("__zone").isin(0, 1, 2)).filter(
         (F.col("__zone") == F.col("__zlow")) | (F.col("__zone") == F.col("__zhigh"))
     )
-    running = Window.partitionBy(*groups, "__zone").orderBy("__v").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = picked.withColumn(
-        "__end", F.element_at("__starts", F.col("__zone") + 1) + F.sum("__c").over(running)
+    # a zone's values are numbered in bands of its range, with the counts of lower bands as offsets
+    least, most = (F.element_at(c, F.col("__zone") + 1) for c in ("__mins", "__maxs"))
+    share = F.try_divide(F.col("__v") - least, most - least)
+    band = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * ZONE_BANDS)
+    picked = picked.withColumn("__band", band)
+    zones = [*groups, "__zone"]
+    lower = Window.partitionBy(*zones).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = picked.groupBy(*zones, "__band").agg(F.sum("__c").alias("__m"))
+    bands = bands.withColumn("__before", F.coalesce(F.sum("__m").over(lower), F.lit(0))).drop("__m")
+    running = Window.partitionBy(*zones, "__band").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    counted_in = picked.withColumn("__in", F.sum("__c").over(running))
+    counted_in = null_safe_join(counted_in, bands, [*zones, "__band"], "inner")
+    ranked = counted_in.withColumn(
+        "__end", F.element_at("__starts", F.col("__zone") + 1) + F.col("__before") + F.col("__in")
     ).withColumn("__start", F.col("__end") - F.col("__c"))
 
     def at(rank: str) -> Column:

@@ -68,17 +68,18 @@ def achilles_scores(
 
 
 def _weighted_points(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """One row per distinct record: multiplicity, an id, cats (text), unit (continuous direction)."""
+    """One row per distinct record: multiplicity, an id, cats (text), unit (continuous direction).
+
+    A missing continuous value, null or NaN, is 0 in the direction; the others keep theirs. A missing category is one more.
+    """
     attributes = [*spec.categorical, *spec.continuous]
     counted = df.groupBy(*attributes).agg(
         F.count(F.lit(1)).alias("weight"), F.min(ID).alias("point")
     )
-    squares = [F.col(f"`{c}`") * F.col(f"`{c}`") for c in spec.continuous]
-    norm = F.sqrt(reduce(lambda a, b: a + b, squares)) if squares else F.lit(0.0)
-    unit = [
-        F.when(norm > 0, F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) / norm).otherwise(0.0)
-        for c in spec.continuous
-    ]
+    zero = F.lit(0.0)
+    values = [F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), zero), zero) for c in spec.continuous]
+    norm = F.sqrt(reduce(lambda a, b: a + b, [v * v for v in values])) if values else zero
+    unit = [F.when(norm > 0, v / norm).otherwise(0.0) for v in values]
     cats = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in spec.categorical]
     return counted.select(
         "*",

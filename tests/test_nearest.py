@@ -52,6 +52,40 @@ def test_scores_equal_brute_force(spark, cats, conts, sizes):
     np.testing.assert_allclose(got, brute(pdf, cats, conts, 5), atol=1e-12)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 40, "block_rows": 50, "max_cells": 12}])
+def test_missing_values_count_as_zero(spark, sizes):
+    pdf = table(200, 3)
+    holes = np.random.default_rng(1).random((200, 3)) < 0.2
+    filled = pdf.copy()
+    filled[["u", "v", "w"]] = np.where(holes, 0.0, pdf[["u", "v", "w"]])
+    kind = np.where(np.arange(200)[:, None] % 2, None, np.nan)
+    rows = [
+        (int(r.record_id), r.a, *(kind[i, 0] if h else float(x) for h, x in zip(holes[i], (r.u, r.v, r.w))))
+        for i, r in enumerate(pdf.itertuples())
+    ]
+    df = spark.createDataFrame(rows, "record_id bigint, a string, u double, v double, w double")
+    got = N.achilles_scores(df, TableSpec(("a",), ("u", "v", "w")), 5, **sizes).toPandas().sort_values("record_id")
+    np.testing.assert_allclose(got["achilles_score"], brute(filled, ["a"], ["u", "v", "w"], 5), atol=1e-12)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_quantiles_of_uneven_groups_are_exact(spark, q):
+    from tablerisk.functions.ranks import grouped_quantile
+
+    rng = np.random.default_rng(2)
+    sets = {
+        "long": rng.lognormal(0, 3, 3000), "ties": rng.integers(0, 3, 3000).astype(float), "one": np.array([4.5]),
+        "ends": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf, np.inf]), None: np.array([1.0, 2.0]),
+    }
+    rows = [(g, float(v)) for g, values in sets.items() for v in values] + [("ties", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r.g: r.q for r in grouped_quantile(df, ["g"], "v", q, "q").collect()}
+    for g, values in sets.items():
+        if g == "ends" and q in (0.99, 0.0, 1.0):
+            continue  # between or at infinities
+        assert got[g] == pytest.approx(np.quantile(values, q), rel=1e-12)
+
+
 def test_twin_records_and_zero_vector(spark):
     rows = [(0, "x", 1.0, 2.0), (1, "x", 1.0, 2.0), (2, "y", -5.0, 1.0), (3, "z", 0.0, 0.0)]
     df = spark.createDataFrame(rows, "record_id bigint, a string, u double, v double")
