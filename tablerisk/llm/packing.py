@@ -25,6 +25,8 @@ from tablerisk.llm.text import slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED_TOGETHER = 200_000
+#: A worker keeps its table of pieces while other stages of a pipeline run, so it is a small one.
+TABLE_PIECES = 500_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, capacity: int) -> DataFrame:
@@ -34,7 +36,8 @@ def pieces(documents: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
         table = None
         for batch in batches:
             for rows in slices(batch, "text", TOKEN_SLICE):
-                table = table or kept(("tokens", tokenizer, keeps_space), lambda: TokenTable(tokenizer, keeps_space))
+                key = ("tokens", tokenizer, keeps_space, TABLE_PIECES)
+                table = table or kept(key, lambda: TokenTable(tokenizer, keeps_space, TABLE_PIECES))
                 flat, sizes = table.encode(rows.column("text"))
                 ends = np.full(len(rows), end_id, np.uint32), np.ones(len(rows), np.int64)
                 flat, sizes = woven((flat, sizes), ends)

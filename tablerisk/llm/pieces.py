@@ -35,6 +35,11 @@ def kept(key: tuple, make: Callable):
     return held[key[0]][1]
 
 
+def release() -> None:
+    """Give up all tables this worker keeps, before work that needs its memory for something else."""
+    getattr(sys.modules.get("tablerisk_kept"), "tables", {}).clear()
+
+
 def cut(texts: pa.Array, before_lines: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pieces, the number of every piece of the texts in a row, and where each text begins.
 

@@ -39,10 +39,11 @@ def leaf_of(tokens: list[str], depth: int) -> str:
     return f"{len(tokens)} {' '.join(masked(tokens[:depth]))}"
 
 
-def lines_of(text: str | None, depth: int) -> list[tuple[str, list[str]]]:
-    """Leaf and tokens of every line that has a token, whatever its length."""
-    split = (line.split() for line in (text or "").split("\n"))
-    return [(leaf_of(tokens, depth), tokens) for tokens in split if tokens]
+def lines_of(text: str | None, depth: int) -> Iterator[tuple[str, str]]:
+    """Leaf and text of every line that has a token, whatever its length."""
+    for line in (text or "").split("\n"):
+        if tokens := line.split():
+            yield leaf_of(tokens, depth), line
 
 
 def leaf_hash(leaves: list[str]) -> np.ndarray:
@@ -79,9 +80,9 @@ def template_lines(documents: DataFrame, depth: int, folder: str, shards: int) -
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = zip(part.column("doc").to_pylist(), part.column("text").to_pylist())
-                found = [(doc, leaf, tokens) for doc, text in texts for leaf, tokens in lines_of(text, depth)]
+                found = [(doc, leaf, line) for doc, text in texts for leaf, line in lines_of(text, depth)]
                 met = index.numbers(leaf_hash([leaf for _, leaf, _ in found]))
-                rows = {(found[k][0], found[k][1], " ".join(masked(found[k][2]))): None for k in np.flatnonzero(met)}
+                rows = {(found[k][0], found[k][1], " ".join(masked(found[k][2].split()))): None for k in np.flatnonzero(met)}
                 columns = list(zip(*rows)) or [[], [], []]
                 types = (pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "leaf", "line"])
