@@ -43,13 +43,16 @@ def unpack(words: np.ndarray, index: np.ndarray, bits: int) -> np.ndarray:
     return (low | high) & np.uint64((1 << bits) - 1)
 
 
+OCTETS, TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def bit_places() -> np.ndarray:
-    """Place of the n-th set bit of every byte."""
-    table = np.zeros((256, 8), np.uint8)
+    """Place of the n-th set bit of every byte, at n * 256 + byte."""
+    table = np.zeros((8, 256), np.uint8)
     for byte in range(256):
-        places = [k for k in range(8) if byte >> k & 1]
-        table[byte, : len(places)] = places
-    return table
+        for n, place in enumerate(k for k in range(8) if byte >> k & 1):
+            table[n, byte] = place
+    return table.ravel()
 
 
 BIT_PLACES = bit_places()
@@ -57,13 +60,15 @@ BIT_PLACES = bit_places()
 
 def nth_one(word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Place of the n-th set bit of each word, from 0."""
-    octets = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-    run = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
-    n = n.astype(np.uint8)
-    octet = (run <= n[:, None]).sum(axis=1)
-    row = np.arange(len(word))
-    before = np.where(octet > 0, run[row, np.maximum(octet - 1, 0)], 0)
-    return octet * 8 + BIT_PLACES[octets[row, octet], n - before]
+    n = n.astype(np.uint64)
+    pairs = word - ((word >> ONE) & np.uint64(0x5555555555555555))
+    fours = (pairs & np.uint64(0x3333333333333333)) + ((pairs >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((fours + (fours >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * OCTETS  # set bits up to each octet
+    octet = np.bitwise_count(((n * OCTETS) | TOPS) - upto & TOPS).astype(np.uint64)
+    shift = octet << np.uint64(3)
+    rest = n - (((upto << np.uint64(8)) >> shift) & np.uint64(255))
+    byte = (word >> shift) & np.uint64(255)
+    return (shift + BIT_PLACES[(rest << np.uint64(8)) | byte]).astype(np.int64)
 
 
 class EliasFano:
@@ -147,34 +152,41 @@ class EliasFano:
 class Level:
     """The children of a range of contexts: pointers, context-relative children, quantised scores.
 
-    A context's children are stored as ascending numbers on top of the context's base, which makes the
-    whole level one monotone sequence; a child is found by a successor search relative to that base.
-    Pointers tell where a context's children begin.
+    Pointers tell where a context's children begin and end. Children ascend within their context and are
+    stored on top of the last child before it, which makes the level one strictly monotone sequence; a
+    child is found by a successor search from that base, between its context's pointers.
     """
 
     def __init__(self, load: Load, name: str):
         self.pointers, self.children = EliasFano(load, f"{name}.ptr"), EliasFano(load, f"{name}.child")
-        self.span = int(load(f"{name}.span", np.int64)[0])
         self.score, self.back = load(f"{name}.score", np.uint16), load(f"{name}.back", np.uint16)
 
     @staticmethod
     def write(context: np.ndarray, child: np.ndarray, contexts: int, store: Store, name: str) -> np.ndarray:
         """Store sorted (context, child) pairs; returns the number of children of each context."""
         degree = np.bincount(context, minlength=contexts)
-        span = int(child.max()) + 1 if len(child) else 1
-        EliasFano.write(np.concatenate(([0], np.cumsum(degree))), store, f"{name}.ptr")
-        EliasFano.write(context.astype(np.uint64) * np.uint64(span) + child.astype(np.uint64), store, f"{name}.child")
-        store(f"{name}.span", np.array([span], np.int64))
+        stop = np.cumsum(degree)
+        span = np.zeros(contexts, np.int64)
+        span[degree > 0] = child[stop[degree > 0] - 1] + 1
+        base = np.cumsum(span) - span
+        EliasFano.write(np.concatenate(([0], stop)), store, f"{name}.ptr")
+        EliasFano.write(base[context] + child, store, f"{name}.child")
         return degree
 
-    def start(self, context: np.ndarray) -> np.ndarray:
-        return self.pointers.access(context).astype(np.int64)
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the children of each context begin and end, and the base they are relative to."""
+        start, stop = self.pointers.access(np.concatenate((context, context + 1))).astype(np.int64).reshape(2, -1)
+        base = np.zeros(len(context), np.int64)
+        after = np.flatnonzero((start > 0) & (start < stop))
+        base[after] = self.children.access(start[after] - 1).astype(np.int64) + 1
+        return start, stop, base
 
     def find(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Index of each (context, child), -1 where the level does not hold it."""
-        at = self.children.find(context.astype(np.uint64) * np.uint64(self.span) + child.astype(np.uint64))
-        return np.where(child < self.span, at, -1)
-
-    def child(self, index: np.ndarray) -> np.ndarray:
-        """The child at each index."""
-        return (self.children.access(index) % np.uint64(self.span)).astype(np.int64)
+        """Index of each (context, child), -1 where the level does not hold it; fastest for ascending contexts."""
+        if not len(context):
+            return np.zeros(0, np.int64)
+        heads = np.concatenate(([True], context[1:] != context[:-1]))
+        run = np.cumsum(heads) - 1
+        start, stop, base = (x[run] for x in self.ranges(context[heads]))
+        at = self.children.find((base + child).astype(np.uint64))
+        return np.where((at >= start) & (at < stop), at, -1)

@@ -4,7 +4,9 @@ Level 1 maps word hashes to ids and keeps counts; level 2 holds the words after
 the words after each pair. Every
 level is counted over all training documents once the level above it is written, because its contexts
 are positions there. Levels lie in shards of contexts in the shared folder; tasks map them into
-memory, so a task's own memory does not grow with the model.
+memory, so a task's own memory does not grow with the model. A task looks up the distinct n-grams of
+a slice in order, and sends a trigram together with the score of its last two words, so that a
+shard is built without further look-ups.
 
 Probabilities are interpolated with absolute discounting; logarithms are stored in steps of 1/4096.
 """
@@ -31,6 +33,8 @@ END = np.uint64(0xE7D0F7E11A5C0DE5)
 STEPS = 4096.0
 FLUSH = 2_000_000
 SLICE = 4 << 20
+CHILD_BITS = np.uint64(40)  # of a word in a key; a shard's contexts have the 24 bits above
+MASK = np.int64(0xFFFFFFFF)
 
 
 def coded(log10: np.ndarray) -> np.ndarray:
@@ -94,29 +98,25 @@ class Trie:
     def by_shard(self, shard: np.ndarray, query: Callable[[int, np.ndarray], np.ndarray], out: np.ndarray) -> np.ndarray:
         """Answer queries shard by shard; ``query`` gets a shard and the places that ask it."""
         order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.sizes.shards + 1))
-        for s in range(self.sizes.shards):
-            places = order[bounds[s] : bounds[s + 1]]
-            if len(places):
-                out[places] = query(s, places)
+        asked, at = np.unique(shard[order], return_index=True)
+        for s, places in zip(asked.tolist(), np.split(order, at[1:])):
+            out[places] = query(s, places)
         return out
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids, -1 for words that training did not meet."""
-        distinct, at = np.unique(hashes, return_inverse=True)
 
         def query(s: int, places: np.ndarray) -> np.ndarray:
-            found = self.shard(1, s).find(distinct[places])
+            found = self.shard(1, s).find(hashes[places])
             return np.where(found >= 0, found + self.first[0][s], -1)
 
-        shard = hash_shard(distinct, self.sizes.shards)
-        return self.by_shard(shard, query, np.full(len(distinct), -1, np.int64))[at]
+        shard = hash_shard(hashes, self.sizes.shards)
+        return self.by_shard(shard, query, np.full(len(hashes), -1, np.int64))
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Training counts of known words."""
-        distinct, at = np.unique(ids, return_inverse=True)
-        query = lambda s, places: self.shard(1, s).counts[distinct[places] - self.first[0][s]]
-        return self.by_shard(self.sizes.of(0, distinct), query, np.zeros(len(distinct), np.int64))[at]
+        query = lambda s, places: self.shard(1, s).counts[ids[places] - self.first[0][s]]
+        return self.by_shard(self.sizes.of(0, ids), query, np.zeros(len(ids), np.int64))
 
     def context_shard(self, level: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard of each context of a level and the context's number there."""
@@ -137,10 +137,10 @@ class Trie:
         out[asked] = self.by_shard(shard, query, np.full(len(asked), -1, np.int64))
         return out
 
-    def scores(self, level: int, entry: np.ndarray) -> np.ndarray:
-        """Log10 probability of entries."""
-        query = lambda s, places: decoded(self.shard(level, s).score[entry[places] - self.first[level - 1][s]])
-        return self.by_shard(self.sizes.of(level - 1, entry), query, np.zeros(len(entry)))
+    def codes(self, level: int, entry: np.ndarray) -> np.ndarray:
+        """Coded log10 probability of entries."""
+        query = lambda s, places: self.shard(level, s).score[entry[places] - self.first[level - 1][s]]
+        return self.by_shard(self.sizes.of(level - 1, entry), query, np.zeros(len(entry), np.uint16))
 
     def backs(self, level: int, context: np.ndarray) -> np.ndarray:
         """Log10 weight with which a context of a level hands on to the shorter one; 0 for unknown ones."""
@@ -157,20 +157,46 @@ class Trie:
         lost = size.discount * size.words / size.total / (size.words + 1)
         p = np.full(len(ids), lost)
         known = np.flatnonzero(ids >= 0)
-        p[known] += (self.counts(ids[known]) - size.discount) / size.total
+        distinct, at = np.unique(ids[known], return_inverse=True)
+        p[known] += (self.counts(distinct)[at] - size.discount) / size.total
         return np.log10(p)
 
-    def pairs(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose next token is in the same text, and their level-2 entries."""
-        inside = np.ones(len(ids), bool)
+
+@dataclass
+class Grams:
+    """The distinct words, pairs and triples of a slice of texts and where they occur.
+
+    Words are numbered in the order of their hashes, pairs and triples in the order of their words, so
+    that look-ups walk through the levels from front to back.
+    """
+
+    word: np.ndarray  # hashes
+    token: np.ndarray  # word of each token
+    pair: np.ndarray  # first word << 32 | second word
+    pair_place: np.ndarray  # tokens that have a next one in their text
+    pair_at: np.ndarray  # pair that begins there
+
+    @staticmethod
+    def of(hashes: np.ndarray, bounds: np.ndarray) -> Grams:
+        word, token = np.unique(hashes, return_inverse=True)
+        token = token.astype(np.int64)
+        inside = np.ones(len(token), bool)
         inside[bounds[1:] - 1] = False
         place = np.flatnonzero(inside)
-        return place, self.find(2, ids[place], ids[place + 1])
+        pair, at = np.unique((token[place] << 32) | token[place + 1], return_inverse=True)
+        return Grams(word, token, pair, place, at.astype(np.int64))
 
-    def triples(self, ids: np.ndarray, place: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts' runs of three: index into ``place``, the context pair and the third word, -1 if unknown."""
-        follows = np.flatnonzero(place[1:] == place[:-1] + 1)
-        return follows, pair[follows], ids[place[follows] + 2]
+    def first(self) -> np.ndarray:
+        return self.pair >> 32
+
+    def second(self) -> np.ndarray:
+        return self.pair & MASK
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per run of three tokens: its index among the pair places, its pair << 32 | third word, and the pair of its last two."""
+        follows = np.flatnonzero(self.pair_place[1:] == self.pair_place[:-1] + 1)
+        key = (self.pair_at[follows] << 32) | self.token[self.pair_place[follows] + 2]
+        return follows, key, self.pair_at[follows + 1]
 
 
 def context_bounds(contexts: int, shards: int) -> np.ndarray:
@@ -246,48 +272,58 @@ def empty_level(level: int) -> Callable[[Sizes, int], None]:
 
 
 def gram_blobs(docs: DataFrame, sizes: Sizes, level: int, fold: int, folds: int) -> DataFrame:
-    """(shard, keys, counts): distinct n-grams of a level of all training texts, added up per task."""
+    """(shard, keys, counts, lower): distinct n-grams of a level of all training texts, added up per task.
+
+    ``lower`` is the coded score of each trigram's last two words, empty for level 2.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(sizes)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for part in training(batches, fold, folds):
-            hashes, bounds = tokens(part.column("text"))
-            ids = trie.ids(hashes)
+            grams = Grams.of(*tokens(part.column("text")))
+            ids = trie.ids(grams.word)
+            first, second = ids[grams.first()], ids[grams.second()]
             if level == 2:
-                place = np.setdiff1d(np.arange(len(ids)), bounds[1:] - 1, assume_unique=True)
-                context, child = ids[place], ids[place + 1]
+                held.append((first, second, np.bincount(grams.pair_at, minlength=len(first)), np.zeros(len(first), np.uint16)))
             else:
-                place, pair = trie.pairs(ids, bounds)
-                _, context, child = trie.triples(ids, place, pair)
-            held.append((context, child))
-            size += len(context)
+                entry = trie.find(2, first, second)
+                lower = trie.codes(2, entry)
+                _, key, last = grams.triples()
+                key, at, n = np.unique(key, return_index=True, return_counts=True)
+                held.append((entry[key >> 32], ids[key & MASK], n, lower[last[at]]))
+            size += len(held[-1][0])
             if size > FLUSH:
                 yield blobs(trie, level, held)
                 held, size = [], 0
         if size:
             yield blobs(trie, level, held)
 
-    return docs.mapInArrow(run, "shard int, keys binary, counts binary")
+    return docs.mapInArrow(run, "shard int, keys binary, counts binary, lower binary")
 
 
-def blobs(trie: Trie, level: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    context = np.concatenate([c for c, _ in held])
-    child = np.concatenate([c for _, c in held])
+def merged(key: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their summed counts, and the lower code, which equal keys share."""
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return key[heads], np.add.reduceat(n[order].astype(np.int64), heads) if len(key) else n, lower[order[heads]]
+
+
+def blobs(trie: Trie, level: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    context, child, n, lower = (np.concatenate(x) for x in zip(*held))
     shard, local = trie.context_shard(level, context)
+    key = (local.astype(np.uint64) << CHILD_BITS) | child.astype(np.uint64)
     order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(trie.sizes.shards + 1))
+    found, at = np.unique(shard[order], return_index=True)
     rows = []
-    for s in range(trie.sizes.shards):
-        at = order[bounds[s] : bounds[s + 1]]
-        if len(at):
-            key, n = np.unique((local[at].astype(np.uint64) << np.uint64(32)) | child[at].astype(np.uint64), return_counts=True)
-            rows.append((s, squeezed(key), zstandard.compress(n.astype(np.uint32), 1)))
-    columns = list(zip(*rows)) or [[]] * 3
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"]
-    )
+    for s, places in zip(found.tolist(), np.split(order, at[1:])):
+        own, count, code = merged(key[places], n[places], lower[places])
+        rows.append((s, squeezed(own), zstandard.compress(count, 1), zstandard.compress(code, 1)))
+    columns = list(zip(*rows)) or [[]] * 4
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "keys", "counts", "lower"])
 
 
 def write_level(docs: DataFrame, sizes: Sizes, level: int, fold: int, folds: int) -> list[int]:
@@ -295,20 +331,18 @@ def write_level(docs: DataFrame, sizes: Sizes, level: int, fold: int, folds: int
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         trie, s = Trie(sizes), int(pdf["shard"].iloc[0])
-        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        counts = [np.frombuffer(zstandard.decompress(c), np.uint32) for c in pdf["counts"]]
-        key, n = added([unsqueezed(k) for k in pdf["keys"]], counts)
-        context, child = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        plain = lambda column, kind: np.concatenate([np.frombuffer(zstandard.decompress(c), kind) for c in pdf[column]])
+        keys = np.concatenate([unsqueezed(k) for k in pdf["keys"]])
+        key, n, code = merged(keys, plain("counts", np.int64), plain("lower", np.uint16))
+        context = (key >> CHILD_BITS).astype(np.int64)
+        child = (key & np.uint64((1 << int(CHILD_BITS)) - 1)).astype(np.int64)
         bounds = context_bounds(sizes.words if level == 2 else sizes.contexts, sizes.shards)
         contexts = int(bounds[s + 1] - bounds[s])
         target, name = Folder(sizes.folder), f"level{level}-{s:05d}"
         degree = Level.write(context, child, contexts, target.write, name)
         total = np.maximum(np.bincount(context, n, contexts), 1)
         back = sizes.discount * degree / total
-        if level == 2:
-            lower = trie.base(child)
-        else:
-            lower = lower_scores(trie, context + bounds[s], child)
+        lower = trie.base(child) if level == 2 else decoded(code)
         p = (n - sizes.discount) / total[context] + back[context] * 10.0**lower
         target.write(f"{name}.score", coded(np.log10(p)))
         target.write(f"{name}.back", np.where(degree > 0, coded(np.log10(np.where(degree > 0, back, 1))), 0).astype(np.uint16))
@@ -318,17 +352,6 @@ def write_level(docs: DataFrame, sizes: Sizes, level: int, fold: int, folds: int
     return entries(written, sizes, empty_level(level))
 
 
-def lower_scores(trie: Trie, pair: np.ndarray, child: np.ndarray) -> np.ndarray:
-    """Level-2 log10 probability of each level-3 entry without its first word."""
-    distinct, at = np.unique(pair, return_inverse=True)
-
-    def second(s: int, places: np.ndarray) -> np.ndarray:
-        return trie.shard(2, s).child(distinct[places] - trie.first[1][s])
-
-    word = trie.by_shard(trie.sizes.of(1, distinct), second, np.zeros(len(distinct), np.int64))[at]
-    return trie.scores(2, trie.find(2, word, child))
-
-
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -340,12 +363,14 @@ def score_documents(docs: DataFrame, sizes: Sizes, fold: int, folds: int) -> Dat
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 hashes, bounds = tokens(part.column("text"))
-                ids = trie.ids(hashes)
-                known = ids >= 0
+                grams = Grams.of(hashes, bounds)
+                ids = trie.ids(grams.word)
+                met = ids >= 0
                 count = np.zeros(len(ids), np.int64)
-                count[known] = trie.counts(ids[known])
-                base = np.log10((count + 1) / (sizes.train_total + sizes.train_words + 1))
-                logs = model_logs(trie, ids, bounds)
+                count[met] = trie.counts(ids[met])
+                base = np.log10((count + 1) / (sizes.train_total + sizes.train_words + 1))[grams.token]
+                known = met[grams.token]
+                logs = model_logs(trie, grams, ids)
                 add = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else x  # noqa: B023, E731
                 docs_ = part.column("doc")
                 columns = [docs_, pa.array(held_out(docs_.to_pylist(), fold, folds)), pa.array(np.diff(bounds))]
@@ -356,35 +381,44 @@ def score_documents(docs: DataFrame, sizes: Sizes, fold: int, folds: int) -> Dat
     return docs.mapInArrow(run, SCORES)
 
 
-def model_logs(trie: Trie, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def model_logs(trie: Trie, grams: Grams, ids: np.ndarray) -> np.ndarray:
     """Log10 probability of each token given up to two tokens before it."""
-    logs = trie.base(ids)
-    place, pair = trie.pairs(ids, bounds)
-    met = pair >= 0
-    second = np.zeros(len(place))
-    second[met] = trie.scores(2, pair[met])
-    second[~met] = trie.backs(2, ids[place[~met]]) + logs[place[~met] + 1]
-    logs[place + 1] = second
-    follows, context, child = trie.triples(ids, place, pair)
-    found = trie.find(3, context, child)
-    met = found >= 0
-    third = np.zeros(len(follows))
-    third[met] = trie.scores(3, found[met])
-    third[~met] = trie.backs(3, context[~met]) + second[follows[~met] + 1]
-    logs[place[follows] + 2] = third
+    single = trie.base(ids)
+    first, second = grams.first(), grams.second()
+    entry = trie.find(2, ids[first], ids[second])
+    pair = scored(trie, 2, entry, ids[first], single[second])
+    follows, key, last = grams.triples()
+    key, at, run = np.unique(key, return_index=True, return_inverse=True)
+    context = entry[key >> 32]
+    triple = scored(trie, 3, trie.find(3, context, ids[key & MASK]), context, pair[last[at]])
+    logs = single[grams.token]
+    logs[grams.pair_place + 1] = pair[grams.pair_at]
+    logs[grams.pair_place[follows] + 2] = triple[run]
     return logs
 
 
+def scored(trie: Trie, level: int, entry: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Log10 probability of n-grams: their own, or the shorter one's with the context's weight."""
+    met = entry >= 0
+    out = np.zeros(len(entry))
+    out[met] = decoded(trie.codes(level, entry[met]))
+    out[~met] = trie.backs(level, context[~met]) + lower[~met]
+    return out
+
+
 def language_model_scores(
     documents: DataFrame, fold: int = 2, folds: int = 7, discount: float = 0.75, tokens_per_shard: int = 3_000_000
 ) -> DataFrame:
     """Score every document with a model learned from those outside the fold.
 
     Null text is empty and has the end token alone. Rows that repeat a doc_id count and score each on
-    its own; other columns are ignored. Without any training document nothing is known and
+    its own, a null doc_id as empty text; other columns are ignored. A very long text is scored in one piece, in memory
+    proportional to its length. Equal n-grams are looked up once a slice. Without any training document nothing is known and
     scores are those of an empty model. An empty table gives no row. ``tokens_per_shard`` sets the
     size of a build task, not what is counted.
     """
+    if not 0 < tokens_per_shard < 1 << 24:
+        raise ValueError("tokens_per_shard must be positive and below 2^24")
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
     folder = new_folder(spark, "language-model")

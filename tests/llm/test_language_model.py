@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tablerisk.llm import language_model
-from tablerisk.llm.eliasfano import EliasFano, Level
+from tablerisk.llm.eliasfano import EliasFano, Level, nth_one
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -83,6 +83,15 @@ def test_elias_fano_access_and_find(n, top):
     assert sequence.find(asked).tolist() == [places.get(v, -1) for v in asked.tolist()]
 
 
+def test_nth_one():
+    rng = np.random.default_rng(5)
+    word = np.concatenate((rng.integers(1, 2**63, 400, dtype=np.uint64), rng.integers(1, 2**63, 400, dtype=np.uint64) & rng.integers(1, 2**63, 400, dtype=np.uint64), [np.uint64(2**64 - 1), np.uint64(1), np.uint64(2**63)]))
+    places = [[k for k in range(64) if int(w) >> k & 1] for w in word]
+    asked = [(w, n, p) for w, ps in zip(word, places) for n, p in enumerate(ps)]
+    got = nth_one(np.array([a[0] for a in asked], np.uint64), np.array([a[1] for a in asked]))
+    assert got.tolist() == [a[2] for a in asked]
+
+
 def test_level_finds_children_of_their_context_only():
     rng = np.random.default_rng(3)
     pairs = sorted(set(zip((rng.integers(0, 300, 4000) // 3 * 2).tolist(), rng.integers(0, 900, 4000).tolist())))
