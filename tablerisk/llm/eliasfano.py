@@ -101,12 +101,18 @@ class EliasFano:
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Bit position of the k-th one (or zero) of the high bits."""
-        word = self.jump[one][k // SAMPLE].copy()
-        after = lambda w: self.ones[w + 1] if one else (w + 1) * 64 - self.ones[w + 1]
-        behind = np.flatnonzero(after(word) <= k)
-        while len(behind):
-            word[behind] += 1
-            behind = behind[after(word[behind]) <= k[behind]]
+        jump, sample = self.jump[one], k // SAMPLE
+        word, last = jump[sample], jump[np.minimum(sample + 1, len(jump) - 1)]
+        last = np.where(sample + 1 < len(jump), last, len(self.ones) - 2)
+        # Between two samples: the last word with at most k ones (or zeros) before it.
+        open_ = np.flatnonzero(word < last)
+        while len(open_):
+            middle = (word[open_] + last[open_] + 1) >> 1
+            ahead = self.ones[middle] if one else middle * 64 - self.ones[middle]
+            reached = ahead <= k[open_]
+            word[open_] = np.where(reached, middle, word[open_])
+            last[open_] = np.where(reached, last[open_], middle - 1)
+            open_ = open_[word[open_] < last[open_]]
         bits = self.high[word] if one else ~self.high[word]
         before = self.ones[word] if one else word * 64 - self.ones[word]
         return word * 64 + nth_one(bits, k - before)

@@ -92,6 +92,18 @@ def test_nth_one():
     assert got.tolist() == [a[2] for a in asked]
 
 
+def test_elias_fano_with_dense_runs_and_wide_gaps():
+    rng = np.random.default_rng(9)
+    values = np.unique(np.concatenate([np.arange(b, b + n) for b, n in ((0, 9000), (10**9, 1), (10**9 + 7 * 10**6, 20000), (2**40, 300))])).astype(np.uint64)
+    _, put, get = kept()
+    EliasFano.write(values, put, "a")
+    sequence = EliasFano(get, "a")
+    assert (sequence.access(np.arange(len(values))) == values).all()
+    asked = np.concatenate((values, values + np.uint64(1), rng.integers(0, 2**40, 3000, dtype=np.uint64)))
+    places = {v: i for i, v in enumerate(values.tolist())}
+    assert sequence.find(asked).tolist() == [places.get(v, -1) for v in asked.tolist()]
+
+
 def test_level_finds_children_of_their_context_only():
     rng = np.random.default_rng(3)
     pairs = sorted(set(zip((rng.integers(0, 300, 4000) // 3 * 2).tolist(), rng.integers(0, 900, 4000).tolist())))
