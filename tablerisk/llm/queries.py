@@ -37,11 +37,8 @@ def op3_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents without sentences that a repeated run of two or more covers, but for its first document.
-
-    Every run of two sentences is hashed, whatever its words: all longer runs consist of them.
-    """
-    cut = spans.remove_repeated_spans(table(spark, folder, "documents"), sentences=2, min_words=0)
+    """All documents without sentences that a repeated run of two or more, 20 words or more, covers, but for its first document."""
+    cut = spans.remove_repeated_spans(table(spark, folder, "documents"), sentences=2, min_words=20)
     return cut.select("doc_id", "n_sentences", "n_removed", "text")
 
 

@@ -1,10 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
-From every sentence a span runs over the fewest following sentences that make at least ``sentences``
-sentences and ``min_words`` words. Without a word minimum these are all runs of ``sentences`` sentences,
-whose unions are all longer runs; with one, repeated runs of fewer words stay, and so may the tail of a
-longer repeated run. Spans are hashed and joined over the whole corpus; sentences that a
-repeated span covers are removed, except in the document that has the span first.
+Sentences go where a repeated run of at least ``sentences`` sentences and ``min_words`` words covers them,
+except in the document that has the run first. Only shortest such runs are hashed and joined over the
+whole corpus: from every sentence the fewest that follow, and up to every sentence the fewest before it. Every
+longer run is a union of these, its tail included, so what goes is what all runs of every length cover.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ def sentence_spans(column: pa.Array, sentences: int, min_words: int) -> dict[str
     """Sentences (first word, text) and the spans that start at them (hash, sentence range, text).
 
     A sentence ends at white space after a full stop, exclamation or question mark, or at a line end.
-    Case does not count, nor does the kind of white space.
+    Case does not count, nor does the kind of white space. Spans are in the order of their places, none twice.
     """
     found = words(column, lower=True)
     n = len(found.start)
@@ -46,17 +45,23 @@ def sentence_spans(column: pa.Array, sentences: int, min_words: int) -> dict[str
     start = np.flatnonzero(new)
     doc = found.doc[start]
     last = np.searchsorted(doc, doc, "right")  # first sentence of the next text
+    begin = np.searchsorted(doc, doc, "left")
     bound = np.append(start, n)
-    to = np.maximum(np.searchsorted(bound, start + min_words), np.arange(len(start)) + sentences)
-    at = np.flatnonzero(to <= last)
+    place = np.arange(len(start))
+    ahead = np.maximum(np.searchsorted(bound, start + min_words), place + sentences)
+    behind = np.minimum(np.searchsorted(bound, bound[1:] - min_words, "right") - 1, place + 1 - sentences)
+    left = np.concatenate((place[ahead <= last], behind[behind >= begin]))
+    right = np.concatenate((ahead[ahead <= last], place[behind >= begin] + 1))
+    both = np.unique(left * (len(start) + 1) + right, return_index=True)[1]
+    left, right = left[both], right[both]
     hashes = found.hashes()
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(n))))
     back = np.ones(n, np.uint64)
     back[1:] = INVERSE
     back = np.multiply.accumulate(back)
-    s, e = bound[at], bound[to[at]]
+    s, e = bound[left], bound[right]
     value = mix((run[e] - run[s]) * back[s] + (e - s).astype(np.uint64) * BASE)
-    return {"start": start, "doc": doc, "hash": value, "from": at, "to": to[at], "words": found}
+    return {"start": start, "doc": doc, "hash": value, "from": left, "to": right, "words": found}
 
 
 def first_in_text(found: dict[str, np.ndarray]) -> np.ndarray:
@@ -89,7 +94,8 @@ def remove_repeated_spans(documents: DataFrame, sentences: int = 2, min_words: i
     """Documents without sentences that a non-first repeated span covers; adds n_sentences, n_removed.
 
     The first occurrence is that in the smallest doc_id, there the earliest; later occurrences in the
-    same document are removed too. Rows that repeat a doc_id are cut alike, as one document; a null doc_id
+    same document are removed too. Repeated runs of fewer sentences or words stay, since greetings, captions and other
+    short turns of phrase recur in unrelated texts. A very long text is cut in one piece. Rows that repeat a doc_id are cut alike, as one document; a null doc_id
     takes no part across documents. Null text stays null with 0 sentences; shorter texts than a
     span stay whole. Other columns are passed on, those named like the added ones are replaced. An
     empty table gives an empty one.

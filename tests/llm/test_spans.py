@@ -20,13 +20,13 @@ def split(text):
 
 
 def spans_of(sentences, least, min_words):
+    """All runs of every length that count, in the order of their first sentence."""
     for i in range(len(sentences)):
-        words, j = [], i
-        while j < len(sentences) and (j - i < least or len(words) < min_words):
-            words += sentences[j][2]
-            j += 1
-        if j - i >= least and len(words) >= min_words:
-            yield i, j, tuple(words)
+        words = []
+        for j in range(i + 1, len(sentences) + 1):
+            words += sentences[j - 1][2]
+            if j - i >= least and len(words) >= min_words:
+                yield i, j, hash(tuple(words))
 
 
 def brute(rows, least=2, min_words=20):
@@ -65,14 +65,14 @@ def test_passage_goes_from_later_documents_only(spark):
     assert len(got[5]) == len(rows[0][1]) - len(passage) - 1
 
 
-def test_query_sees_short_runs_and_tails(spark, tmp_path):
+def test_query_sees_tails_and_leaves_short_runs(spark, tmp_path):
     sized = lambda n, w: " ".join(f"{w}{k}" for k in range(n)) + "."
     passage, short = " ".join(sized(n, w) for n, w in ((15, "a"), (10, "b"), (5, "c"), (4, "d"))), "Not long. Nor this."
     rows = [(k, f"own{k} start.\n{passage} own{k} middle.\n{short}\nown{k} end.") for k in range(3)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in queries.op4_sentence_spans(spark, str(tmp_path)).collect()}
     assert got[0] == rows[0][1]
-    assert all(got[k].split() == f"own{k} start. own{k} middle. own{k} end.".split() for k in (1, 2))
+    assert all(got[k].split() == f"own{k} start. own{k} middle. {short} own{k} end.".split() for k in (1, 2))
 
 
 def test_empty_table(no_documents):
