@@ -371,3 +371,10 @@ def test_private_choices_follow_the_budget(spark):
     best, rich, poor = nets(None), nets(1e6), nets(1e-6)
     assert rich == best  # without noise each step takes the best pair
     assert sum(poor[d] == best[d] for d in best) < 60 and len(set(poor.values())) > 20
+
+
+def test_audit_targets_exist_where_no_record_is_unique(spark):
+    rows = [(i + 100 * k, i % 3, v) for k in range(2) for i, v in enumerate([0, 0, 0, 1, 0, 0])]
+    table = spark.createDataFrame([*rows, (500, 0, 0), (None, 9, 9)], "record_id long, a long, b long")
+    assert T.choose_targets(table, ["a", "b"], 1) == [3]  # (0, 1) occurs twice, all others more often
+    assert T.choose_targets(table.filter("record_id <> 103"), ["a", "b"], 5) == [3]  # unique ones only, if any
