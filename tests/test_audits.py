@@ -378,3 +378,19 @@ def test_audit_targets_exist_where_no_record_is_unique(spark):
     table = spark.createDataFrame([*rows, (500, 0, 0), (None, 9, 9)], "record_id long, a long, b long")
     assert T.choose_targets(table, ["a", "b"], 1) == [3]  # (0, 1) occurs twice, all others more often
     assert T.choose_targets(table.filter("record_id <> 103"), ["a", "b"], 5) == [3]  # unique ones only, if any
+
+
+def test_text_features_are_read_once(spark, tmp_path):
+    from tablerisk.registry import inputs
+    from tablerisk.registry.queries import _fitted
+
+    texts = [f"Row {i}, No. {'é😀' * (i % 3)}{i * 37}!\n" * (1 + i % 4) for i in range(40)] + ["", "A.B,C!D?9"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("doc_id", "doc_id % 2 quality").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    for r in inputs.document_features(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id]
+        classes = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,!?")
+        assert list(r.features[3:]) == [sum(c in k for c in text) / max(len(text), 1) for k in classes]
+    scored = _fitted(spark, str(tmp_path), ["logistic_regression"])
+    assert not [f for f in scored.inputFiles() if "documents" in f]  # a fit's passes read stored features
