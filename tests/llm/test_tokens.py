@@ -127,3 +127,13 @@ def test_plan_is_close_to_the_bound(seed, low, high, slack):
             end += count
         assert end == histogram[length]
     assert plan.sequences <= max(sizes.sum() / 1024, (sizes > 512).sum()) * slack + 2
+
+
+def test_full_table_keeps_its_frequent_pieces():
+    table = TokenTable(public_tokenizers.path("byte_bpe_50k.json"), True, 3)
+    plain = TokenTable(public_tokenizers.path("byte_bpe_50k.json"), True)
+    for text in ("x a b b c c d d d", "x e f d c", "x \ng a d  h", "x"):
+        column = pa.array([text, text + " tail"])
+        got, want = table.encode(column), plain.encode(column)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+        assert len(table.rows) == 3 and "d" in table.rows and table.find_of_slice(["d"], np.ones(1))[0] < 3
