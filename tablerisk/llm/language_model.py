@@ -34,7 +34,6 @@ STEPS = 4096.0
 FLUSH = 2_000_000
 SLICE = 4 << 20
 CHILD_BITS = np.uint64(40)  # of a word in a key; a shard's contexts have the 24 bits above
-MASK = np.int64(0xFFFFFFFF)
 
 
 def coded(log10: np.ndarray) -> np.ndarray:
@@ -95,11 +94,15 @@ class Trie:
                 self.opened[key].counts = self.source.array(f"{name}.counts", np.int64)
         return self.opened[key]
 
-    def by_shard(self, shard: np.ndarray, query: Callable[[int, np.ndarray], np.ndarray], out: np.ndarray) -> np.ndarray:
+    def by_shard(self, shard: np.ndarray, query: Callable[[int, np.ndarray | slice], np.ndarray], out: np.ndarray) -> np.ndarray:
         """Answer queries shard by shard; ``query`` gets a shard and the places that ask it."""
-        order = np.argsort(shard, kind="stable")
-        asked, at = np.unique(shard[order], return_index=True)
-        for s, places in zip(asked.tolist(), np.split(order, at[1:])):
+        if not len(shard):
+            return out
+        order = None if (shard[1:] >= shard[:-1]).all() else np.argsort(shard, kind="stable")
+        ranked = shard if order is None else shard[order]
+        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        for s, a, b in zip(ranked[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(shard)]):
+            places = slice(a, b) if order is None else order[a:b]
             out[places] = query(s, places)
         return out
 
@@ -124,23 +127,25 @@ class Trie:
         shard = np.searchsorted(bounds[1:], context, "right")
         return shard, context - bounds[shard]
 
-    def find(self, level: int, context: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Entry of each (context, child), -1 where there is none or either is -1."""
-        out = np.full(len(context), -1, np.int64)
+    def find(self, level: int, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each (context, child), -1 where there is none or either is -1, and its coded log10 probability."""
         asked = np.flatnonzero((context >= 0) & (child >= 0))
         shard, local = self.context_shard(level, context[asked])
-
-        def query(s: int, places: np.ndarray) -> np.ndarray:
-            found = self.shard(level, s).find(local[places], child[asked[places]])
-            return np.where(found >= 0, found + self.first[level - 1][s], -1)
-
-        out[asked] = self.by_shard(shard, query, np.full(len(asked), -1, np.int64))
-        return out
-
-    def codes(self, level: int, entry: np.ndarray) -> np.ndarray:
-        """Coded log10 probability of entries."""
-        query = lambda s, places: self.shard(level, s).score[entry[places] - self.first[level - 1][s]]
-        return self.by_shard(self.sizes.of(level - 1, entry), query, np.zeros(len(entry), np.uint16))
+        child = child[asked]
+
+        def query(s: int, places: np.ndarray | slice) -> np.ndarray:
+            held = self.shard(level, s)
+            found = held.find(local[places], child[places])
+            met = np.flatnonzero(found >= 0)
+            at = found[met]
+            answer = np.full((len(found), 2), -1, np.int64)
+            answer[met, 0], answer[met, 1] = at + self.first[level - 1][s], held.score[at]
+            return answer
+
+        answers = self.by_shard(shard, query, np.full((len(asked), 2), -1, np.int64))
+        out, code = np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint16)
+        out[asked], code[asked] = answers[:, 0], answers[:, 1].astype(np.uint16)
+        return out, code
 
     def backs(self, level: int, context: np.ndarray) -> np.ndarray:
         """Log10 weight with which a context of a level hands on to the shorter one; 0 for unknown ones."""
@@ -162,6 +167,35 @@ class Trie:
         return np.log10(p)
 
 
+@dataclass
+class Distinct:
+    """The distinct ones of an array of keys, ascending; ``order`` sorts the array, where key k begins at ``head[k]``."""
+
+    key: np.ndarray
+    order: np.ndarray
+    head: np.ndarray
+
+    @staticmethod
+    def of(key: np.ndarray, bits: int) -> Distinct:
+        """Keys have at most ``bits`` bits. Places ride behind them if there is room: values sort faster than places."""
+        n = len(key)
+        room = n.bit_length()
+        if bits + room < 64:
+            ridden = np.sort((key << room) | np.arange(n))
+            key, order = ridden >> room, ridden & ((1 << room) - 1)
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        head = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), key[1:] != key[:-1])))
+        return Distinct(key[head], order, head)
+
+    def inverse(self) -> np.ndarray:
+        """The index of each element's key among the distinct ones."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.head)), np.diff(self.head, append=len(out)))
+        return out
+
+
 @dataclass
 class Grams:
     """The distinct words, pairs and triples of a slice of texts and where they occur.
@@ -172,31 +206,41 @@ class Grams:
 
     word: np.ndarray  # hashes
     token: np.ndarray  # word of each token
-    pair: np.ndarray  # first word << 32 | second word
+    bits: int  # of a word's number
+    pair: np.ndarray  # first word << bits | second word
     pair_place: np.ndarray  # tokens that have a next one in their text
     pair_at: np.ndarray  # pair that begins there
 
     @staticmethod
     def of(hashes: np.ndarray, bounds: np.ndarray) -> Grams:
-        word, token = np.unique(hashes, return_inverse=True)
-        token = token.astype(np.int64)
+        met, word = pd.factorize(hashes)
+        order = np.argsort(word)
+        rank = np.empty(len(word), np.int64)
+        rank[order] = np.arange(len(word))
+        token, bits = rank[met], len(word).bit_length()
         inside = np.ones(len(token), bool)
         inside[bounds[1:] - 1] = False
         place = np.flatnonzero(inside)
-        pair, at = np.unique((token[place] << 32) | token[place + 1], return_inverse=True)
-        return Grams(word, token, pair, place, at.astype(np.int64))
+        pairs = Distinct.of((token[place] << bits) | token[place + 1], 2 * bits)
+        return Grams(word[order], token, bits, pairs.key, place, pairs.inverse())
 
     def first(self) -> np.ndarray:
-        return self.pair >> 32
+        return self.pair >> self.bits
 
     def second(self) -> np.ndarray:
-        return self.pair & MASK
+        return self.pair & ((1 << self.bits) - 1)
 
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per run of three tokens: its index among the pair places, its pair << 32 | third word, and the pair of its last two."""
+    def triples(self) -> tuple[np.ndarray, Distinct, np.ndarray]:
+        """The index of each run of three tokens among the pair places, the distinct ones, and the pair of each run's last two."""
         follows = np.flatnonzero(self.pair_place[1:] == self.pair_place[:-1] + 1)
-        key = (self.pair_at[follows] << 32) | self.token[self.pair_place[follows] + 2]
-        return follows, key, self.pair_at[follows + 1]
+        key = (self.pair_at[follows] << self.bits) | self.token[self.pair_place[follows] + 2]
+        return follows, Distinct.of(key, len(self.pair).bit_length() + self.bits), self.pair_at[follows + 1]
+
+    def pair_of(self, triples: Distinct) -> np.ndarray:
+        return triples.key >> self.bits
+
+    def third(self, triples: Distinct) -> np.ndarray:
+        return triples.key & ((1 << self.bits) - 1)
 
 
 def context_bounds(contexts: int, shards: int) -> np.ndarray:
@@ -288,11 +332,10 @@ def gram_blobs(docs: DataFrame, sizes: Sizes, level: int, fold: int, folds: int)
             if level == 2:
                 held.append((first, second, np.bincount(grams.pair_at, minlength=len(first)), np.zeros(len(first), np.uint16)))
             else:
-                entry = trie.find(2, first, second)
-                lower = trie.codes(2, entry)
-                _, key, last = grams.triples()
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                held.append((entry[key >> 32], ids[key & MASK], n, lower[last[at]]))
+                entry, lower = trie.find(2, first, second)
+                _, triples, last = grams.triples()
+                n = np.diff(triples.head, append=len(last))
+                held.append((entry[grams.pair_of(triples)], ids[grams.third(triples)], n, lower[last[triples.order[triples.head]]]))
             size += len(held[-1][0])
             if size > FLUSH:
                 yield blobs(trie, level, held)
@@ -385,24 +428,22 @@ def model_logs(trie: Trie, grams: Grams, ids: np.ndarray) -> np.ndarray:
     """Log10 probability of each token given up to two tokens before it."""
     single = trie.base(ids)
     first, second = grams.first(), grams.second()
-    entry = trie.find(2, ids[first], ids[second])
-    pair = scored(trie, 2, entry, ids[first], single[second])
-    follows, key, last = grams.triples()
-    key, at, run = np.unique(key, return_index=True, return_inverse=True)
-    context = entry[key >> 32]
-    triple = scored(trie, 3, trie.find(3, context, ids[key & MASK]), context, pair[last[at]])
+    entry, code = trie.find(2, ids[first], ids[second])
+    pair = scored(trie, 2, entry, code, ids[first], single[second])
+    follows, triples, last = grams.triples()
+    context = entry[grams.pair_of(triples)]
+    lower = pair[last[triples.order[triples.head]]]
+    triple = scored(trie, 3, *trie.find(3, context, ids[grams.third(triples)]), context, lower)
     logs = single[grams.token]
     logs[grams.pair_place + 1] = pair[grams.pair_at]
-    logs[grams.pair_place[follows] + 2] = triple[run]
+    logs[grams.pair_place[follows[triples.order]] + 2] = np.repeat(triple, np.diff(triples.head, append=len(follows)))
     return logs
 
 
-def scored(trie: Trie, level: int, entry: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+def scored(trie: Trie, level: int, entry: np.ndarray, code: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Log10 probability of n-grams: their own, or the shorter one's with the context's weight."""
-    met = entry >= 0
-    out = np.zeros(len(entry))
-    out[met] = decoded(trie.codes(level, entry[met]))
-    out[~met] = trie.backs(level, context[~met]) + lower[~met]
+    out, lost = decoded(code), np.flatnonzero(entry < 0)
+    out[lost] = trie.backs(level, context[lost]) + lower[lost]
     return out
 
 

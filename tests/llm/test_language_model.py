@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablerisk.llm import language_model
 from tablerisk.llm.eliasfano import EliasFano, Level, nth_one
+from tablerisk.llm.text import BASE, BYTE_VALUES, mix, powers, words
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -104,6 +106,69 @@ def test_elias_fano_with_dense_runs_and_wide_gaps():
     assert sequence.find(asked).tolist() == [places.get(v, -1) for v in asked.tolist()]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_elias_fano_finds_the_first_of_equal_values_in_uneven_buckets(seed):
+    rng = np.random.default_rng(seed)
+    parts = [rng.integers(0, 2**36, 300), 2**33 + rng.integers(0, 5000, 4000), 2**35 + (rng.random(3000) ** 9 * 2**20).astype(np.int64), np.full(700, 2**34)]
+    values = np.sort(np.concatenate(parts)).astype(np.uint64)
+    if seed % 2:
+        values = np.unique(values)
+    held, put, get = kept()
+    EliasFano.write(values, put, "a")
+    sequence = EliasFano(get, "a")
+    assert (sequence.access(np.arange(len(values))) == values).all()
+    first, second = sequence.with_next(np.arange(len(values) - 1))
+    assert (first == values[:-1]).all() and (second == values[1:]).all()
+    asked = np.concatenate((values, values + np.uint64(1), values - np.uint64(1), rng.integers(0, 2**36, 3000).astype(np.uint64)))
+    expected = np.searchsorted(values, asked)
+    hit = values[np.minimum(expected, len(values) - 1)] == asked
+    assert (sequence.find(asked) == np.where(hit, expected, -1)).all()
+    if seed % 2:
+        index = rng.integers(-1, np.maximum(expected, 0))  # any element below the asked value
+        place = np.where(index >= 0, sequence.select(np.maximum(index, 0), True), -1)
+        assert (sequence.find_behind(asked, index, place) == np.where(hit, expected, -1)).all()
+
+
+def test_elias_fano_reaches_zeros_behind_long_runs_without_a_search():
+    """A context with very many children is a long run of ones: its buckets are found by stored places."""
+    rng = np.random.default_rng(1)
+    hub = np.unique(rng.integers(2**40, 2**40 + 2**22, 200_000))
+    values = np.concatenate((np.arange(0, 2**40, 2**27), hub)).astype(np.uint64)
+    _, put, get = kept()
+    EliasFano.write(values, put, "a")
+    sequence = EliasFano(get, "a")
+    windows, look = [], sequence.window
+    sequence.window = lambda place: windows.append(len(place)) or look(place)
+    zeros = np.arange(sequence.buckets)
+    flags = np.unpackbits(np.ascontiguousarray(sequence.high).view(np.uint8), bitorder="little")
+    assert (sequence.select(zeros, False) == np.flatnonzero(flags == 0)[zeros]).all()
+    assert (sequence.select(np.arange(sequence.n), True) == np.flatnonzero(flags)).all()
+    assert len(windows) <= 10  # five of 64 bits from a stored place reach each one and each zero
+
+
+@pytest.mark.parametrize("bits", [9, 62])
+def test_distinct_keys_equal_unique(bits):
+    key = np.random.default_rng(bits).integers(0, 1 << bits, 3000)
+    key = np.concatenate((key, key[::3], np.array([0, (1 << bits) - 1])))
+    distinct = language_model.Distinct.of(key, bits)
+    unique, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    assert (distinct.key == unique).all() and (distinct.inverse() == inverse).all()
+    assert (np.diff(distinct.head, append=len(key)) == count).all() and (key[distinct.order[distinct.head]] == unique).all()
+    assert not len(language_model.Distinct.of(key[:0], bits).key)
+
+
+def test_hashes_of_words_do_not_depend_on_blocks_or_neighbours():
+    texts = ["", "  a ab\tabc", "x" * 200_000 + " y", "ab", None, " ".join(f"w{k % 977}" for k in range(60_000)), "ABC\n"]
+    found = words(pa.array(texts), lower=True)
+    single = {}
+    for word in {w for t in texts for w in (t or "").lower().split()}:
+        value = np.uint64(0)
+        for byte, power in zip(word.encode(), powers(len(word))):
+            value = value + BYTE_VALUES[byte] * power
+        single[word] = mix(np.array([value + np.uint64(len(word)) * BASE]))[0]
+    assert found.hashes().tolist() == [single[w] for t in texts for w in (t or "").lower().split()]
+
+
 def test_level_finds_children_of_their_context_only():
     rng = np.random.default_rng(3)
     pairs = sorted(set(zip((rng.integers(0, 300, 4000) // 3 * 2).tolist(), rng.integers(0, 900, 4000).tolist())))
