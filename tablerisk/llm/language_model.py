@@ -87,11 +87,11 @@ class Trie:
     def shard(self, level: int, s: int):
         key = (level, s)
         if key not in self.opened:
-            name = f"level{level}-{s:05d}"
+            load = self.source.arrays(f"level{level}-{s:05d}")
             kind = Level if level > 1 else EliasFano
-            self.opened[key] = kind(self.source.array, name)
+            self.opened[key] = kind(load, "entries")
             if level == 1:
-                self.opened[key].counts = self.source.array(f"{name}.counts", np.int64)
+                self.opened[key].counts = load("counts", np.int64)
         return self.opened[key]
 
     def by_shard(self, shard: np.ndarray, query: Callable[[int, np.ndarray | slice], np.ndarray], out: np.ndarray) -> np.ndarray:
@@ -279,10 +279,10 @@ def write_words(counts: DataFrame, sizes: Sizes) -> list[int]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         word, n = pdf["word"].to_numpy().view(np.uint64), pdf["n"].to_numpy()
         order = np.argsort(word)
-        s = int(pdf["shard"].iloc[0])
-        target = Folder(folder)
-        EliasFano.write(word[order], target.write, f"level1-{s:05d}")
-        target.write(f"level1-{s:05d}.counts", n[order].astype(np.int64))
+        s, arrays = int(pdf["shard"].iloc[0]), {}
+        EliasFano.write(word[order], arrays.__setitem__, "entries")
+        arrays["counts"] = n[order].astype(np.int64)
+        Folder(folder).write_arrays(f"level1-{s:05d}", arrays)
         return pd.DataFrame({"shard": [s], "entries": [len(word)]})
 
     top = F.shiftrightunsigned("word", 32)
@@ -299,18 +299,18 @@ def entries(written: DataFrame, sizes: Sizes, write_empty: Callable[[Sizes, int]
 
 
 def empty_words(sizes: Sizes, s: int) -> None:
-    target = Folder(sizes.folder)
-    EliasFano.write(np.zeros(0, np.uint64), target.write, f"level1-{s:05d}")
-    target.write(f"level1-{s:05d}.counts", np.zeros(0, np.int64))
+    arrays = {"counts": np.zeros(0, np.int64)}
+    EliasFano.write(np.zeros(0, np.uint64), arrays.__setitem__, "entries")
+    Folder(sizes.folder).write_arrays(f"level1-{s:05d}", arrays)
 
 
 def empty_level(level: int) -> Callable[[Sizes, int], None]:
     def write(sizes: Sizes, s: int) -> None:
         bounds = context_bounds(sizes.words if level == 2 else sizes.contexts, sizes.shards)
-        contexts, target, name = int(bounds[s + 1] - bounds[s]), Folder(sizes.folder), f"level{level}-{s:05d}"
-        Level.write(np.zeros(0, np.int64), np.zeros(0, np.int64), contexts, target.write, name)
-        target.write(f"{name}.score", np.zeros(0, np.uint16))
-        target.write(f"{name}.back", np.zeros(contexts, np.uint16))
+        contexts = int(bounds[s + 1] - bounds[s])
+        arrays = {"entries.score": np.zeros(0, np.uint16), "entries.back": np.zeros(contexts, np.uint16)}
+        Level.write(np.zeros(0, np.int64), np.zeros(0, np.int64), contexts, arrays.__setitem__, "entries")
+        Folder(sizes.folder).write_arrays(f"level{level}-{s:05d}", arrays)
 
     return write
 
@@ -381,14 +381,15 @@ def write_level(docs: DataFrame, sizes: Sizes, level: int, fold: int, folds: int
         child = (key & np.uint64((1 << int(CHILD_BITS)) - 1)).astype(np.int64)
         bounds = context_bounds(sizes.words if level == 2 else sizes.contexts, sizes.shards)
         contexts = int(bounds[s + 1] - bounds[s])
-        target, name = Folder(sizes.folder), f"level{level}-{s:05d}"
-        degree = Level.write(context, child, contexts, target.write, name)
+        arrays: dict[str, np.ndarray] = {}
+        degree = Level.write(context, child, contexts, arrays.__setitem__, "entries")
         total = np.maximum(np.bincount(context, n, contexts), 1)
         back = sizes.discount * degree / total
         lower = trie.base(child) if level == 2 else decoded(code)
         p = (n - sizes.discount) / total[context] + back[context] * 10.0**lower
-        target.write(f"{name}.score", coded(np.log10(p)))
-        target.write(f"{name}.back", np.where(degree > 0, coded(np.log10(np.where(degree > 0, back, 1))), 0).astype(np.uint16))
+        arrays["entries.score"] = coded(np.log10(p))
+        arrays["entries.back"] = np.where(degree > 0, coded(np.log10(np.where(degree > 0, back, 1))), 0).astype(np.uint16)
+        Folder(sizes.folder).write_arrays(f"level{level}-{s:05d}", arrays)
         return pd.DataFrame({"shard": [s], "entries": [len(key)]})
 
     written = gram_blobs(docs, sizes, level, fold, folds).groupBy("shard").applyInPandas(run, "shard int, entries long")

@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 
 from tablerisk.llm import language_model
 from tablerisk.llm.eliasfano import EliasFano, Level, nth_one
+from tablerisk.llm.store import Folder
 from tablerisk.llm.text import BASE, BYTE_VALUES, mix, powers, words
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -59,6 +61,29 @@ def test_scores_equal_brute_force(odd_documents, odd_rows, per_shard):
         assert abs(g[6] - e[6]) <= 3e-4 * g[2]
 
 
+def test_a_shard_of_a_level_is_one_file(spark, odd_documents, monkeypatch):
+    """Tasks map every shard, and a process has about 65,000 maps: a file for each array ends above 1,800 shards."""
+    found = []
+    score = language_model.score_documents
+    monkeypatch.setattr(language_model, "score_documents", lambda docs, sizes, *fold: found.append(sizes) or score(docs, sizes, *fold))
+    assert language_model.language_model_scores(odd_documents, tokens_per_shard=700).count() == 20
+    (sizes,) = found
+    names = sorted(p.name for p in Path(sizes.folder.removeprefix("file:")).iterdir())
+    names = [n for n in names if not n.startswith(".")]
+    assert sizes.shards > 1 and names == [f"level{k}-{s:05d}" for k in (1, 2, 3) for s in range(sizes.shards)]
+
+
+def test_arrays_of_one_file_come_back_with_their_types(tmp_path):
+    folder = Folder(str(tmp_path))
+    arrays = {"a": np.arange(5, dtype=np.uint16), "b": np.zeros(0, np.uint64), "c": np.array([2**63], np.uint64), "d": np.arange(3)}
+    folder.write_arrays("f", arrays)
+    load = folder.arrays("f")
+    for key, a in arrays.items():
+        assert load(key, a.dtype).dtype == a.dtype and load(key, a.dtype).tolist() == a.tolist()
+    folder.write_arrays("e", {})
+    folder.arrays("e")
+
+
 def test_empty_table_and_no_training(spark, no_documents):
     assert language_model.language_model_scores(no_documents).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
@@ -162,10 +187,8 @@ def test_hashes_of_words_do_not_depend_on_blocks_or_neighbours():
     found = words(pa.array(texts), lower=True)
     single = {}
     for word in {w for t in texts for w in (t or "").lower().split()}:
-        value = np.uint64(0)
-        for byte, power in zip(word.encode(), powers(len(word))):
-            value = value + BYTE_VALUES[byte] * power
-        single[word] = mix(np.array([value + np.uint64(len(word)) * BASE]))[0]
+        value = sum(int(BYTE_VALUES[b]) * int(p) for b, p in zip(word.encode(), powers(len(word))))
+        single[word] = mix(np.array([(value + len(word) * int(BASE)) % 2**64], np.uint64))[0]
     assert found.hashes().tolist() == [single[w] for t in texts for w in (t or "").lower().split()]
 
 
