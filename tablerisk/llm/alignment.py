@@ -214,9 +214,9 @@ class WordTable(PieceTable):
         self.numbers = grown(self.numbers, end)
         self.numbers[begin:end] = 0
         short = [p for p in pieces if len(p) <= LONG_WORD]
-        order, a, count_a, unsafe = t.first.pieces(short)
-        usable = len(order) - unsafe
-        order += [p for p in pieces if len(p) > LONG_WORD]
+        places, a, count_a, unsafe = t.first.pieces(short)
+        usable = len(short) - unsafe
+        order = [*(short[k] for k in places.tolist()), *(p for p in pieces if len(p) > LONG_WORD)]
         b, count_b = t.words_b(order[:usable])
         sizes = np.zeros(len(pieces), np.int64)
         spelled_out: list[bytes | None] = [None] * len(pieces)

@@ -137,3 +137,27 @@ def test_full_table_keeps_its_frequent_pieces():
         got, want = table.encode(column), plain.encode(column)
         assert all(np.array_equal(a, b) for a, b in zip(got, want))
         assert len(table.rows) == 3 and "d" in table.rows and table.find_of_slice(["d"], np.ones(1))[0] < 3
+
+
+@pytest.mark.parametrize("path,keeps_space", [(WORD, False), (BYTE, True)])
+def test_words_that_differ_in_signs_are_tokenized_once(path, keeps_space):
+    table = TokenTable(path, keeps_space)
+    sent = []
+    whole = table.tokenizer.whole
+    table.tokenizer.whole = lambda texts: sent.extend(texts) or whole(texts)
+    table.encode(pa.array(["x alphabet alphabet, alphabet. alphabet,%%% alphabet! été été; 7 7:"] * 3))
+    assert set(table.rows) == {"x", "alphabet", "été", "7"}
+    assert sum(text.count("alphabet") for text in sent) == 1
+
+
+@pytest.mark.parametrize("path,keeps_space", [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("limit", [1_000_000, 300])
+def test_signs_at_the_end_of_pieces(path, keeps_space, limit):
+    rng = random.Random(5)
+    letters = ["a", "B", "7", "é", "İ", "×", "÷", "²", "ª", "ɏ", "Ȁ", "日", "\u0301", "\u0338", "'s", "'", "<|endoftext|>", "Ġ", "\n", "\u200b", *".,;:!?&$%#*|<>=", *"      "]
+    texts = ["a, 'll. b.'s ,. .a., é.\u0301 =\u0338 a=\u0338. <|endoftext|>, x<|endoftext|>.y. Ġ. Ġa", *("".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(3000))]
+    table = TokenTable(path, keeps_space, limit)
+    for own in (texts, texts[::-1]):
+        flat, counts = table.encode(pa.array(own))
+        expected = table.tokenizer.whole(own)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [x.tolist() for x in expected]
