@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablerisk.llm.pieces import TOKEN_SLICE, TokenTable, kept, spread, woven
+from tablerisk.llm.pieces import TokenTable, kept, spread, woven
 from tablerisk.llm.store import growing, new_folder, stored
 from tablerisk.llm.text import slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED_TOGETHER = 200_000
+#: Bytes of text that a task cuts and looks up at once. Its arrays take up to 35 times as much, next to a JVM whose heap
+#: the stages before have filled.
+PACKED_SLICE = 2 << 20
 
 
 def pieces(documents: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, capacity: int) -> DataFrame:
@@ -33,7 +36,7 @@ def pieces(documents: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for batch in batches:
-            for rows in slices(batch, "text", TOKEN_SLICE):
+            for rows in slices(batch, "text", PACKED_SLICE):
                 table = table or kept(("tokens", tokenizer, keeps_space), lambda: TokenTable(tokenizer, keeps_space))
                 flat, sizes = table.encode(rows.column("text"))
                 ends = np.full(len(rows), end_id, np.uint32), np.ones(len(rows), np.int64)

@@ -1,12 +1,14 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from corpora import prose
 
 from tablerisk.llm import packing, sequences
-from tablerisk.llm.pieces import TokenTable
+from tablerisk.llm.pieces import TokenTable, release
 from tablerisk.llm.store import new_folder, stored
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -161,3 +163,29 @@ def test_signs_at_the_end_of_pieces(path, keeps_space, limit):
         flat, counts = table.encode(pa.array(own))
         expected = table.tokenizer.whole(own)
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [x.tolist() for x in expected]
+
+
+def test_packing_a_large_batch_takes_little_memory(spark):
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = packing.pieces(Rows(), BYTE, True, 2, 1024)
+    text = "".join(prose(k, 500) + "\n" for k in range(5))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(12_000_000 // len(text)), "text": [text] * (12_000_000 // len(text))})
+    before = pa.default_memory_pool()
+    list(run(iter([batch.slice(0, 1)])))  # opens the tokenizer
+    pool = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        n = sum(len(cut) for cut in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+        release()
+    assert n >= len(batch) and most < 80 << 20
